@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts
+from . import bpe, line_dedup, quality, simhash, token_counts
 from .common import table, text_or_empty
 
 
@@ -30,6 +30,32 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_bpe)}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    done = line_dedup.dedup_lines(docs)
+    return done.select(
+        "doc_id", "n_lines", "n_deleted_lines", "n_deleted_runs", F.sha2(F.encode(text_or_empty(), "UTF-8"), 256).alias("kept_sha256")
+    )
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", simhash.as_hex("simhash").alias("fingerprint"), "component_id")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    done = quality.measure(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    counts = [F.col(f"quality.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return done.select(
+        "doc_id",
+        *counts,
+        quality.base_failed().alias("base_failed"),
+        (~quality.base_failed() & quality.in_band()).alias("kept"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op5_bpe, op8_simhash, op9_quality)}
 
 ORACLES: dict[str, str] = {}
