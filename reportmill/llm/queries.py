@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, quality, simhash, token_counts
+from . import bpe, fingerprints, line_dedup, mixing, pii, quality, simhash, token_counts
 from .common import table, text_or_empty
 
 
@@ -24,6 +24,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
+    spans = F.col("spans")
+    counts = [F.size(pii.of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    base = pii.listed(pii.of_kind(spans, *(k.name for k in pii.BASE)))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        pii.listed(spans).alias("spans"),
+        pii.listed(spans, with_score=True).alias("scored_spans"),
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     done = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
@@ -38,6 +56,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = simhash.near_duplicates(docs)
@@ -56,6 +79,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op5_bpe, op8_simhash, op9_quality)}
+_ALL = (
+    op1_token_counts,
+    op2_line_dedup,
+    op3_fingerprints,
+    op4_pii,
+    op5_bpe,
+    op6_mixing,
+    op8_simhash,
+    op9_quality,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {}
