@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, mixing, pii, quality, simhash, token_counts
+from . import bpe, fingerprints, line_dedup, mixing, pii, quality, simhash, token_counts, url_filter, warc
 from .common import table, text_or_empty
 
 
@@ -61,6 +61,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = simhash.near_duplicates(docs)
@@ -79,6 +84,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels whose doc_id is a page's id are taken as that page's labels."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    labels = labels.groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    labelled = pages.join(labels, pages["page_id"] == labels["doc_id"], "left")
+    return url_filter.judge(labelled, bad=F.col("bad")).select("page_id", "host", "path", "rule", "verdict")
+
+
 _ALL = (
     op1_token_counts,
     op2_line_dedup,
@@ -86,8 +101,10 @@ _ALL = (
     op4_pii,
     op5_bpe,
     op6_mixing,
+    op7_warc,
     op8_simhash,
     op9_quality,
+    op10_urls,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
