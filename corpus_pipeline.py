@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.llm import bpe, line_dedup, mixing, quality, simhash
+from reportmill.llm import bpe, line_dedup, mixing, quality, simhash_bands
 from reportmill.llm.common import new_folder
 
 
@@ -26,8 +26,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate class: five-word shingles, two bits apart."""
-    return simhash.keep_first(docs, words_each=5)
+    """The first document of each class of texts alike by 0.8 in their five-word shingles."""
+    return simhash_bands.keep_first(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,4 +108,23 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": r"""
+WITH l AS (SELECT doc_id, i - 1 AS pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM l WHERE w > 0),
+ spans AS (SELECT a.doc_id, a.nth, min(b.nth) AS stop FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.nth BETWEEN a.nth AND a.nth + 24 WHERE b.upto - a.upto + a.w >= 25 GROUP BY ALL),
+ runs AS (SELECT s.doc_id, s.nth, s.stop, string_agg(n.line, chr(10) ORDER BY n.nth) AS run FROM spans s JOIN n ON n.doc_id = s.doc_id AND n.nth BETWEEN s.nth AND s.stop GROUP BY ALL),
+ copies AS (SELECT doc_id, nth, stop FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, nth) > 1),
+ gone AS (SELECT DISTINCT n.doc_id, n.pos, n.nth FROM copies c JOIN n ON n.doc_id = c.doc_id AND n.nth BETWEEN c.nth AND c.stop),
+ counts AS (SELECT doc_id, count(*) AS n, count(*) FILTER ((doc_id, nth - 1) NOT IN (SELECT doc_id, nth FROM gone)) AS runs FROM gone GROUP BY doc_id),
+ kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines, coalesce(counts.n, 0)::BIGINT AS n_deleted_lines,
+ coalesce(counts.runs, 0)::BIGINT AS n_deleted_runs, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op7_warc": """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+ m AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN first <> page_id THEN first END AS refers_to FROM d LEFT JOIN m USING (digest)""",
+}
