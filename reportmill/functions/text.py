@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as scripts and spreadsheets understand it: ASCII, Latin-1 and Unicode blanks.
@@ -27,6 +27,11 @@ CITATION = r"(?i)\[p\.\s*(\d+)(?:\s*[-\x{2013}]\s*\d+)?\]"
 ELLIPSIS = "…"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
 
@@ -94,22 +99,32 @@ def first_match(text: Column, terms: Column) -> Column:
     return F.coalesce(F.array_min(at), F.lit(-1))
 
 
-def snippet(text: Column, terms: Column, length: int = 160) -> Column:
-    """About ``length`` characters around the first term, cut at blanks, with ellipses."""
-    flat = trim_ws(collapse_ws(text))
-    n, at = F.length(flat), first_match(flat, terms)
-    end0 = F.least(n, F.greatest(F.lit(0), at - length // 2) + length)
-    start0 = F.greatest(F.lit(0), end0 - length)
-    next_gap = F.instr(F.substr(flat, start0 + 1), " ") - 1 + start0
-    has_gap = (F.instr(F.substr(flat, start0 + 1), " ") > 0) & (next_gap < at)
-    start = F.when((start0 > 0) & has_gap, next_gap + 1).otherwise(start0)
-    back = F.instr(F.reverse(F.substr(flat, F.lit(1), end0 + 1)), " ")
-    last_gap = F.when(back > 0, end0 + 1 - back).otherwise(F.lit(-1))
-    end = F.when((end0 < n) & (last_gap > start), last_gap).otherwise(end0)
-    body = trim_ws(F.substr(flat, start + 1, end - start))
-    around = F.concat(F.when(start > 0, ELLIPSIS).otherwise(""), body, F.when(end < n, ELLIPSIS).otherwise(""))
-    head = F.concat(F.regexp_replace(F.substr(flat, F.lit(1), F.lit(length)), rf"{WS}+\z", ""), F.lit(ELLIPSIS))
-    return F.when(n <= length, flat).when(at < 0, head).otherwise(around)
+def add_snippet(df: DataFrame, text: str, terms: Column, out: str = "snippet", length: int = 160) -> DataFrame:
+    """Add about ``length`` characters around the first term, cut at blanks, with ellipses.
+
+    Built in steps of one column each, so that no step is worked out twice.
+    """
+    c = {n: F.col(f"_snip_{n}") for n in ("flat", "n", "at", "end0", "start0", "gap", "back", "start", "end")}
+    steps = {
+        "flat": trim_ws(collapse_ws(F.col(text))),
+        "n": F.length(c["flat"]),
+        "at": first_match(c["flat"], terms),
+        "end0": F.least(c["n"], F.greatest(F.lit(0), c["at"] - length // 2) + length),
+        "start0": F.greatest(F.lit(0), c["end0"] - length),
+        "gap": F.instr(F.substr(c["flat"], c["start0"] + 1), " "),
+        "back": F.instr(F.reverse(F.substr(c["flat"], F.lit(1), c["end0"] + 1)), " "),
+    }
+    next_gap, last_gap = c["gap"] - 1 + c["start0"], c["end0"] + 1 - c["back"]
+    snapped = (c["start0"] > 0) & (c["gap"] > 0) & (next_gap < c["at"])
+    steps["start"] = F.when(snapped, next_gap + 1).otherwise(c["start0"])
+    steps["end"] = F.when((c["end0"] < c["n"]) & (c["back"] > 0) & (last_gap > c["start"]), last_gap).otherwise(c["end0"])
+    for name, step in steps.items():
+        df = df.withColumn(f"_snip_{name}", step)
+    body = trim_ws(F.substr(c["flat"], c["start"] + 1, c["end"] - c["start"]))
+    around = F.concat(F.when(c["start"] > 0, ELLIPSIS).otherwise(""), body, F.when(c["end"] < c["n"], ELLIPSIS).otherwise(""))
+    head = F.concat(F.regexp_replace(F.substr(c["flat"], F.lit(1), F.lit(length)), rf"{WS}+\z", ""), F.lit(ELLIPSIS))
+    shown = F.when(c["n"] <= length, c["flat"]).when(c["at"] < 0, head).otherwise(around)
+    return df.withColumn(out, shown).drop(*(f"_snip_{n}" for n in steps))
 
 
 def cited_pages(c: Column) -> Column:

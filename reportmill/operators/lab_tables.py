@@ -21,21 +21,18 @@ def judged_cells(rows: DataFrame) -> DataFrame:
     """(keys, ix, cell) of every cell: what it may be. Rows have a column ``cells``."""
     keys = [c for c in rows.columns if c != "cells"]
     each = rows.select(*keys, F.size("cells").alias("width"), F.posexplode("cells").alias("ix", "raw"))
-    t = F.col("t")
-    split = V.split_name_and_value(t)
-    cell = F.struct(
-        "ix",
-        t.alias("text"),
-        V.parse_value(t).alias("parsed"),
-        V.is_date_like(t).alias("is_date"),
-        V.parse_range(t).isNotNull().alias("is_range"),
-        V.looks_like_unit(t).alias("is_unit"),
-        V.parse_flag(t).alias("flag"),
-        V.is_name_like(t).alias("is_name"),
-        F.coalesce(split["name"], V.clean_name(t)).alias("name"),
-        split["parsed"].alias("split_parsed"),
-    )
-    return each.withColumn("t", T.trim_ws(F.col("raw"))).select(*keys, "width", cell.alias("cell"))
+    cells = each.withColumn("t", T.trim_ws(F.col("raw"))).select(*keys, "width", "ix", "t")
+    # each judgement is a column of its own, so that later ones can build on it
+    judged = cells.withColumn("parsed", V.parse_value(F.col("t"))).withColumn("flag", V.parse_flag(F.col("t")))
+    judged = judged.withColumn("is_date", V.is_date_like(F.col("t"))).withColumn("is_unit", V.looks_like_unit(F.col("t")))
+    judged = judged.withColumn("is_range", V.parse_range(F.col("t")).isNotNull())
+    letters = F.length(F.regexp_replace("t", "[^A-Za-z]", "")) >= 2
+    other = F.col("is_date") | F.col("flag").isNotNull() | F.col("is_unit") | F.col("is_range")
+    judged = judged.withColumn("is_name", letters & ~other)
+    judged = judged.withColumn("both", F.when(F.col("is_name") & F.col("t").rlike(V.NAME_THEN_VALUE), V.split_name_and_value(F.col("t"))))
+    judged = judged.withColumn("name", F.coalesce("both.name", V.clean_name(F.col("t")))).withColumn("split_parsed", F.col("both.parsed"))
+    cell = F.struct("ix", F.col("t").alias("text"), "parsed", "is_date", "is_range", "is_unit", "flag", "is_name", "name", "split_parsed")
+    return judged.select(*keys, "width", cell.alias("cell"))
 
 
 def _fold(cells: Column) -> Column:

@@ -126,9 +126,10 @@ def knn_label_eval(spark, sf_dir):
     return _rounded(E.retrieval_scores(_knn_first(spark, sf_dir), [[]]))
 
 
-@query(f"WITH {_KNN} SELECT want, {_SCORES} FROM f GROUP BY GROUPING SETS ((want), ())")
+@query(f"WITH {_KNN} SELECT coalesce(want, -1)::BIGINT AS want, {_SCORES} FROM f GROUP BY GROUPING SETS ((want), ())")
 def retrieval_metrics(spark, sf_dir):
-    return _rounded(E.retrieval_scores(_knn_first(spark, sf_dir), [["want"], []]))
+    scores = _rounded(E.retrieval_scores(_knn_first(spark, sf_dir), [["want"], []]))
+    return scores.withColumn("want", F.coalesce("want", F.lit(-1)).cast("long"))
 
 
 @query(f"""WITH {_bm25(ids="1")}, a AS (SELECT doc_id, rank FROM hits WHERE rank <= 50),
@@ -184,7 +185,7 @@ SELECT doc_id, CASE WHEN n <= 160 THEN t WHEN a < 0 THEN rtrim(substr(t, 1, 160)
  ELSE (CASE WHEN b > 0 THEN '…' ELSE '' END) || trim(substr(t, b + 1, z - b)) || (CASE WHEN z < n THEN '…' ELSE '' END) END AS snippet FROM i""")
 def snippets(spark, sf_dir):
     terms = T.tokenize(F.lit("ering thand tion"))
-    return read(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text"), terms).alias("snippet"))
+    return T.add_snippet(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", terms).select("doc_id", "snippet")
 
 
 _LINES = r"""lines AS (SELECT source, doc_id AS page, 0 AS ix, 'Report of ' || source || ', page ' || doc_id AS text FROM documents
@@ -192,7 +193,8 @@ _LINES = r"""lines AS (SELECT source, doc_id AS page, 0 AS ix, 'Report of ' || s
  y AS (SELECT *, -20.0 * ix AS y, max(-20.0 * ix) OVER (PARTITION BY source, page) AS top, min(-20.0 * ix) OVER (PARTITION BY source, page) AS bottom,
    trim(regexp_replace(regexp_replace(lower(text), '\d+', '#', 'g'), '\s+', ' ', 'g')) AS key FROM lines),
  e AS (SELECT *, key <> '' AND top - bottom >= 100 AND (y >= top - (top - bottom) * 0.15 OR y <= bottom + (top - bottom) * 0.15) AS edge FROM y),
- often AS (SELECT source, key FROM e WHERE edge GROUP BY ALL HAVING count(DISTINCT page) >= greatest(2, ceil((SELECT count(DISTINCT doc_id) FROM documents d WHERE d.source = e.source) / 2.0)))"""
+ sizes AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY source),
+ often AS (SELECT e.source, e.key FROM e JOIN sizes ON e.source = sizes.source WHERE edge GROUP BY e.source, e.key, pages HAVING count(DISTINCT page) >= greatest(2, ceil(pages / 2.0)))"""
 
 
 def _report_lines(spark, sf_dir):
@@ -341,7 +343,7 @@ def gauge(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.round(V.gauge(F.col("value").cast("double"), low, high)["marker"], 6).alias("marker"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderdate::DATE END AS day, true AS date_like FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, true AS date_like FROM orders""")
 def date_parse(spark, sf_dir):
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     printed = (
@@ -351,7 +353,7 @@ def date_parse(spark, sf_dir):
         .when(k % 5 == 3, F.date_format(d, "yyyy-MM-dd"))
         .otherwise(F.date_format(d, "dd/MM/yyyy"))
     )
-    return read(spark, sf_dir, "orders").select("o_orderkey", V.parse_date(printed).alias("day"), V.is_date_like(printed).alias("date_like"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", V.parse_date(printed).cast("string").alias("day"), V.is_date_like(printed).alias("date_like"))
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_ix, round(o_totalprice)::BIGINT AS v FROM orders)
