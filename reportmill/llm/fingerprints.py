@@ -33,8 +33,8 @@ def sketch(words: Column, words_each: int = WORDS_EACH, keep_bits: int = KEEP_BI
     """
     firsts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (words_each - 1), F.lit(1)))
     hashes = F.transform(firsts, lambda x, i: F.xxhash64(x, *(F.get(words, i + k) for k in range(1, words_each))))
-    below = 1 << 64 - keep_bits
-    kept = F.filter(hashes, lambda h: (h >= 0) & (h < below))
+    most = (1 << 64 - keep_bits) - 1
+    kept = F.filter(hashes, lambda h: (h >= 0) & (h <= most))
     return F.when(F.size(kept) > 0, F.array_sort(F.array_distinct(kept))).otherwise(
         F.slice(F.array_sort(hashes), 1, 1)
     )

@@ -208,7 +208,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     found = components(links(values, **options).unionByName(_same_key(prints, values)))
     named = prints.join(values, "prints").select("key", "node")
     named = named.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    return named.groupBy("key").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
+    return named.groupBy(F.col("key").alias(key)).agg(F.min(F.coalesce("root", "node")).alias("component_id"))
 
 
 def _same_key(prints: DataFrame, values: DataFrame) -> DataFrame:
@@ -222,5 +222,5 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", **options
     """Rows of ``df`` whose key names their class, and rows without a key; no other columns."""
     (own,) = free_name(df, "class_key")
     found = near_duplicates(df, key, text, **options)
-    first = found.filter("key <> component_id").select(F.col("key").alias(own))
+    first = found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias(own))
     return df.join(first, F.col(key).cast("long") == F.col(own), "left_anti")
