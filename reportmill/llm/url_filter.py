@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: (verdict, host and path): a rule fits its host, all subdomains, and paths that start so.
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Distinct segments at one place of a host beyond which they are a variable.
 MOST_SECTIONS = 32
