@@ -57,4 +57,5 @@ def answer_stream(lines: DataFrame) -> DataFrame:
 def counted_windows(events: DataFrame, key: str = "event_type", width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Event counts and sums per tumbling window and key, with late data bounded."""
     w = F.window("ts", width)
-    return events.withWatermark("ts", lateness).groupBy(w, key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), key, "n", "value")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", lateness).groupBy(w, key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), key, "n", "value")
