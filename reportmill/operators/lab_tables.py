@@ -1,6 +1,6 @@
 """Reading test results from table rows by what their cells look like.
 
-Every cell is judged once, as columns; a row is then a fold over its judged cells.
+Every cell is judged once; a row is then a fold over its judged cells, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,22 +17,32 @@ _PARSED = "struct<value:double,text:string,comparator:string,flag:string,unit:st
 _STATE = f"struct<name:string,parsed:{_PARSED},unit:string,date:string,range_text:string,flag:string>"
 
 
-def judged_cells(rows: DataFrame) -> DataFrame:
-    """(keys, ix, cell) of every cell: what it may be. Rows have a column ``cells``."""
-    keys = [c for c in rows.columns if c != "cells"]
-    each = rows.select(*keys, F.size("cells").alias("width"), F.posexplode("cells").alias("ix", "raw"))
-    cells = each.withColumn("t", T.trim_ws(F.col("raw"))).select(*keys, "width", "ix", "t")
-    # each judgement is a column of its own, so that later ones can build on it
-    judged = cells.withColumn("parsed", V.parse_value(F.col("t"))).withColumn("flag", V.parse_flag(F.col("t")))
-    judged = judged.withColumn("is_date", V.is_date_like(F.col("t"))).withColumn("is_unit", V.looks_like_unit(F.col("t")))
-    judged = judged.withColumn("is_range", V.parse_range(F.col("t")).isNotNull())
-    letters = F.length(F.regexp_replace("t", "[^A-Za-z]", "")) >= 2
-    other = F.col("is_date") | F.col("flag").isNotNull() | F.col("is_unit") | F.col("is_range")
-    judged = judged.withColumn("is_name", letters & ~other)
-    judged = judged.withColumn("both", F.when(F.col("is_name") & F.col("t").rlike(V.NAME_THEN_VALUE), V.split_name_and_value(F.col("t"))))
-    judged = judged.withColumn("name", F.coalesce("both.name", V.clean_name(F.col("t")))).withColumn("split_parsed", F.col("both.parsed"))
-    cell = F.struct("ix", F.col("t").alias("text"), "parsed", "is_date", "is_range", "is_unit", "flag", "is_name", "name", "split_parsed")
-    return judged.select(*keys, "width", cell.alias("cell"))
+def judged(cells: Column) -> Column:
+    """What each cell of a row may be, as an array of structs; every judgement is made once."""
+    return F.transform(cells, lambda raw, ix: T.let(T.trim_ws(raw), lambda t: _judge(t, ix)))
+
+
+def _judge(t: Column, ix: Column) -> Column:
+    looks = F.struct(
+        V.parse_value(t).alias("parsed"),
+        V.is_date_like(t).alias("is_date"),
+        V.parse_range(t).isNotNull().alias("is_range"),
+        V.looks_like_unit(t).alias("is_unit"),
+        V.parse_flag(t).alias("flag"),
+    )
+
+    def named(c: Column) -> Column:
+        letters = F.length(F.regexp_replace(t, "[^A-Za-z]", "")) >= 2
+        is_name = letters & ~(c["is_date"] | c["flag"].isNotNull() | c["is_unit"] | c["is_range"])
+        both = F.when(is_name & t.rlike(V.NAME_THEN_VALUE), V.split_name_and_value(t))
+        return T.let(F.struct(is_name.alias("is_name"), both.alias("both")), lambda n: whole(c, n))
+
+    def whole(c: Column, n: Column) -> Column:
+        kept = [c[x].alias(x) for x in ("parsed", "is_date", "is_range", "is_unit", "flag")]
+        name = F.coalesce(n["both"]["name"], V.clean_name(t))
+        return F.struct(ix.alias("ix"), t.alias("text"), *kept, n["is_name"].alias("is_name"), name.alias("name"), n["both"]["parsed"].alias("split_parsed"))
+
+    return T.let(looks, named)
 
 
 def _fold(cells: Column) -> Column:
@@ -67,8 +77,8 @@ def _fold(cells: Column) -> Column:
 
 def _finish(read: DataFrame, keep: list[str]) -> DataFrame:
     """Results from folded rows; labels beside numbers and vital signs are none."""
-    s = F.col("state")
-    rng = V.parse_range(s["range_text"])
+    s, rng = F.col("state"), F.col("state_range")
+    read = read.withColumn("state_range", V.parse_range(s["range_text"]))
     unit = F.coalesce(s["parsed"]["unit"], s["unit"], rng["unit"])
     rows = read.select(
         *keep,
@@ -95,9 +105,8 @@ def read_tables(blocks: DataFrame) -> DataFrame:
     width below give one reading per date column, with the cells that are under no date.
     """
     keys = ["doc_id", "page", "block_ix"]
-    rows = blocks.filter(F.col("kind") == "table").select(*keys, F.posexplode("rows").alias("row_ix", "cells"))
-    cells = judged_cells(rows)
-    whole = cells.groupBy(*keys, "row_ix", "width").agg(F.array_sort(F.collect_list("cell"), lambda a, b: a["ix"] - b["ix"]).alias("cells"))
+    rows = blocks.filter(F.col("kind") == "table").select(*keys, F.posexplode("rows").alias("row_ix", "raw"))
+    whole = rows.select(*keys, "row_ix", F.size("raw").alias("width"), judged(F.col("raw")).alias("cells"))
     dates = F.transform(F.filter("cells", lambda c: c["is_date"]), lambda c: F.struct(c["ix"].alias("ix"), c["text"].alias("text")))
     may_head = ~F.exists("cells", lambda c: c["parsed"].isNotNull()) & (F.size(dates) >= 2)
     first = Window.partitionBy(*keys).orderBy("row_ix").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,5 +118,6 @@ def read_tables(blocks: DataFrame) -> DataFrame:
     each = upto.select(*keys, "row_ix", "cells", "above", split.alias("split"), F.posexplode(F.when(split, F.col("above.dates")).otherwise(plain)).alias("reading", "col"))
     others = F.transform("above.dates", lambda d: d["ix"])
     used = F.when(F.col("split"), F.filter("cells", lambda c: (c["ix"] == F.col("col.ix")) | ~F.array_contains(others, c["ix"]))).otherwise(F.col("cells"))
-    folded = each.withColumn("state", _fold(used)).withColumn("header_date", F.col("col.text"))
+    # exploding one element keeps later filters from working the fold out again
+    folded = each.withColumn("state", F.explode(F.array(_fold(used)))).withColumn("header_date", F.col("col.text"))
     return _finish(folded, [*keys, "row_ix", "reading"])
