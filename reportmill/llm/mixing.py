@@ -19,8 +19,10 @@ SLOTS = 1 << 20
 LEAST_BLOCKS = 16
 #: Most passes over a source.
 PASSES = 3
-#: Consecutive slots ranked together, and documents of a source summed together.
+#: Consecutive slots ranked together.
 CHUNK = 4096
+#: Documents of a source whose sizes are summed in one task.
+ROWS = 512
 #: Cells into which the cumulative shares are cut to look slots up.
 CELLS = 1024
 _GOLDEN = (5**0.5 - 1) / 2
@@ -116,7 +118,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     total_slots = per.agg(F.coalesce(F.sum("slots"), F.lit(0.0))).first()[0]
     times = schedule(per, total_slots)
 
-    bits = max(1, (rows // CHUNK).bit_length())
+    bits = max(1, (rows // ROWS).bit_length())
     bucketed = sized.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     bucketed = bucketed.join(per.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
     sums = bucketed.groupBy("source_ix", "bucket").agg(F.sum("size").alias("words"))
