@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reportmill.shipping import ship
+
 CHUNK_SCHEMA = "doc_id string, chunk_id string, chunk_ix int, text string, page int, end_page int, headings array<string>, kind string"
 MAX_CHARS, OVERLAP = 1200, 160
 #: A sentence: up to and with its closing marks (fixed value). Decimals are cut as well.
@@ -116,6 +118,7 @@ def chunks(found: DataFrame, most: int = MAX_CHARS, overlap: int = OVERLAP) -> D
         frame.insert(0, "doc_id", rows[0]["doc_id"])
         return frame
 
+    ship(found.sparkSession)
     return found.groupBy("doc_id").applyInPandas(walk, CHUNK_SCHEMA)
 
 

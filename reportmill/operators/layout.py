@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportmill.functions import text as T
+from reportmill.shipping import ship
 
 ITEM_SCHEMA = "doc_id string, page int, item_ix int, str string, transform array<double>, width double, height double, font_name string"
 LINE_SCHEMA = "doc_id string, page int, line_ix int, y double, font_size double, cells array<struct<text:string,x:double,width:double>>, text string"
@@ -128,6 +129,7 @@ def _page_lines(page: pd.DataFrame) -> pd.DataFrame:
 
 def lines(items: DataFrame) -> DataFrame:
     """Visual lines of each page, from top to bottom, with their cells from left to right."""
+    ship(items.sparkSession)
     solid = items.filter(T.trim_ws(F.col("str")) != "")
     x, y = _at(F.col("transform"), 5), _at(F.col("transform"), 6)
     ready = solid.select("doc_id", "page", "item_ix", x.alias("x"), y.alias("y"), font_size(F.col("transform"), F.col("height")).alias("size"), split_cells(F.col("str"), x, F.col("width")).alias("cells"))
@@ -224,6 +226,7 @@ def _page_blocks(page: pd.DataFrame) -> pd.DataFrame:
 
 def blocks(found: DataFrame) -> DataFrame:
     """Typed blocks of each page: heading (with level), paragraph, or table (with rows)."""
+    ship(found.sparkSession)
     ready = found.join(body_sizes(found), ["doc_id", "page"])
     ready = ready.withColumn("heading", is_heading(F.col("text"), F.col("cells"), F.col("font_size"), F.col("body")))
     ready = ready.withColumn("level", heading_level(F.col("font_size"), F.col("body")))
