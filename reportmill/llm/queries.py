@@ -108,7 +108,46 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
+def _pii_sql() -> str:
+    """Spans of each kind from matches and the gaps between them, checked and scored in SQL.
+
+    Its patterns have no look-around: a boundary before or after a span is matched with it and
+    then taken off.
+    """
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"""list_sum(list_transform(range(len({digits})), lambda i: CASE WHEN i % 2 = 0 THEN {digits}[len({digits}) - i]::INTEGER
+      ELSE ({digits}[len({digits}) - i]::INTEGER * 2) // 10 + ({digits}[len({digits}) - i]::INTEGER * 2) % 10 END)) % 10 = 0"""
+    plain = "replace(m, ' ', '')"
+    mod97 = f"""list_reduce(list_prepend(0::BIGINT, list_transform(string_split({plain}[5:] || {plain}[1:4], ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1"""
+    kinds = [  # name, pattern, group before, group after, check, score, lift, context, least
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "", "", "true", 0.9, 0.1, "e-?mail|contact|write|reply", 0),
+        ("ip", r"[0-9]+(?:\.[0-9]+){3}", "", "", "list_bool_and(list_transform(string_split(m, '.'), lambda p: len(ltrim(p, '0')) <= 3 AND ('0' || right(p, 3))::INTEGER <= 255))", 0.6, 0.3, "address|host|server|login|ip", 0),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", "", "", f"len({digits}) BETWEEN 12 AND 19 AND {luhn}", 0.8, 0.2, "card|visa|credit|pay|account", 0),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "", "", f"len({digits}) BETWEEN 9 AND 15", 0.6, 0.3, "phone|call|tel|mobile|fax", 0),
+        ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", "(?:^|[^A-Za-z0-9])", "(?:$|[^A-Za-z0-9])", mod97, 0.9, 0.1, "iban|bank|account|transfer", 0.5),
+        ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "(?:^|[^0-9-])", "(?:$|[^0-9-])", "true", 0.4, 0.4, "ssn|social|security|insurance", 0.5),
+    ]
+    parts = []
+    for rank, (kind, core, before, after, check, score, lift, context, least) in enumerate(kinds):
+        whole = f"{before}{core}{after}"
+        start = "list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: len(x))), 0)"
+        parts.append(f"""SELECT doc_id, t, '{kind}' AS kind, {rank} AS rank, {least} AS least, m, s, s + len(m) AS e, {score} AS base, {lift} AS lift, '(?i)(?:^|[^a-z])(?:{context})' AS near
+  FROM (SELECT doc_id, t, regexp_extract(w, '{core}') AS m, (p + instr(w, regexp_extract(w, '{core}')) - 1)::BIGINT AS s
+    FROM (SELECT doc_id, t, unnest(found) AS w, unnest(list_transform(range(1, len(found) + 1), lambda i: {start})) AS p
+      FROM (SELECT doc_id, t, regexp_extract_all(t, '{whole}') AS found, string_split_regex(t, '{whole}') AS gaps FROM d))) WHERE {check}""")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ raw AS ({" UNION ALL ".join(parts)}),
+ scored AS (SELECT *, base + CASE WHEN regexp_matches(substring(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || ' ' || substring(t, e + 1, 40), near) THEN lift ELSE 0 END AS score FROM raw),
+ spans AS (SELECT *, kind || ':' || s || ':' || e AS shown FROM scored WHERE score >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+ sha256(coalesce(string_agg(shown, ',' ORDER BY s, rank, e) FILTER (rank < 4), '')) AS base_sha256, coalesce(string_agg(shown, ',' ORDER BY s, rank, e), '') AS spans,
+ coalesce(string_agg(shown || ':' || printf('%.2f', score), ',' ORDER BY s, rank, e), '') AS scored_spans
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op4_pii": _pii_sql(),
     "op2_line_dedup": r"""
 WITH l AS (SELECT doc_id, i - 1 AS pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
