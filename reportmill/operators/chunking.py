@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportmill.shipping import ship
+from reportmill.operators.walk import walk_groups
 
 CHUNK_SCHEMA = "doc_id string, chunk_id string, chunk_ix int, text string, page int, end_page int, headings array<string>, kind string"
 MAX_CHARS, OVERLAP = 1200, 160
@@ -110,16 +110,8 @@ def _closed(trail: list[tuple[int, str]], level: int) -> list[tuple[int, str]]:
 
 def chunks(found: DataFrame, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """Passages of every document; a document's blocks are walked in order in one task."""
-
-    def walk(doc: pd.DataFrame) -> pd.DataFrame:
-        rows = doc.sort_values(["page", "block_ix"]).to_dict("records")
-        made = chunk_blocks(rows, most, overlap)
-        frame = pd.DataFrame(made, columns=["chunk_id", "chunk_ix", "text", "page", "end_page", "headings", "kind"])
-        frame.insert(0, "doc_id", rows[0]["doc_id"])
-        return frame
-
-    ship(found.sparkSession)
-    return found.groupBy("doc_id").applyInPandas(walk, CHUNK_SCHEMA)
+    rows = found.select("doc_id", "page", "block_ix", "kind", "level", "text", "rows")
+    return walk_groups(rows, ["doc_id"], ["page", "block_ix"], partial(chunk_blocks, most=most, overlap=overlap), CHUNK_SCHEMA)
 
 
 def document_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

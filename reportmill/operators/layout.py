@@ -6,12 +6,13 @@ Everything that is not an ordered walk over a page's items is a Column expressio
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import cmp_to_key
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportmill.functions import text as T
-from reportmill.shipping import ship
+from reportmill.operators.walk import walk_groups
 
 ITEM_SCHEMA = "doc_id string, page int, item_ix int, str string, transform array<double>, width double, height double, font_name string"
 LINE_SCHEMA = "doc_id string, page int, line_ix int, y double, font_size double, cells array<struct<text:string,x:double,width:double>>, text string"
@@ -80,25 +81,24 @@ def split_cells(text: Column, x: Column, width: Column) -> Column:
     """Cells of one item: parts between three or more blanks, at estimated places."""
     per_char = F.when(F.length(text) > 0, width / F.length(text)).otherwise(0.0)
     wide = f"{T.WS}{{3,}}"
+    lead_of = lambda t: F.length(t) - F.length(F.regexp_replace(t, f"^{T.WS}+", ""))
+    cell = lambda body, at: F.struct(body.alias("text"), (x + at * per_char).alias("x"), (F.length(body) * per_char).alias("width"))
     parts = F.split(text, f"(?<={T.WS}{{3}})(?!{T.WS})|(?<!{T.WS})(?={wide})", -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,x:double,width:double>>").alias("cells"))
 
     def add(a: Column, piece: Column) -> Column:
-        body = T.trim_ws(piece)
-        lead = F.length(piece) - F.length(F.regexp_replace(piece, f"^{T.WS}+", ""))
-        cell = F.struct(body.alias("text"), (x + (a["at"] + lead) * per_char).alias("x"), (F.length(body) * per_char).alias("width"))
-        cells = F.when(body == "", a["cells"]).otherwise(F.array_append(a["cells"], cell))
-        return F.struct((a["at"] + F.length(piece)).alias("at"), cells.alias("cells"))
+        more = T.let(T.trim_ws(piece), lambda body: F.when(body == "", a["cells"]).otherwise(F.array_append(a["cells"], cell(body, a["at"] + lead_of(piece)))))
+        return F.struct((a["at"] + F.length(piece)).alias("at"), more.alias("cells"))
 
-    cells = F.aggregate(parts, start, add, lambda a: a["cells"])
+    split = F.aggregate(parts, start, add, lambda a: a["cells"])
     whole = F.array(F.struct(T.trim_ws(text).alias("text"), x.alias("x"), width.alias("width")))
-    return F.when(F.size(cells) > 0, cells).otherwise(whole)
+    one = T.let(T.trim_ws(text), lambda body: F.array(cell(body, lead_of(text))))
+    cells = F.when(text.rlike(wide), split).otherwise(one)
+    return F.when(T.trim_ws(text) == "", whole).otherwise(cells)
 
 
-def _page_lines(page: pd.DataFrame) -> pd.DataFrame:
+def _page_lines(rows: list[dict]) -> list[dict]:
     """Walk a page's items downwards; a line keeps the baseline of its first item."""
-    rows = page.sort_values("item_ix").to_dict("records")
-    from functools import cmp_to_key
 
     def by_place(a: dict, b: dict) -> float:
         down = b["y"] - a["y"]
@@ -111,29 +111,31 @@ def _page_lines(page: pd.DataFrame) -> pd.DataFrame:
             groups[-1].append(item)
         else:
             groups.append([item])
-    out = []
-    for ix, group in enumerate(groups):
-        size = max(i["size"] for i in group)
-        cells: list[dict] = []
-        for item in sorted(group, key=lambda i: i["x"]):
-            for part in item["cells"]:
-                end = cells[-1]["x"] + cells[-1]["width"] if cells else None
-                if cells and part["x"] - end <= CELL_GAP * size:
-                    cells[-1] |= {"text": " ".join(f"{cells[-1]['text']} {part['text']}".split()), "width": part["x"] + part["width"] - cells[-1]["x"]}
-                else:
-                    cells.append({"text": part["text"], "x": part["x"], "width": part["width"]})
-        y = sum(i["y"] for i in group) / len(group)
-        out.append((rows[0]["doc_id"], rows[0]["page"], ix, y, size, cells, "  ".join(c["text"] for c in cells)))
-    return pd.DataFrame(out, columns=["doc_id", "page", "line_ix", "y", "font_size", "cells", "text"])
+    return [_line(group) | {"line_ix": ix} for ix, group in enumerate(groups)]
+
+
+def _line(group: list[dict]) -> dict:
+    """Items of one line from left to right; near cells are joined."""
+    size = max(i["size"] for i in group)
+    cells: list[dict] = []
+    for item in sorted(group, key=lambda i: i["x"]):
+        for part in item["cells"]:
+            end = cells[-1]["x"] + cells[-1]["width"] if cells else None
+            if cells and part["x"] - end <= CELL_GAP * size:
+                joint = " ".join(f"{cells[-1]['text']} {part['text']}".split())
+                cells[-1] |= {"text": joint, "width": part["x"] + part["width"] - cells[-1]["x"]}
+            else:
+                cells.append(dict(part))
+    y = sum(i["y"] for i in group) / len(group)
+    return {"y": y, "font_size": size, "cells": cells, "text": "  ".join(c["text"] for c in cells)}
 
 
 def lines(items: DataFrame) -> DataFrame:
     """Visual lines of each page, from top to bottom, with their cells from left to right."""
-    ship(items.sparkSession)
     solid = items.filter(T.trim_ws(F.col("str")) != "")
     x, y = _at(F.col("transform"), 5), _at(F.col("transform"), 6)
     ready = solid.select("doc_id", "page", "item_ix", x.alias("x"), y.alias("y"), font_size(F.col("transform"), F.col("height")).alias("size"), split_cells(F.col("str"), x, F.col("width")).alias("cells"))
-    return ready.groupBy("doc_id", "page").applyInPandas(_page_lines, LINE_SCHEMA)
+    return walk_groups(ready, ["doc_id", "page"], ["item_ix"], _page_lines, LINE_SCHEMA)
 
 
 def strip_furniture(found: DataFrame, pages: DataFrame) -> DataFrame:
@@ -187,13 +189,12 @@ def aligned(first: list, size: float, cells: list) -> bool:
     return hits >= max(2, min(len(first), len(cells)) - 1)
 
 
-def _page_blocks(page: pd.DataFrame) -> pd.DataFrame:
+def _page_blocks(rows: list[dict]) -> list[dict]:
     """Headings, then tables, then paragraphs up to the next of either.
 
     ``run[i]`` is how many lines from i on share its columns; a walk forward from each
     line stops at the first that does not, and lines that no run can start at cost nothing.
     """
-    rows = page.sort_values("line_ix").to_dict("records")
     n = len(rows)
     run = [0] * n
     for i, first in enumerate(rows):
@@ -218,19 +219,16 @@ def _page_blocks(page: pd.DataFrame) -> pd.DataFrame:
                 j += 1
             out.append(("paragraph", None, " ".join(r["text"].strip() for r in rows[i:j]), None))
             i = j
-    head = (rows[0]["doc_id"], rows[0]["page"])
-    made = [(*head, ix, *b) for ix, b in enumerate(out)]
-    frame = pd.DataFrame(made, columns=["doc_id", "page", "block_ix", "kind", "level", "text", "rows"])
-    return frame.astype({"level": "Int32"})
+    names = ("kind", "level", "text", "rows")
+    return [dict(zip(names, block, strict=True)) | {"block_ix": ix} for ix, block in enumerate(out)]
 
 
 def blocks(found: DataFrame) -> DataFrame:
     """Typed blocks of each page: heading (with level), paragraph, or table (with rows)."""
-    ship(found.sparkSession)
     ready = found.join(body_sizes(found), ["doc_id", "page"])
     ready = ready.withColumn("heading", is_heading(F.col("text"), F.col("cells"), F.col("font_size"), F.col("body")))
     ready = ready.withColumn("level", heading_level(F.col("font_size"), F.col("body")))
-    return ready.groupBy("doc_id", "page").applyInPandas(_page_blocks, BLOCK_SCHEMA)
+    return walk_groups(ready, ["doc_id", "page"], ["line_ix"], _page_blocks, BLOCK_SCHEMA)
 
 
 def extract(items: DataFrame, pages: DataFrame) -> DataFrame:

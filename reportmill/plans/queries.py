@@ -520,3 +520,75 @@ def shown_ranges(spark, sf_dir):
     high = F.when(k == 0, size + 2).when(k == 1, size)
     unit = F.when(k == 0, "mmol/L").when(k == 1, "%")
     return read(spark, sf_dir, "part").select("p_partkey", V.format_range(low, high, unit).alias("shown"))
+
+
+@query(r"""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9%]+', ' ', 'g')) AS form, trim(regexp_replace(lower(p_name), '[^a-z0-9%]+', ' ', 'g')) AS bare FROM part""")
+def name_forms(spark, sf_dir):
+    name = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))
+    forms = T.name_forms(name)
+    return read(spark, sf_dir, "part").select("p_partkey", F.get(forms, F.lit(0)).alias("form"), F.element_at(forms, -1).alias("bare"))
+
+
+@query("""SELECT page_id, 'file:' || page_id || '.pdf:' || strlen(html) AS doc_id, CASE WHEN page_id % 3 = 0 THEN 'type' WHEN strlen(html) > 5000 THEN NULL END AS problem,
+ 'file:' || page_id || '.pdf:' || strlen(html) || '|local:minilm-l6' AS vector_key FROM pages""")
+def file_admission(spark, sf_dir):
+    name = F.concat(F.col("page_id").cast("string"), F.lit(".pdf"))
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("x/"), name, F.lit(".html"))).otherwise(F.concat(F.lit("x/"), name))
+    size = F.octet_length("html")
+    key = T.document_key(name, size)
+    return read(spark, sf_dir, "pages").select("page_id", key.alias("doc_id"), stores.admission(path, size).alias("problem"), T.vector_key(key, "minilm-l6").alias("vector_key"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '10.0.0.' || user_id WHEN 1 THEN '10.1.0.' || user_id ELSE 'unknown' END AS client FROM events""")
+def client_keys(spark, sf_dir):
+    e, u = F.col("event_id") % 4, F.col("user_id").cast("string")
+    real = F.when(e == 0, F.concat(F.lit(" 10.0.0."), u, F.lit(" "))).when(e == 1, " ")
+    hops = F.when(e < 2, F.concat(F.lit("10.1.0."), u, F.lit(", 10.9.9.9"))).when(e == 2, "")
+    return read(spark, sf_dir, "events").select("event_id", serving.client_key(real, hops).alias("client"))
+
+
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS selection, len(trim(regexp_replace(text, '\s+', ' ', 'g'))) BETWEEN 2 AND 300 AND regexp_matches(text, '\p{L}') AS explainable FROM conversations""")
+def selections(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_selection(F.col("text")).alias("selection"), T.is_explainable(F.col("text")).alias("explainable"))
+
+
+@query(f"""SELECT doc_id, substr(sha1('Represent this sentence for searching relevant passages: ' || heading || chr(10) || text), 1, 16) AS key FROM {_HEADED}""")
+def embedding_keys(spark, sf_dir):
+    docs = _with_headings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", T.cache_key(T.query_text("bge-small", T.embedding_text(F.col("headings"), F.col("text")))).alias("key"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, i, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(line) <> ''),
+ k AS (SELECT *, len(line) BETWEEN 1 AND 70 AND regexp_matches(regexp_replace(line, '\([^)]*\)', '', 'g'), '[A-Z]') AND regexp_replace(line, '\([^)]*\)', '', 'g') = upper(regexp_replace(line, '\([^)]*\)', '', 'g')) AS heading FROM l),
+ g AS (SELECT *, sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) * 2 + CASE WHEN heading THEN 0 ELSE 1 END AS run FROM k)
+SELECT doc_id::VARCHAR AS doc_id, CASE WHEN heading THEN 'heading' ELSE 'paragraph' END AS kind, sha1(string_agg(line, ' ' ORDER BY i)) AS text_sha1, count(*) AS n_lines FROM g GROUP BY doc_id, run, heading""")
+def layout_blocks(spark, sf_dir):
+    """Lines of a text as items of a page, one below the other, through lines and blocks."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("item_ix", "str"))
+    size, zero = F.lit(10.0), F.lit(0.0)
+    text = F.trim("str")
+    place = F.array(size, zero, zero, size, F.lit(50.0), F.col("item_ix") * -14.0)
+    items = docs.select("doc_id", F.lit(1).alias("page"), "item_ix", text.alias("str"), place.alias("transform"), (F.length(text) * 5.0).alias("width"), size.alias("height"), F.lit(None).cast("string").alias("font_name"))
+    lines = layout.lines(items)
+    made = layout.blocks(lines)
+    # a paragraph's lines are counted by the items that its text took
+    return made.select("doc_id", "kind", F.sha1(F.col("text").cast("binary")).alias("text_sha1"), "block_ix").join(_block_lines(lines, made), ["doc_id", "block_ix"]).drop("block_ix")
+
+
+def _block_lines(lines: DataFrame, made: DataFrame) -> DataFrame:
+    """(doc_id, block_ix, n_lines): blocks take a page's lines in turn, so lengths place them."""
+    order = Window.partitionBy("doc_id", "page")
+    at = lambda df, ix: df.withColumn("stop", F.sum(F.length("text") + 1).over(order.orderBy(ix).rowsBetween(Window.unboundedPreceding, 0)))
+    ends = at(lines, "line_ix").select("doc_id", "stop", "line_ix")
+    stops = at(made, "block_ix").select("doc_id", "stop", "block_ix").join(ends, ["doc_id", "stop"])
+    last = F.lag("line_ix", 1, -1).over(Window.partitionBy("doc_id").orderBy("block_ix"))
+    return stops.select("doc_id", "block_ix", (F.col("line_ix") - last).cast("long").alias("n_lines"))
+
+
+@query("""SELECT p_partkey, 3 AS fakes, p_size + 1000 AS wrong_page, printf('%.2f', p_retailprice + 0.37) AS wrong_value FROM part""")
+def fabrications(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_retailprice").cast("string").alias("value"), F.col("p_size").alias("page"))
+    fakes = E.fabricate(rows)
+    return fakes.groupBy("p_partkey").agg(
+        F.count(F.lit(1)).cast("int").alias("fakes"), F.max(F.when(F.col("fake") == "page", F.col("page"))).alias("wrong_page"), F.max(F.when(F.col("fake") == "value", F.col("value"))).alias("wrong_value")
+    )
