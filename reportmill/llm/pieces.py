@@ -15,13 +15,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces a worker remembers before it starts afresh (bounds its memory).
-MAX_PIECES = 600_000
+MAX_PIECES = 250_000
 #: Bytes of text handled at once inside a worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 class PieceTable:
-    """Ids of distinct pieces. ``encode(pieces)`` gives an id sequence for each piece."""
+    """Ids of distinct pieces. ``encode(pieces)`` gives an id sequence for each piece.
+
+    A worker keeps the pieces of one table at a time: using another one empties it.
+    """
+
+    _in_use: "PieceTable | None" = None
 
     def __init__(self, encode: Callable[[Sequence[str]], list[Sequence[int]]], limit: int = MAX_PIECES):
         self._encode, self._limit = encode, limit
@@ -29,7 +34,6 @@ class PieceTable:
 
     def _clear(self) -> None:
         self._code: dict[str, int] = {}
-        self.keys: list[str] = []
         self.lens = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -40,6 +44,10 @@ class PieceTable:
 
         They hold until the next call.
         """
+        if PieceTable._in_use is not self:
+            if PieceTable._in_use is not None:
+                PieceTable._in_use._clear()
+            PieceTable._in_use = self
         if self._n > self._limit or self._chars > 64 * self._limit:
             self._clear()
         coded = pieces.dictionary_encode()
@@ -63,7 +71,6 @@ class PieceTable:
         self.starts[self._n : n] = self._m + np.cumsum(lens) - lens
         self.flat[self._m : m] = flat
         self._code.update(zip(new, range(self._n, n), strict=True))
-        self.keys.extend(new)
         self._n, self._m = n, m
         self._chars += sum(map(len, new))
 
