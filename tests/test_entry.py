@@ -40,7 +40,8 @@ def test_imports_without_the_subpackage(tmp_path):
     root = Path(entry.__file__).parent
     (tmp_path / "__spark_entry__.py").write_text((root / "__spark_entry__.py").read_text())
     (tmp_path / "reportmill").mkdir()
-    for part in ("__init__.py", "functions", "operators", "plans", "sources", "streaming"):
-        (tmp_path / "reportmill" / part).symlink_to(root / "reportmill" / part)
+    for part in (root / "reportmill").iterdir():
+        if part.name not in ("llm", "__pycache__"):
+            (tmp_path / "reportmill" / part.name).symlink_to(part)
     code = "import __spark_entry__ as e; assert 'bm25_topk' in e.queries() and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env={"PATH": "/usr/bin:/bin"})
