@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, text_or_empty
+from .common import bound_batches, free_name, text_or_empty
 from .pieces import PieceTable, balanced, non_empty, sums
 
 #: First code points of script ranges, and the script that holds from each on.
@@ -173,7 +173,5 @@ def in_band(q: str = "quality"):
 
 def keep_good(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """Rows of ``df`` that pass the base rules and lie within their script's band."""
-    from .common import free_name
-
     (q,) = free_name(df, "quality_figures")
     return measure(df, model_path, text, q).filter(~base_failed(q) & in_band(q)).select(*df.columns)
