@@ -78,7 +78,7 @@ def _fold(cells: Column) -> Column:
 def _finish(read: DataFrame, keep: list[str]) -> DataFrame:
     """Results from folded rows; labels beside numbers and vital signs are none."""
     s, rng = F.col("state"), F.col("state_range")
-    read = read.withColumn("state_range", V.parse_range(s["range_text"]))
+    read = read.withColumn("state_range", F.explode(F.array(V.parse_range(s["range_text"]))))
     unit = F.coalesce(s["parsed"]["unit"], s["unit"], rng["unit"])
     rows = read.select(
         *keep,
@@ -106,7 +106,7 @@ def read_tables(blocks: DataFrame) -> DataFrame:
     """
     keys = ["doc_id", "page", "block_ix"]
     rows = blocks.filter(F.col("kind") == "table").select(*keys, F.posexplode("rows").alias("row_ix", "raw"))
-    whole = rows.select(*keys, "row_ix", F.size("raw").alias("width"), judged(F.col("raw")).alias("cells"))
+    whole = rows.select(*keys, "row_ix", F.size("raw").alias("width"), F.explode(F.array(judged(F.col("raw")))).alias("cells"))
     dates = F.transform(F.filter("cells", lambda c: c["is_date"]), lambda c: F.struct(c["ix"].alias("ix"), c["text"].alias("text")))
     may_head = ~F.exists("cells", lambda c: c["parsed"].isNotNull()) & (F.size(dates) >= 2)
     first = Window.partitionBy(*keys).orderBy("row_ix").rowsBetween(Window.unboundedPreceding, -1)
