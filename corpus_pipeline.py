@@ -20,8 +20,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later copies of line runs; n_chars is counted anew."""
-    done = line_dedup.dedup_lines(docs).select(*docs.columns)
+    """All documents, without later copies of whole line runs; n_chars is counted anew."""
+    done = line_dedup.dedup_lines(docs, whole_runs=True).select(*docs.columns)
     return done.withColumn("n_chars", F.length("text").cast("long"))
 
 

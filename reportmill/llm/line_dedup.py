@@ -9,7 +9,11 @@ every run of ``min_words`` words is covered: a run has at most ``min_words`` lin
 has a word, so the number of rounds is fixed and does not follow the longest repeat.
 
 A run of lines that reaches ``min_words`` words and stands somewhere earlier as well is a
-later copy; maximal repeated runs are the unions of such runs, and they are deleted.
+later copy and is deleted. The shortest such runs from each line do not cover a repeated
+run that ends in less than ``min_words`` words after the last of them; with ``whole_runs``,
+the longer runs from a line are compared too, as long as all but their first line have less
+than ``min_words`` words. Any repeated run is the union of these, and they have at most
+``min_words`` lines as well.
 """
 
 from __future__ import annotations
@@ -61,13 +65,23 @@ def _run_lines(before: Column, total: Column, here: Window, min_words: int) -> C
     return out
 
 
-def later_copies(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def _most_lines(before: Column, words: Column, here: Window, min_words: int) -> Column:
+    """Most lines of a run from here whose lines after the first stay below ``min_words``."""
+    out = F.lit(1)
+    for k in range(2, min_words + 1):
+        last = F.lead(before + words, k - 1, None).over(here)  # null beyond the run's end
+        out = F.when(last - before - words < min_words, F.lit(k)).otherwise(out)
+    return out
+
+
+def later_copies(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """(key, th, gone, n_runs): positions of deleted lines of each document that has any.
 
     ``th`` is a hash of the text that tells documents with one key apart; rows with equal
     keys and texts are one document. "Earlier" means a smaller (key, th, line), null keys
     last. Runs compare whole lines exactly as written; lines without a word neither count
-    nor break a run, and are never deleted.
+    nor break a run, and are never deleted. With ``whole_runs``, the whole common length of
+    each copy is deleted, otherwise the shortest runs from each line that reach ``min_words``.
     """
     docs = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     lines = _lines(docs)
@@ -79,7 +93,8 @@ def later_copies(df: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     whole = Window.partitionBy("key", "th", "run")
     sized = numbered.withColumn("before", F.sum("words").over(run) - F.col("words")).withColumn("total", F.sum("words").over(whole))
     sized = sized.withColumn("m", _run_lines(F.col("before"), F.col("total"), run, min_words))
-    now = cut(sized.select("key", "th", "run", "at", "pos", "m", "r0"))
+    most = _most_lines(F.col("before"), F.col("words"), run, min_words) if whole_runs else F.lit(1)
+    now = cut(sized.withColumn("most", most).select("key", "th", "run", "at", "pos", "m", "most", "r0"))
     rounds = (min_words - 1).bit_length() if min_words > 1 else 0
     for k in range(1, rounds + 1):
         if (1 << k) > min_words:
@@ -90,14 +105,26 @@ def later_copies(df: DataFrame, key: str = "doc_id", text: str = "text", min_wor
         joined = half.join(ranks, (half[f"r{k - 1}"] == ranks["ra"]) & (half["next"] == ranks["rb"]), "left")
         now = cut(joined.select(*now.columns, f"r{k}"))
     # two runs of one power of two, laid over each other, cover the m lines from here
-    left = right = F.lit(None).cast("long")
+    pair = {}
     for m in range(1, min_words + 1):
         k = m.bit_length() - 1
-        left = F.when(F.col("m") == m, F.col(f"r{k}")).otherwise(left)
-        right = F.when(F.col("m") == m, F.lead(f"r{k}", m - (1 << k)).over(run)).otherwise(right)
+        pair[m] = (F.col(f"r{k}"), F.lead(f"r{k}", m - (1 << k)).over(run))
     place = F.struct(F.col("key").isNull().alias("no_key"), "key", "th", "at")
-    keyed = now.withColumn("left", left).withColumn("right", right).withColumn("place", place)
+    placed = now.withColumn("place", place)
     interval = ["m", "left", "right"]
+    if whole_runs:
+        each = [
+            F.when((F.col("m") <= m) & (m <= F.greatest("m", "most")), F.struct(F.lit(m).alias("m"), a.alias("left"), b.alias("right")))
+            for m, (a, b) in pair.items()
+        ]
+        held = placed.withColumn("each", F.filter(F.array(*each), lambda x: x["left"].isNotNull() & x["right"].isNotNull()))
+        rows = held.select("key", "th", "run", "at", "pos", "place", F.explode_outer("each").alias("one"))
+        keyed = rows.select("key", "th", "run", "at", "pos", "place", "one.*")
+    else:
+        left = right = F.lit(None).cast("long")
+        for m, (a, b) in pair.items():
+            left, right = F.when(F.col("m") == m, a).otherwise(left), F.when(F.col("m") == m, b).otherwise(right)
+        keyed = placed.withColumn("left", left).withColumn("right", right)
     firsts = (
         keyed.filter("left is not null and right is not null")
         .groupBy(*interval)
@@ -108,21 +135,25 @@ def later_copies(df: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     firsts = cut(firsts)  # apart from the rows' own shuffle, so that the join can split a hot interval
     found = keyed.join(firsts, interval, "left")
     is_copy = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("place"))
-    reach = F.max(F.when(is_copy, F.col("at") + F.col("m") - 1)).over(run)
+    end = F.when(is_copy, F.col("at") + F.col("m") - 1)
+    if whole_runs:
+        found = found.groupBy("key", "th", "run", "at", "pos").agg(F.max(end).alias("end"))
+        end = F.col("end")
+    reach = F.max(end).over(run)
     covered = found.withColumn("reach", reach).withColumn("gone", F.coalesce(F.col("reach") >= F.col("at"), F.lit(False)))
     starts = F.col("gone") & ~F.coalesce(F.lag("gone").over(run), F.lit(False))
     marked = covered.withColumn("start", starts).filter("gone")
     return marked.groupBy("key", "th").agg(F.collect_list("pos").alias("gone"), F.count_if("start").alias("n_runs"))
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """``df`` with later copies of line runs deleted from ``text``, and what was deleted.
 
     Adds n_lines, n_deleted_lines and n_deleted_runs (replacing such columns); every row and
     other column stays. Null texts stay null with 0 lines; an emptied text becomes "".
     """
     bound_batches(df.sparkSession)
-    gone = later_copies(df, key, text, min_words)
+    gone = later_copies(df, key, text, min_words, whole_runs)
     k, th = free_name(df, "gone_key", "gone_th")
     gone = gone.select(F.col("key").alias(k), F.col("th").alias(th), "gone", F.col("n_runs").alias("_runs"))
     g, r, own = free_name(df, "gone_lines", "gone_runs", "own_th")

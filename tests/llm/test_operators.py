@@ -115,6 +115,36 @@ def test_line_dedup_against_brute_force(spark):
             assert r["text"] == want and r["n_deleted_lines"] == len(gone[r["doc_id"]])
 
 
+def brute_whole_runs(docs, least):
+    """Positions that go, by every run of whole lines that has enough words and stands earlier."""
+    lines = {d: [(i, x, len(WORD.findall(x))) for i, x in enumerate(t.split("\n")) if WORD.search(x)] for d, t in docs.items()}
+    seen, gone = set(), {d: set() for d in docs}
+    for d in sorted(lines):
+        for p in range(len(lines[d])):
+            total, run = 0, ()
+            for e in range(p, len(lines[d])):
+                total, run = total + lines[d][e][2], (*run, lines[d][e][1])
+                if total >= least and run in seen:
+                    gone[d] |= {x[0] for x in lines[d][p : e + 1]}
+                seen.add(run)
+    return gone
+
+
+def test_whole_runs_against_brute_force(spark):
+    random.seed(21)
+    pool = [" ".join(random.choices("abcdef", k=random.randint(1, 7))) for _ in range(12)] + ["", " "]
+    docs = {d: "\n".join(random.choices(pool, k=random.randint(0, 30))) for d in range(60)}
+    three = "\n".join(" ".join(f"{c}{i}" for i in range(n)) for c, n in (("x", 40), ("y", 10), ("z", 14)))
+    docs |= {100: f"first\n{three}\nend", 101: f"second\n{three}\nother end"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    for least in (1, 5, 9, 25):
+        gone = brute_whole_runs(docs, least)
+        for r in line_dedup.dedup_lines(df, min_words=least, whole_runs=True).collect():
+            want = "\n".join(x for i, x in enumerate(docs[r["doc_id"]].split("\n")) if i not in gone[r["doc_id"]])
+            assert r["text"] == want and r["n_deleted_lines"] == len(gone[r["doc_id"]])
+            assert r["doc_id"] != 101 or least != 25 or r["text"] == "second\nother end"
+
+
 def test_line_dedup_edges(docs, empty):
     got = line_dedup.dedup_lines(docs)
     assert got.count() == docs.count() and set(docs.columns) <= set(got.columns)
