@@ -3,8 +3,9 @@
 Texts whose five-word shingles are alike by 0.8 differ in about 15 percent of their SimHash
 bits, ten of 64, which a budget of two never meets. So every text gets 512 bits, cut into
 sixteen fingerprints of 32 bits, each joined with a budget of two; at a likeness of 0.8 some
-fingerprint is that near for about 87 of 100 pairs, at 0.85 for 98. A near pair is a link if
-256 of the bits differ in at most :data:`MOST_DIFFERENT` places, which estimates the likeness.
+fingerprint is that near for about 87 of 100 pairs, at 0.85 for 98. A near pair is proposed if
+256 of the bits differ in at most :data:`MOST_DIFFERENT` places; with a least likeness, it is a
+link if the exact overlap of both texts' distinct shingles reaches that.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, free_name, text_or_empty
+from .common import SPACE, bound_batches, cut, free_name, text_or_empty
 from .components import components
 from .pieces import balanced
 from .simhash import close_leaves, shingle_hashes, smallest_linked
@@ -25,12 +26,18 @@ from .simhash import close_leaves, shingle_hashes, smallest_linked
 WORDS_EACH = 5
 #: 64-bit words of SimHash, and those of them that check a pair.
 WORDS, CHECKED = 8, 4
-#: Differing bits of the checked 256 up to which a pair is a link (a likeness of about 0.8).
-MOST_DIFFERENT = 44
+#: Differing bits of the checked 256 up to which a pair is proposed. Texts alike by 0.8 differ
+#: in 39 bits, by 6 more or less, so that hardly any such pair is lost.
+MOST_DIFFERENT = 64
+#: Shared share of all distinct shingles of two texts from which they are copies.
+ALIKE = 0.8
+#: Pairs of rows that are looked at together.
+PART = 1 << 20
 #: Free bytes of a 32-bit fingerprint in each order of its trie; the other two are exact.
 ORDERS = list(combinations(range(4), 2))
 #: Rows of one exact prefix that a task takes; beyond, the prefix is dealt out in block pairs.
 MOST_ROWS = 50_000
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -105,8 +112,11 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cell", "free", "node", *(f"c{c}" for c in range(CHECKED))])
 
 
-def _group_links(now: list[np.ndarray], budget: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the rows of whole cells: near in the band, and within ``most`` bits."""
+def _group_links(now: list[np.ndarray], budget: int, most: int, spanning: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of the rows of whole cells that are near in the band and within ``most`` bits.
+
+    All such pairs, or as many of them as span their classes.
+    """
     start = np.ones(len(now[0]), bool)
     start[1:] = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])
     bucket = np.cumsum(start) - 1
@@ -114,7 +124,7 @@ def _group_links(now: list[np.ndarray], budget: int, most: int) -> tuple[np.ndar
     free, node, bucket = now[2][shared], now[3][shared], bucket[shared]
     check = np.stack([x[shared] for x in now[4:]], axis=1).view(np.uint64)
     if not len(node):
-        return node, node
+        return
     order = np.lexsort((free, bucket))
     free, node, bucket, check = free[order], node[order], bucket[order], check[order]
     # leaves are distinct (bucket, free); rows that share one are near each other as well
@@ -126,35 +136,40 @@ def _group_links(now: list[np.ndarray], budget: int, most: int) -> tuple[np.ndar
     a = np.concatenate([np.arange(len(at))[size > 1], one])
     b = np.concatenate([np.arange(len(at))[size > 1], other])
     root = np.arange(len(node))
-    for lo in range(0, len(a), 1 << 12):
-        x, y = _row_pairs(at, size, a[lo : lo + (1 << 12)], b[lo : lo + (1 << 12)])
-        for part in range(0, len(x), 1 << 20):
-            p, q = x[part : part + (1 << 20)], y[part : part + (1 << 20)]
+    for p, q in _row_pairs(at, size, a, b):
+        if spanning:
             apart = root[p] != root[q]
             p, q = p[apart], q[apart]
-            near = np.bitwise_count(check[p] ^ check[q]).sum(axis=1) <= most
-            if near.any():
-                root = root[smallest_linked(len(node), np.append(p[near], np.arange(len(node))), np.append(q[near], root))]
-    moved = np.flatnonzero(root != np.arange(len(node)))
-    return node[moved], node[root[moved]]
-
-
-def _row_pairs(at: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the leaves a and b, each with each."""
+        near = np.bitwise_count(check[p] ^ check[q]).sum(axis=1) <= most
+        if spanning and near.any():
+            root = root[smallest_linked(len(node), np.append(p[near], np.arange(len(node))), np.append(q[near], root))]
+        elif near.any():
+            yield node[p[near]], node[q[near]]
+    if spanning:
+        moved = np.flatnonzero(root != np.arange(len(node)))
+        yield node[moved], node[root[moved]]
+
+
+def _row_pairs(at: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the leaves a and b, each with each, in parts of bounded size."""
     n = size[a] * size[b]
-    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    wide = np.repeat(size[b], n)
-    x, y = np.repeat(at[a], n) + k // wide, np.repeat(at[b], n) + k % wide
-    keep = x != y
-    return x[keep], y[keep]
-
-
-def _linked(batches: Iterator[pa.RecordBatch], budget: int, most: int) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(n)
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, PART):
+        k = np.arange(lo, min(lo + PART, int(ends[-1])))
+        which = np.searchsorted(ends, k, "right")
+        k -= ends[which] - n[which]
+        wide = size[b][which]
+        x, y = at[a][which] + k // wide, at[b][which] + k % wide
+        keep = (a[which] != b[which]) | (x < y)
+        yield x[keep], y[keep]
+
+
+def _linked(batches: Iterator[pa.RecordBatch], budget: int, most: int, spanning: bool) -> Iterator[pa.RecordBatch]:
     rest: list[np.ndarray] | None = None
 
-    def made(rows: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = _group_links(rows, budget, most)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def made(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for a, b in _group_links(rows, budget, most, spanning):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
     for batch in batches:
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -166,13 +181,15 @@ def _linked(batches: Iterator[pa.RecordBatch], budget: int, most: int) -> Iterat
         whole = last[-1] + 1 if len(last) else 0
         rest = [x[whole:] for x in now]
         if whole:
-            yield made([x[:whole] for x in now])
+            yield from made([x[:whole] for x in now])
     if rest is not None:
-        yield made(rest)
+        yield from made(rest)
+
 
+def links(values: DataFrame, budget: int = 2, most: int = MOST_DIFFERENT, most_rows: int = MOST_ROWS, spanning: bool = True) -> DataFrame:
+    """(prints, node) distinct rows -> (a, b) edges that span every class of linked nodes.
 
-def links(values: DataFrame, budget: int = 2, most: int = MOST_DIFFERENT, most_rows: int = MOST_ROWS) -> DataFrame:
-    """(prints, node) distinct prints -> (a, b) edges that span every class of linked nodes.
+    Without ``spanning``, every linked pair, once for each cell that it shares.
 
     A row per band and order, 96 a node. Exact prefixes with more than ``most_rows`` rows are
     cut into blocks by a hash of the node, and each task takes two blocks, so all pairs still
@@ -192,21 +209,64 @@ def links(values: DataFrame, budget: int = 2, most: int = MOST_DIFFERENT, most_r
         rows = joined.withColumn("pair", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(pairs)))
     ready = rows.select("cell", "pair", "free", "node", *(f"c{c}" for c in range(CHECKED)))
     ready = ready.repartition("cell", "pair").sortWithinPartitions("cell", "pair")
-    return ready.mapInArrow(lambda b: _linked(b, budget, most), "a bigint, b bigint")
+    return ready.mapInArrow(lambda b: _linked(b, budget, most, spanning), "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = WORDS_EACH, **options) -> DataFrame:
+def _add_shingles(df: DataFrame, words_each: int, text: str, out: str) -> DataFrame:
+    """Add ``out``: the distinct shingle hashes of each text."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            sets = []
+            for part in balanced(texts):
+                for t in part.cast(pa.binary()):
+                    raw = t.as_buffer().to_pybytes() if t.is_valid else b""
+                    sets.append(np.unique(np.array(shingle_hashes(raw, words_each), np.uint64)).view(np.int64))
+            yield pa.array(sets, pa.list_(pa.int64()))
+
+    return df.withColumn(out, run(text_or_empty(text)))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words_each: int, alike: float) -> DataFrame:
+    """The (a, b) pairs whose texts share ``alike`` of their distinct shingles.
+
+    ``texts`` has (key, same, text), ``same`` telling the texts of one key apart; one alike
+    text is enough. Only texts of proposed pairs are read for shingles.
+    """
+    proposed = cut(pairs.filter("a != b").distinct())
+    wanted = proposed.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    own = texts.join(wanted, "key").dropDuplicates(["key", "same"])
+    sets = cut(_add_shingles(own, words_each, "text", "shingles").select("key", "shingles"))
+    one, other = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("a", "b"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    likeness = shared / F.greatest(F.size("sa") + F.size("sb") - shared, F.lit(1))
+    none = (F.size("sa") == 0) & (F.size("sb") == 0)
+    return proposed.join(one, "a").join(other, "b").filter(none | (likeness >= alike)).select("a", "b")
+
+
+def near_duplicates(
+    df: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = WORDS_EACH, alike: float | None = None, **options
+) -> DataFrame:
     """(key, component_id): the smallest key that links of alike texts reach, itself included.
 
     One row per distinct key. Rows that repeat a key are one document; rows without a key
-    are left out. Texts without words are alike. Copies share one print and are joined as
-    one; what each node links to stays within its bands' cells.
+    are left out. Texts without words are alike. Proposed pairs are links, or those of them
+    that reach ``alike`` in their exact shingles. Copies (without it, texts of one print)
+    are joined as one; what each node links to stays within its bands' cells. To verify,
+    all proposed pairs are written, so a group of many slightly different texts has pairs
+    by the square of its members.
     """
     keyed = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    prints = cut(add_prints(keyed, words_each).select("key", "prints"))
-    values = cut(prints.groupBy("prints").agg(F.min("key").alias("node")))
-    found = components(links(values, **options).unionByName(_same_key(prints, values)))
-    named = prints.join(values, "prints").select("key", "node")
+    plain = F.trim(F.regexp_replace(F.translate(text_or_empty(), UPPER, LOWER), f"[{SPACE}]++", " "))
+    keyed = keyed.withColumn("same", F.lit(0).cast("long") if alike is None else F.xxhash64(plain))
+    prints = cut(add_prints(keyed, words_each).select("key", "prints", "same"))
+    values = cut(prints.groupBy("prints", "same").agg(F.min("key").alias("node")))
+    edges = links(values.select("prints", "node"), spanning=alike is None, **options)
+    if alike is not None:
+        edges = verified(edges, keyed, words_each, alike)
+    found = components(edges.unionByName(_same_key(prints, values)))
+    named = prints.join(values, ["prints", "same"]).select("key", "node")
     named = named.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     return named.groupBy(F.col("key").alias(key)).agg(F.min(F.coalesce("root", "node")).alias("component_id"))
 
@@ -214,13 +274,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 def _same_key(prints: DataFrame, values: DataFrame) -> DataFrame:
     """Links between the texts of a repeated key, so that it has one class."""
     often = prints.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    rows = prints.join(often, "key").join(values, "prints")
+    rows = prints.join(often, "key").join(values, ["prints", "same"])
     return rows.select(F.col("key").alias("a"), F.col("node").alias("b"))
 
 
-def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", alike: float = ALIKE, **options) -> DataFrame:
     """Rows of ``df`` whose key names their class, and rows without a key; no other columns."""
     (own,) = free_name(df, "class_key")
-    found = near_duplicates(df, key, text, **options)
+    found = near_duplicates(df, key, text, alike=alike, **options)
     first = found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias(own))
     return df.join(first, F.col(key).cast("long") == F.col(own), "left_anti")

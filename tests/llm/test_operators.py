@@ -230,6 +230,32 @@ def test_bands_against_all_pairs_and_hot_cells(spark):
         assert dict(rows_of(simhash_bands.near_duplicates(df, most_rows=most_rows), "doc_id", "component_id")) == want
 
 
+def test_links_reach_the_likeness(spark):
+    random.seed(51)
+    docs = []
+    for _ in range(60):
+        base = [f"w{random.randrange(5000)}" for _ in range(random.randint(60, 200))]
+        docs.append(base)
+        for share in (0.01, 0.02, 0.03, 0.04, 0.05, 0.06):
+            x = list(base)
+            for i in random.sample(range(len(x)), max(1, int(len(x) * share))):
+                x[i] = f"v{random.randrange(5000)}"
+            docs.append(x)
+    docs += [["same"] * 300 + [f"a{i}" for i in range(40)], ["same"] * 300 + [f"b{i}" for i in range(40)]]
+    texts = [(i, " ".join(x)) for i, x in enumerate(docs)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in docs]
+    likeness = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(docs)) for i in range(j)}
+    by_bits = simhash_bands.near_duplicates(df)
+    assert any(likeness[c, k] < 0.8 for k, c in rows_of(by_bits, "doc_id", "component_id") if c < k)
+    true = union([p for p, v in likeness.items() if v >= 0.8], range(len(docs)))
+    sure = union([p for p, v in likeness.items() if v >= 0.88], range(len(docs)))
+    got = dict(rows_of(simhash_bands.near_duplicates(df, alike=0.8), "doc_id", "component_id"))
+    assert all(true[k] == true[c] for k, c in got.items()), "no class is wider than the likeness allows"
+    assert all(got[k] == got[c] for k, c in sure.items())
+    assert sum(got[k] == c for k, c in true.items()) > 0.95 * len(docs)
+
+
 def test_bands_edges(docs, empty):
     kept = simhash_bands.keep_first(docs)
     assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 1
