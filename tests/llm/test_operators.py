@@ -279,6 +279,24 @@ def test_quality_counts(docs, empty):
     assert quality.measure(empty, path).count() == 0
 
 
+def test_bands_reject_noise_and_keep_prose(spark):
+    import base64
+
+    random.seed(31)
+    english = "the people of this small town have always known that their river would rise in spring and they built houses on higher ground where children could play while old men watched from wooden benches near the church and talked about weather crops prices or the long war which nobody wanted to remember any more but everyone did when winter came back again".split()
+    german = "die Menschen in dieser kleinen Stadt haben immer gewusst dass ihr Fluss im Frühling steigen würde und sie bauten Häuser auf höherem Boden wo Kinder spielen konnten während alte Männer von hölzernen Bänken neben der Kirche zusahen und über Wetter Ernte Preise oder den langen Krieg sprachen an den sich niemand mehr erinnern wollte aber jeder dachte daran".split()
+    noise = {
+        "letters": ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(3, 10))) for _ in range(100)],
+        "consonants": ["".join(random.choices("bcdfghjklmnpqrstvwxz", k=random.randint(3, 10))) for _ in range(100)],
+        "base64": [base64.b64encode(random.randbytes(24)).decode() for _ in range(100)],
+        "symbols": [w + random.choice(["$$$", "%%%", "***"]) for w in english],
+    }
+    rows = [(k, " ".join(v)) for k, v in ({"english": english, "german": german} | noise).items()]
+    df = spark.createDataFrame(rows, "kind string, text string")
+    kept = quality.keep_good(df, public_tokenizers.path("piece_bpe_32k.model"))
+    assert sorted(r["kind"] for r in kept.collect()) == ["english", "german"]
+
+
 def test_repeated_words_with_many_distinct_words():
     random.seed(6)
     codes, counts = np.array(random.choices(range(1 << 40, (1 << 40) + 60), k=3000)), np.array([0, 1, 2, 997, 2000])
