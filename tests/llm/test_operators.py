@@ -380,6 +380,16 @@ def test_checksums_context_and_masks(spark):
     assert masked[4] == "write to [email] now" and masked[2] == "my ssn [ssn]." and masked[5] is None
 
 
+def test_ibans_before_capitals_and_numbers(spark):
+    gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "NO9386011117947"
+    texts = [f"{gb} NOW please", f"{gb} now", f"IBAN {de} BIC COBADEFF", f"{de} 2024", f"{no} {de} {gb} A", f"ID42 IBAN {de} OK", f"{de}X"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = pii.find_spans(df).select("doc_id", pii.listed(pii.of_kind(F.col("spans"), "iban")).alias("s"))
+    want = [[gb], [gb], [de], [de], [no, de, gb], [de], []]
+    spans = [",".join(f"iban:{t.index(x)}:{t.index(x) + len(x)}" for x in found) for t, found in zip(texts, want, strict=True)]
+    assert dict(rows_of(got, "doc_id", "s")) == dict(enumerate(spans))
+
+
 def test_mixing_targets_and_takes(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
