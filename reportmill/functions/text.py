@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 WS = r"[\s\x0B\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 #: Words without weight in a search (fixed values).
-STOP_WORDS = (
-    "a an and are as at be been but by for from had has have he her his if in into is it its of on or our "
-    "she that the their there they this to was were will with you your"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "for", "from",
+    "had", "has", "have", "he", "her", "his", "if", "in", "into", "is", "it", "its",
+    "of", "on", "or", "our", "she", "that", "the", "their", "there", "they", "this", "to",
+    "was", "were", "will", "with", "you", "your",
+]
 TOKEN = r"\d+(?:\.\d+)?|[a-z]+"
 
 #: Prefix a model expects before queries (fixed values).
