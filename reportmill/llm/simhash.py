@@ -1,17 +1,14 @@
 """SimHash fingerprints and their near-duplicate classes, by a binary trie self-join.
 
-Bits of fingerprints are grouped in eight bytes. Two fingerprints within two differing bits
-differ in two bytes at most, so of the 28 orders that put six bytes first, one puts all
-differing bits last. In each order the trie's first 48 levels have no error budget left to
-spend: only a node and itself need be traversed together, which is an exact grouping that
-Spark's shuffle does. Below such a node at most 65,536 fingerprints hang; there node pairs
-are traversed level by level with a budget of two, and over-budget pairs are pruned.
+Distinct fingerprints meet as pairs of trie nodes, from the root down, with a budget of differing
+bits (see :mod:`.trie`); edges of a pair of blocks are reduced to those that span its classes, and
+connected components join them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +19,11 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut, free_name, text_or_empty
 from .components import components
 from .pieces import balanced
+from .trie import close
 
 SEED = 42
-#: (first, second) free byte of each order; the other six bytes are the exact part.
-ORDERS = list(combinations(range(8), 2))
+#: Fingerprints of a trie block.
+MOST_ROWS = 1 << 17
 
 
 def shingle_hashes(text: bytes, words_each: int, seed: int = SEED) -> list[int]:
@@ -42,19 +40,21 @@ def shingle_hashes(text: bytes, words_each: int, seed: int = SEED) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts, ends[words_each - 1 :], strict=True)]
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many rows of (rows, words) 64-bit hashes have each bit, lowest bit of the first word first."""
+    out = np.zeros(64 * hashes.shape[1], np.int64)
+    for a in range(0, len(hashes), 240):  # counts of so many fit a byte
+        out += np.unpackbits(hashes[a : a + 240].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return out
+
+
 def _fingerprints(texts: pa.Array, words_each: int) -> Iterator[np.ndarray]:
     for part in balanced(texts):
-        each = [shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words_each) for t in part.cast(pa.binary())]
-        counts = np.fromiter(map(len, each), np.int64, len(each))
-        out = np.zeros(len(each), np.uint64)
-        flat = np.fromiter((h for x in each for h in x), np.uint64, int(counts.sum()))
-        ends = np.cumsum(counts)
-        for k in np.flatnonzero(counts).tolist():
-            own = flat[ends[k] - counts[k] : ends[k]].view(np.uint8).reshape(-1, 8)
-            ones = np.zeros(64, np.int64)
-            for a in range(0, len(own), 1 << 16):
-                ones += np.unpackbits(own[a : a + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[k] = np.packbits(2 * ones > counts[k], bitorder="little").view("<u8")[0]
+        out = np.zeros(len(part), np.uint64)
+        for k, t in enumerate(part.cast(pa.binary())):
+            hashes = np.array(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words_each), np.uint64)
+            if len(hashes):
+                out[k] = np.packbits(2 * bit_counts(hashes[:, None]) > len(hashes), bitorder="little").view("<u8")[0]
         yield out.view(np.int64)
 
 
@@ -79,110 +79,9 @@ def as_hex(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
-def close_leaves(bucket: np.ndarray, low: np.ndarray, bits: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one bucket whose ``bits`` low bits differ in 1 to ``budget`` places.
-
-    Rows are sorted by (bucket, low) and distinct. Traverses pairs of trie nodes, a level
-    at a time over all buckets, and keeps those within the budget.
-    """
-    leaves = bucket.astype(np.int64) << bits | low.astype(np.int64)
-    nodes, first, size = np.unique(leaves >> bits, return_index=True, return_counts=True)
-    one = other = np.flatnonzero(size > 1)
-    spent = np.zeros(len(one), np.int8)
-    for left in range(bits - 1, -1, -1):
-        below, size_below = np.unique(leaves >> left, return_counts=True)
-        child = []
-        for bit in (0, 1):
-            want = nodes << 1 | bit
-            at = np.minimum(np.searchsorted(below, want), len(below) - 1)
-            child.append(np.where(below[at] == want, at, -1))
-        same = one == other
-        steps = [(child[0][one], child[0][other], spent), (child[1][one], child[1][other], spent), (child[0][one], child[1][other], spent + 1)]
-        apart = ~same
-        steps.append((child[1][one[apart]], child[0][other[apart]], spent[apart] + 1))
-        one, other, spent = (np.concatenate(x) for x in zip(*steps, strict=True))
-        keep = (one >= 0) & (other >= 0) & (spent <= budget)
-        keep &= (one != other) | (size_below[np.maximum(one, 0)] > 1)
-        one, other, spent, nodes = one[keep], other[keep], spent[keep], below
-    return one, other
-
-
-def smallest_linked(n: int, one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The smallest row that each of ``n`` rows reaches over the pairs."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[one], root[other])
-        new = root.copy()
-        np.minimum.at(new, root[one], least)
-        np.minimum.at(new, root[other], least)
-        while True:
-            jumped = new[new]
-            if np.array_equal(jumped, new):
-                break
-            new = jumped
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
-def _links(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """Edges to the first member of each class within a bucket; rows come sorted."""
-    shift = np.array(ORDERS, np.uint64) * np.uint64(8)
-    rest: list[np.ndarray] | None = None
-
-    def joined(order: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        start = np.ones(len(fp), bool)
-        start[1:] = (order[1:] != order[:-1]) | (key[1:] != key[:-1])
-        bucket = np.cumsum(start) - 1
-        shared = np.bincount(bucket)[bucket] > 1
-        order, fp, bucket = order[shared], fp[shared], bucket[shared]
-        bits = fp.view(np.uint64)
-        low = (bits >> shift[order, 1] & np.uint64(255)) << np.uint64(8) | bits >> shift[order, 0] & np.uint64(255)
-        sort = np.lexsort((low, bucket))
-        fp, bucket, low = fp[sort], bucket[sort], low[sort]
-        if len(fp):
-            root = smallest_linked(len(fp), *close_leaves(bucket, low, 16, budget))
-            moved = np.flatnonzero(root != np.arange(len(fp)))
-            a, b = fp[moved], fp[root[moved]]
-        else:
-            a = b = fp
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        if not len(now[0]):
-            continue
-        last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
-        whole = last[-1] + 1 if len(last) else 0  # rows of the last bucket may go on
-        rest = [x[whole:] for x in now]
-        if whole:
-            yield joined(*(x[:whole] for x in now))
-    if rest is not None:
-        yield joined(*rest)
-
-
-def classes(prints: DataFrame, budget: int = 2, column: str = "simhash") -> DataFrame:
-    """(simhash) distinct values -> (a, b) edges that span every class of linked values.
-
-    Every value gets 28 rows, so the join's rows grow with the values, never with pairs;
-    a bucket holds 65,536 values at most, whatever the input.
-    """
-    if budget > 2:
-        raise ValueError("six of eight bytes are exact for two differing bits at most")
-    keep = [~(255 << 8 * i | 255 << 8 * j) & (1 << 64) - 1 for i, j in ORDERS]
-    masks = [m - (1 << 64) if m >> 63 else m for m in keep]
-    bound_batches(prints.sparkSession)
-    prints.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    fp = F.col(column)
-    dealt = (
-        prints.select(fp.alias("fp"), F.posexplode(F.array(*(fp.bitwiseAND(F.lit(m)) for m in masks))).alias("ord", "exact"))
-        .repartition("ord", "exact")
-        .sortWithinPartitions("ord", "exact")
-        .select("ord", "exact", "fp")
-    )
-    return dealt.mapInArrow(lambda batches: _links(batches, budget), "a bigint, b bigint")
+def classes(prints: DataFrame, budget: int = 2, column: str = "simhash", most_rows: int = MOST_ROWS) -> DataFrame:
+    """(simhash) distinct values -> (a, b) edges that span every class of linked values."""
+    return close(prints.select(F.lit(0).alias("trie"), F.col(column).alias("value")), 64, budget, most_rows=most_rows)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", words_each: int = 3, budget: int = 2, text: str = "text") -> DataFrame:
@@ -192,7 +91,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", words_each: int = 3, bud
     other. Rows with a null key belong to classes too and never name one, unless no member
     has a key (then null). Repeated rows and keys keep their rows. Equal fingerprints are
     joined as one value with the smallest key of its rows, so copies are never paired; hot
-    values are spread by the runtime's skew-join splitting. Fingerprints are written once
+    values are spread by the runtime's skew-join splitting. Any ``budget`` works; more of it
+    prunes later. Fingerprints are written once
     to the checkpoint folder, as computing them is most of the work.
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))

@@ -1,17 +1,16 @@
 """Near-duplicates by similarity: the SimHash trie self-join over many short fingerprints.
 
 Texts whose five-word shingles are alike by 0.8 differ in about 15 percent of their SimHash
-bits, ten of 64, which a budget of two never meets. So every text gets 512 bits, cut into
-sixteen fingerprints of 32 bits, each joined with a budget of two; at a likeness of 0.8 some
-fingerprint is that near for about 87 of 100 pairs, at 0.85 for 98. A near pair is proposed if
-256 of the bits differ in at most :data:`MOST_DIFFERENT` places; with a least likeness, it is a
-link if the exact overlap of both texts' distinct shingles reaches that.
+bits, ten of 64, which a budget of two never meets. So every text gets 768 bits, cut into 24
+fingerprints of 32 bits, each joined by its own trie with a budget of two; at a likeness of 0.8
+some fingerprint is that near for about 95 of 100 pairs, at 0.85 for 99.6. A near pair is
+proposed if 128 of the bits differ in at most :data:`MOST_DIFFERENT` places, and is a link if the
+exact overlap of both texts' distinct shingles reaches the least likeness.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,40 +20,29 @@ from pyspark.sql import functions as F
 from .common import SPACE, bound_batches, cut, free_name, text_or_empty
 from .components import components
 from .pieces import balanced
-from .simhash import close_leaves, shingle_hashes, smallest_linked
+from .simhash import bit_counts, shingle_hashes
+from .trie import MOST_ROWS, close
 
 WORDS_EACH = 5
-#: 64-bit words of SimHash, and those of them that check a pair.
-WORDS, CHECKED = 8, 4
-#: Differing bits of the checked 256 up to which a pair is proposed. Texts alike by 0.8 differ
-#: in 39 bits, by 6 more or less, so that hardly any such pair is lost.
-MOST_DIFFERENT = 64
+#: 64-bit words of SimHash, bits of a fingerprint, and words that check a pair.
+WORDS, BITS, CHECKED = 12, 32, 2
+#: Differing bits of the checked 128 up to which a pair is proposed. Texts alike by 0.8 differ in
+#: 19 bits, by 4 more or less, so that 3 in 1000 such pairs are lost.
+MOST_DIFFERENT = 30
 #: Shared share of all distinct shingles of two texts from which they are copies.
 ALIKE = 0.8
-#: Pairs of rows that are looked at together.
-PART = 1 << 20
-#: Free bytes of a 32-bit fingerprint in each order of its trie; the other two are exact.
-ORDERS = list(combinations(range(4), 2))
-#: Rows of one exact prefix that a task takes; beyond, the prefix is dealt out in block pairs.
-MOST_ROWS = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_STEP = 0x9E3779B97F4A7C15
+_STEPS = np.array([0x9E3779B97F4A7C15 * (w + 1) % (1 << 64) for w in range(WORDS)], np.uint64)
 
 
 def long_print(hashes: np.ndarray) -> np.ndarray:
-    """512 bits, each set if more than half of the hashes, mixed anew for each word, have it."""
-    out = np.zeros(WORDS, np.uint64)
-    ones = np.zeros((WORDS, 64), np.int64)
-    for a in range(0, len(hashes), 1 << 16):
-        part = hashes[a : a + (1 << 16)]
-        for w in range(WORDS):
-            x = part ^ np.uint64(_STEP * (w + 1) % (1 << 64))
-            x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-            x = (x ^ x >> np.uint64(33)).view(np.uint8).reshape(-1, 8)
-            ones[w] += np.unpackbits(x, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    if len(hashes):
-        out[:] = np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    """768 bits, each set if more than half of the hashes, mixed anew for each word, have it."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for a in range(0, len(hashes), 1 << 14):
+        x = hashes[a : a + (1 << 14), None] ^ _STEPS
+        x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+        ones += bit_counts(x ^ x >> np.uint64(33))
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
 
 
 def _prints(texts: pa.Array, words_each: int) -> Iterator[np.ndarray]:
@@ -65,7 +53,7 @@ def _prints(texts: pa.Array, words_each: int) -> Iterator[np.ndarray]:
 
 
 def add_prints(df: DataFrame, words_each: int = WORDS_EACH, text: str = "text", out: str = "prints") -> DataFrame:
-    """Add ``out``: the eight words of each whole text's SimHash, zero for texts without words."""
+    """Add ``out``: the words of each whole text's SimHash, zero for texts without words."""
     bound_batches(df.sparkSession)
 
     @F.arrow_udf("array<bigint>")
@@ -77,139 +65,15 @@ def add_prints(df: DataFrame, words_each: int = WORDS_EACH, text: str = "text",
     return df.withColumn(out, run(text_or_empty(text)))
 
 
-def _cells(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exact prefix (with band and order) and free 16 bits of each row, band and order."""
-    halves = words.view("<u4").reshape(len(words), -1).astype(np.int64)
-    byte = [halves >> 8 * i & 255 for i in range(4)]
-    exact, free = [], []
-    for i, j in ORDERS:
-        a, b = (k for k in range(4) if k not in (i, j))
-        exact.append(byte[a] << 8 | byte[b])
-        free.append(byte[i] << 8 | byte[j])
-    slots = np.arange(len(ORDERS))[:, None, None] * halves.shape[1] + np.arange(halves.shape[1])
-    return (slots << 16 | np.stack(exact)).transpose(1, 0, 2).reshape(len(words), -1), np.stack(free).transpose(1, 0, 2).reshape(len(words), -1)
+def proposed(values: DataFrame, budget: int = 2, most: int = MOST_DIFFERENT, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(prints, node) rows -> (a, b): pairs near in a fingerprint and in the checked bits.
 
-
-def _words(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("prints").flatten().to_numpy(zero_copy_only=False).reshape(-1, WORDS).view(np.uint64)
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cell, n = np.unique(_cells(_words(batch))[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n)], ["cell", "n"])
-
-
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = _words(batch)
-        node = batch.column("node").to_numpy()
-        for a in range(0, len(words), 512):
-            cell, free = _cells(words[a : a + 512])
-            times = cell.shape[1]
-            columns = [cell.ravel().astype(np.int32), free.ravel().astype(np.int32), np.repeat(node[a : a + 512], times)]
-            columns += [np.repeat(words[a : a + 512, c].view(np.int64), times) for c in range(CHECKED)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cell", "free", "node", *(f"c{c}" for c in range(CHECKED))])
-
-
-def _group_links(now: list[np.ndarray], budget: int, most: int, spanning: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of the rows of whole cells that are near in the band and within ``most`` bits.
-
-    All such pairs, or as many of them as span their classes.
-    """
-    start = np.ones(len(now[0]), bool)
-    start[1:] = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])
-    bucket = np.cumsum(start) - 1
-    shared = np.bincount(bucket)[bucket] > 1
-    free, node, bucket = now[2][shared], now[3][shared], bucket[shared]
-    check = np.stack([x[shared] for x in now[4:]], axis=1).view(np.uint64)
-    if not len(node):
-        return
-    order = np.lexsort((free, bucket))
-    free, node, bucket, check = free[order], node[order], bucket[order], check[order]
-    # leaves are distinct (bucket, free); rows that share one are near each other as well
-    first = np.ones(len(node), bool)
-    first[1:] = (bucket[1:] != bucket[:-1]) | (free[1:] != free[:-1])
-    at = np.flatnonzero(first)
-    size = np.diff(np.append(at, len(node)))
-    one, other = close_leaves(bucket[at], free[at], 16, budget)
-    a = np.concatenate([np.arange(len(at))[size > 1], one])
-    b = np.concatenate([np.arange(len(at))[size > 1], other])
-    root = np.arange(len(node))
-    for p, q in _row_pairs(at, size, a, b):
-        if spanning:
-            apart = root[p] != root[q]
-            p, q = p[apart], q[apart]
-        near = np.bitwise_count(check[p] ^ check[q]).sum(axis=1) <= most
-        if spanning and near.any():
-            root = root[smallest_linked(len(node), np.append(p[near], np.arange(len(node))), np.append(q[near], root))]
-        elif near.any():
-            yield node[p[near]], node[q[near]]
-    if spanning:
-        moved = np.flatnonzero(root != np.arange(len(node)))
-        yield node[moved], node[root[moved]]
-
-
-def _row_pairs(at: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of the leaves a and b, each with each, in parts of bounded size."""
-    n = size[a] * size[b]
-    ends = np.cumsum(n)
-    for lo in range(0, int(ends[-1]) if len(ends) else 0, PART):
-        k = np.arange(lo, min(lo + PART, int(ends[-1])))
-        which = np.searchsorted(ends, k, "right")
-        k -= ends[which] - n[which]
-        wide = size[b][which]
-        x, y = at[a][which] + k // wide, at[b][which] + k % wide
-        keep = (a[which] != b[which]) | (x < y)
-        yield x[keep], y[keep]
-
-
-def _linked(batches: Iterator[pa.RecordBatch], budget: int, most: int, spanning: bool) -> Iterator[pa.RecordBatch]:
-    rest: list[np.ndarray] | None = None
-
-    def made(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for a, b in _group_links(rows, budget, most, spanning):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
-
-    for batch in batches:
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        if not len(now[0]):
-            continue
-        last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
-        whole = last[-1] + 1 if len(last) else 0
-        rest = [x[whole:] for x in now]
-        if whole:
-            yield from made([x[:whole] for x in now])
-    if rest is not None:
-        yield from made(rest)
-
-
-def links(values: DataFrame, budget: int = 2, most: int = MOST_DIFFERENT, most_rows: int = MOST_ROWS, spanning: bool = True) -> DataFrame:
-    """(prints, node) distinct rows -> (a, b) edges that span every class of linked nodes.
-
-    Without ``spanning``, every linked pair, once for each cell that it shares.
-
-    A row per band and order, 96 a node. Exact prefixes with more than ``most_rows`` rows are
-    cut into blocks by a hash of the node, and each task takes two blocks, so all pairs still
-    meet and no task's share follows the group's size.
+    A pair comes once for each fingerprint in which it is near.
     """
-    bound_batches(values.sparkSession)
-    rows = values.mapInArrow(_dealt, "cell int, free int, node bigint, " + ", ".join(f"c{c} bigint" for c in range(CHECKED)))
-    counts = values.select("prints", "node").mapInArrow(_counted, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    hot = cut(counts.filter(F.col("n") > most_rows).select("cell", F.ceil(F.col("n") * 2 / most_rows).cast("int").alias("k")))
-    if hot.isEmpty():
-        rows = rows.withColumn("pair", F.lit(0))
-    else:
-        joined = rows.join(hot, "cell", "left")
-        own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-        # the pairs (own, j) of blocks, smaller first, numbered
-        pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(own, j) * F.col("k") + F.greatest(own, j))
-        rows = joined.withColumn("pair", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(pairs)))
-    ready = rows.select("cell", "pair", "free", "node", *(f"c{c}" for c in range(CHECKED)))
-    ready = ready.repartition("cell", "pair").sortWithinPartitions("cell", "pair")
-    return ready.mapInArrow(lambda b: _linked(b, budget, most, spanning), "a bigint, b bigint")
+    halves = F.flatten(F.transform("prints", lambda w: F.array(w.bitwiseAND(F.lit((1 << BITS) - 1)), F.shiftrightunsigned(w, BITS))))
+    checks = [F.col("prints")[i].alias(f"c{i}") for i in range(CHECKED)]
+    rows = values.select("node", *checks, F.posexplode(halves).alias("trie", "value"))
+    return close(rows, BITS, budget, CHECKED, most, spanning=False, most_rows=most_rows)
 
 
 def _add_shingles(df: DataFrame, words_each: int, text: str, out: str) -> DataFrame:
@@ -234,37 +98,30 @@ def verified(pairs: DataFrame, texts: DataFrame, words_each: int, alike: float)
     ``texts`` has (key, same, text), ``same`` telling the texts of one key apart; one alike
     text is enough. Only texts of proposed pairs are read for shingles.
     """
-    proposed = cut(pairs.filter("a != b").distinct())
-    wanted = proposed.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    found = cut(pairs.filter("a != b").distinct())
+    wanted = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     own = texts.join(wanted, "key").dropDuplicates(["key", "same"])
     sets = cut(_add_shingles(own, words_each, "text", "shingles").select("key", "shingles"))
     one, other = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("a", "b"))
     shared = F.size(F.array_intersect("sa", "sb"))
     likeness = shared / F.greatest(F.size("sa") + F.size("sb") - shared, F.lit(1))
     none = (F.size("sa") == 0) & (F.size("sb") == 0)
-    return proposed.join(one, "a").join(other, "b").filter(none | (likeness >= alike)).select("a", "b")
+    return found.join(one, "a").join(other, "b").filter(none | (likeness >= alike)).select("a", "b")
 
 
-def near_duplicates(
-    df: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = WORDS_EACH, alike: float | None = None, **options
-) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = WORDS_EACH, alike: float = ALIKE, **options) -> DataFrame:
     """(key, component_id): the smallest key that links of alike texts reach, itself included.
 
-    One row per distinct key. Rows that repeat a key are one document; rows without a key
-    are left out. Texts without words are alike. Proposed pairs are links, or those of them
-    that reach ``alike`` in their exact shingles. Copies (without it, texts of one print)
-    are joined as one; what each node links to stays within its bands' cells. To verify,
-    all proposed pairs are written, so a group of many slightly different texts has pairs
-    by the square of its members.
+    Keys are integers. One row per distinct key. Rows that repeat a key are one document; rows
+    without a key are left out. Null, empty and blank texts have no shingles and are alike. Texts
+    of the same words are joined as one before any pair is made. An empty table gives no rows.
     """
     keyed = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     plain = F.trim(F.regexp_replace(F.translate(text_or_empty(), UPPER, LOWER), f"[{SPACE}]++", " "))
-    keyed = keyed.withColumn("same", F.lit(0).cast("long") if alike is None else F.xxhash64(plain))
+    keyed = keyed.withColumn("same", F.xxhash64(plain))
     prints = cut(add_prints(keyed, words_each).select("key", "prints", "same"))
     values = cut(prints.groupBy("prints", "same").agg(F.min("key").alias("node")))
-    edges = links(values.select("prints", "node"), spanning=alike is None, **options)
-    if alike is not None:
-        edges = verified(edges, keyed, words_each, alike)
+    edges = verified(proposed(values.select("prints", "node"), **options), keyed, words_each, alike)
     found = components(edges.unionByName(_same_key(prints, values)))
     named = prints.join(values, ["prints", "same"]).select("key", "node")
     named = named.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
