@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reportmill.shipping import ship
@@ -71,3 +71,37 @@ def n_words(column: Column) -> Column:
     """Number of maximal runs of anything but ASCII white space, without making them."""
     marked = F.regexp_replace(column, f"[{SPACE}]*+[^{SPACE}]++", "x")
     return F.length(F.regexp_replace(marked, f"[{SPACE}]++", "")).cast("long")
+
+
+def add_sums_before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add, by name, the sum of a whole number over all rows before, in a total ``order``.
+
+    Ranges of rows are sorted and summed apart; only the ranges' totals meet in one task.
+    """
+    (part,) = free_name(df, "range_part")
+    ranged = df.withColumns({f"_of_{n}": c.cast("long") for n, c in sums.items()})
+    ranged = cut(ranged.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    parts = ranged.groupBy(part).agg(*(F.sum(f"_of_{n}").alias(f"_all_{n}") for n in sums))
+    upto = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(part, *(F.coalesce(F.sum(f"_all_{n}").over(upto), F.lit(0)).alias(f"_off_{n}") for n in sums))
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.withColumns({n: F.coalesce(F.sum(f"_of_{n}").over(inside), F.lit(0)) for n in sums}).join(offsets, part)
+    return joined.withColumns({n: F.col(n) + F.col(f"_off_{n}") for n in sums}).select(*df.columns, *sums)
+
+
+def sums_before(sums: DataFrame, by: list[str], at: str, value: str, out: str, bits: int, level: int = 12) -> DataFrame:
+    """(by, at, value) rows -> (by, at, out): the sum of values at smaller ``at`` of a group.
+
+    ``at`` has ``bits`` bits and is distinct in a group. Sums go up by levels of 2**level places,
+    so that no task holds more than one level of a group, however large it is.
+    """
+    if bits <= level:
+        upto = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return sums.select(*by, at, F.coalesce(F.sum(value).over(upto), F.lit(0)).alias(out))
+    up = f"_up{bits}"
+    rows = sums.withColumn(up, F.shiftright(at, level))
+    above = rows.groupBy(*by, up).agg(F.sum(value).alias("_sum"))
+    above = sums_before(above, by, up, "_sum", "_above", bits - level, level)
+    upto = Window.partitionBy(*by, up).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("_inside", F.coalesce(F.sum(value).over(upto), F.lit(0)))
+    return inside.join(above, [*by, up]).select(*by, at, (F.col("_above") + F.col("_inside")).alias(out))

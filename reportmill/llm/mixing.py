@@ -1,9 +1,11 @@
 """Mixing sources to target weights: a low-discrepancy schedule over equal-token blocks.
 
-Golden-ratio points walk through the sources' cumulative shares, which spreads each
-source's slots evenly over the whole mix. A source's slots are ranked in walking order, and
-rank r takes its block r modulo the number of its blocks; its blocks are equal runs of words
-over its documents in a shuffled order. SQL functions only.
+Golden-ratio points walk through the sources' cumulative shares, which spreads each source's
+slots evenly over the whole mix: in any first part of it, every source has its share but for a
+few slots. A source's slots are ranked in walking order, and rank r takes its block r modulo the
+number of its blocks; its blocks are equal runs of words over its documents in a shuffled order.
+A document stands in the mix where the first of its blocks does, once for each pass. SQL
+functions only.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, n_words, text_or_empty
+from .common import SPACE, add_sums_before, cut, free_name, n_words, sums_before, text_or_empty
 
 #: Slots of the whole mix, about; a block is one of these many parts of all words.
 SLOTS = 1 << 20
@@ -23,8 +25,10 @@ PASSES = 3
 CHUNK = 4096
 #: Documents of a source whose sizes are summed in one task.
 ROWS = 512
-#: Cells into which the cumulative shares are cut to look slots up.
-CELLS = 1024
+#: Cells a source, at least, into which the cumulative shares are cut to look slots up.
+CELLS = 4
+#: Sources up to which their table is broadcast (some 100 bytes each).
+MOST_BROADCAST = 100_000
 _GOLDEN = (5**0.5 - 1) / 2
 _BIG = "decimal(38,0)"
 
@@ -37,96 +41,101 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int
     is shared again by weight. That is a common level times the weight, or the limit: with
     sources in the order of limit by weight, the level is what the limits before leave,
     divided by the weights that remain, at the first source whose limit it doesn't exceed.
-    One row per source meets in one task, not one per document.
+    Orders are ranges sorted apart, so any number of sources will do.
     """
-    by_name = Window.orderBy(F.asc_nulls_last("source"))
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    per = per.withColumn("source_ix", F.row_number().over(by_name))
+    per = add_sums_before(per, [F.asc_nulls_last("source")], {"source_ix": F.lit(1)})
     turn = F.array(*map(F.lit, weights))
-    per = per.withColumn("weight", F.element_at(turn, (F.col("source_ix") - 1) % len(weights) + 1).cast("double"))
-    per = per.withColumn("most", (F.col("source_size") * passes).cast("double")).withColumn("ratio", F.col("most") / F.col("weight"))
-    order = Window.orderBy("ratio", "source_ix")
-    everything = Window.partitionBy(F.lit(1))
-    level = (F.sum("source_size").over(everything) - (F.sum("most").over(order) - F.col("most"))) / (
-        F.sum("weight").over(everything) - F.sum("weight").over(order) + F.col("weight")
-    )
-    per = per.withColumn("level", level)
-    fits = F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "source_ix", "level"))
-    per = per.withColumn("water", F.min(fits).over(everything)["level"])
-    target = F.least(F.col("most"), F.coalesce(F.col("water"), F.lit(0.0)) * F.col("weight"))
-    return per.select("source", "source_ix", "weight", "source_size", target.alias("target"))
+    per = per.withColumn("source_ix", F.col("source_ix") + 1).withColumn("weight", F.element_at(turn, ((F.col("source_ix") - 1) % len(weights) + 1).cast("int")))
+    most = F.col("source_size") * passes
+    per = add_sums_before(per, [F.asc(F.col("source_size") / F.col("weight")), F.asc("source_ix")], {"most_before": most, "weight_before": F.col("weight")})
+    whole = per.agg(F.sum("source_size").alias("_size"), F.sum("weight").alias("_weight"))
+    level = (F.col("_size") - F.col("most_before")) / (F.col("_weight") - F.col("weight_before"))
+    per = cut(per.join(F.broadcast(whole)).withColumn("level", level).withColumn("ratio", most / F.col("weight")))  # one row
+    water = per.filter("level <= ratio").agg(F.min(F.struct("ratio", "source_ix", "level")).alias("w")).select(F.coalesce("w.level", F.lit(0.0)).alias("water"))
+    target = F.least(most.cast("double"), F.col("water") * F.col("weight"))
+    return per.join(F.broadcast(water)).select("source", "source_ix", F.col("weight").cast("double").alias("weight"), "source_size", target.alias("target"))  # one row
 
 
 def _blocks(per: DataFrame, total: int) -> DataFrame:
-    """Add each source's number of blocks and the slots that its target takes."""
+    """Add each source's number of blocks, and its quota: the slots that its target takes."""
     block_words = max(1.0, total / SLOTS)
     wanted = F.ceil(F.col("source_size") / block_words)
     n = F.greatest(wanted, F.least(F.col("source_size"), F.lit(LEAST_BLOCKS))).cast("long")
-    slots = F.when(F.col("source_size") > 0, F.col("target") * n / F.col("source_size")).otherwise(0.0)
-    return per.withColumn("n_blocks", n).withColumn("slots", slots)
+    quota = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * n / F.col("source_size")).cast("long"), n * PASSES)).otherwise(0)
+    return per.withColumn("n_blocks", n).withColumn("quota", quota.cast("long"))
 
 
-def schedule(per: DataFrame, total_slots: float) -> DataFrame:
-    """(source_ix, block, times): how often each block is taken.
+def schedule(per: DataFrame) -> DataFrame:
+    """(source_ix, n_blocks, quota) -> (slot, source_ix, rank, block): the mix, slot by slot.
 
-    Slot n stands at frac((n + 1/2) * golden ratio). A few more slots are drawn than are
-    needed, and a source's ranks end at its own number of slots.
+    Point n stands at frac((n + 1/2) * golden ratio) of the sum of all quotas, and belongs to the
+    source whose quota, laid end to end with the others', covers it. ``slot`` is n, with gaps
+    where a source has its quota already; what a source lacks after a few more points than
+    quotas stands behind all points.
     """
     spark = per.sparkSession
-    upto = Window.orderBy("source_ix")
-    share = F.col("slots") / F.lit(max(total_slots, 1e-300))
-    shares = per.filter("slots > 0").withColumn("hi", F.sum(share).over(upto)).withColumn("lo", F.col("hi") - share)
-    last = F.lead("source_ix").over(upto).isNull()
-    shares = shares.withColumn("hi", F.when(last, F.lit(2.0)).otherwise(F.col("hi")))
-    cell = F.explode(F.sequence(F.least(F.floor(F.col("lo") * CELLS), F.lit(CELLS - 1)), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell")
-    cells = shares.select("source_ix", "lo", "hi", "n_blocks", F.round("slots").cast("long").alias("quota"), cell)
-    drawn = int(total_slots * 1.02) + 64 if total_slots > 0 else 0
-    points = spark.range(drawn).withColumn("u", (F.col("id") + 0.5) * F.lit(_GOLDEN)).withColumn("u", F.col("u") - F.floor("u"))
-    points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
-    dealt = points.join(cells, "cell").filter("u >= lo and u < hi").select("id", "source_ix", "n_blocks", "quota")
-    dealt = cut(dealt.withColumn("chunk", F.floor(F.col("id") / CHUNK)))
+    held = per.filter("quota > 0").select("source_ix", "n_blocks", "quota")
+    n, total = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("quota"), F.lit(0))).first()
+    cells = 1 << max(10, (CELLS * n).bit_length())
+    held = cut(add_sums_before(held, [F.asc("source_ix")], {"lo": F.col("quota")}).withColumn("hi", F.col("lo") + F.col("quota")))
+    cell_of = lambda x: F.floor(x / F.lit(max(total, 1)) * cells)
+    spread = held.withColumn("cell", F.explode(F.sequence(cell_of(F.col("lo")), F.least(cell_of(F.col("hi")), F.lit(cells - 1)))))
+    drawn = int(total * 1.02) + 64 if total else 0
+    points = spark.range(drawn).withColumnRenamed("id", "slot").withColumn("u", (F.col("slot") + 0.5) * F.lit(_GOLDEN))
+    points = points.withColumn("u", F.col("u") - F.floor("u")).select("slot", (F.col("u") * total).alias("x"), F.floor(F.col("u") * cells).alias("cell"))
+    dealt = points.join(spread, "cell").filter("x >= lo and x < hi").select("slot", "source_ix", "n_blocks", "quota")
+    dealt = cut(dealt.withColumn("chunk", F.floor(F.col("slot") / CHUNK)))
     counts = dealt.groupBy("source_ix", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    running = Window.partitionBy("source_ix").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n")
-    inside = F.row_number().over(Window.partitionBy("source_ix", "chunk").orderBy("id"))
-    ranked = dealt.withColumn("inside", inside).join(counts, ["source_ix", "chunk"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("inside") - 1).filter(F.col("rank") < F.least("quota", F.col("n_blocks") * PASSES))
-    block = (F.col("rank") % F.col("n_blocks")).alias("block")
-    return ranked.select("source_ix", block).groupBy("source_ix", "block").agg(F.count(F.lit(1)).alias("times"))
+    before = sums_before(counts, ["source_ix"], "chunk", "n", "before", max(1, (drawn // CHUNK).bit_length()))
+    inside = F.row_number().over(Window.partitionBy("source_ix", "chunk").orderBy("slot"))
+    ranked = dealt.withColumn("inside", inside).join(before, ["source_ix", "chunk"])
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("inside") - 1).filter("rank < quota").select("slot", "source_ix", "n_blocks", "rank")
+    have = counts.groupBy("source_ix").agg(F.sum("n").alias("have"))
+    short = held.join(have, "source_ix", "left").filter(F.coalesce("have", F.lit(0)) < F.col("quota"))
+    rest = short.select("source_ix", "n_blocks", F.explode(F.sequence(F.coalesce("have", F.lit(0)), F.col("quota") - 1)).alias("rank"))
+    rest = rest.select((F.col("rank") + drawn).alias("slot"), "source_ix", "n_blocks", "rank")
+    every = ranked.unionByName(rest)
+    return every.select("slot", "source_ix", "rank", (F.col("rank") % F.col("n_blocks")).alias("block"))
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7) -> DataFrame:
-    """(key, th, size, source_size, target, taken, passes): what the mix takes of each row.
+    """(key, th, size, source_size, target, taken, passes, slots): what the mix takes of each row.
 
     ``size`` counts the text's words, ``taken`` those that the mix takes, repeats counted,
     and ``passes`` has the words of the first, second and third pass; they are the row's
-    first words where a pass takes only some. Null texts have size 0; a null source is a
-    source. Within a source rows are shuffled by a hash of key and seed, so reruns agree;
-    rows that repeat a key follow each other by text hash and size. ``th`` is a hash of the text.
+    first words where a pass takes only some. ``slots`` has the slot of each pass, null for a
+    pass without words. Null texts have size 0; a null source is a source. Within a source rows
+    are shuffled by a hash of key, text and seed, so reruns agree; rows that repeat a key and a
+    text follow each other. ``th`` is a hash of the text. An empty table gives no rows.
     """
+    th = F.xxhash64(text)
     sized = cut(
         df.select(
             F.col(key).alias("key"),
             F.col(source).alias("source"),
-            F.xxhash64(text).alias("th"),
+            th.alias("th"),
             n_words(text_or_empty(text)).alias("size"),
-            F.xxhash64(F.lit(seed), key).alias("h"),
+            F.xxhash64(F.lit(seed), key, th).alias("h"),
         )
     )
     rows, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     per = cut(_blocks(targets(sized), total))
-    total_slots = per.agg(F.coalesce(F.sum("slots"), F.lit(0.0))).first()[0]
-    times = schedule(per, total_slots)
+    slot = [F.min(F.when(F.floor(F.col("rank") / F.col("n")) == p, F.col("slot"))).alias(f"s{p}") for p in range(PASSES)]
+    times = schedule(per).join(per.select("source_ix", F.col("n_blocks").alias("n")), "source_ix")
+    times = times.groupBy("source_ix", "block").agg(F.count(F.lit(1)).alias("times"), *slot)
 
     bits = max(1, (rows // ROWS).bit_length())
+    named = per.withColumnRenamed("source", "of").select("of", "source_ix", "source_size", "target", "n_blocks")
+    if per.count() <= MOST_BROADCAST:
+        named = F.broadcast(named)
     bucketed = sized.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
-    bucketed = bucketed.join(per.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
+    bucketed = bucketed.join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
     sums = bucketed.groupBy("source_ix", "bucket").agg(F.sum("size").alias("words"))
-    running = Window.partitionBy("source_ix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0))).drop("words")
+    sums = sums_before(sums, ["source_ix"], "bucket", "words", "before", bits)
     order = Window.partitionBy("source_ix", "bucket").orderBy("h", "key", "th", "size")
     placed = bucketed.withColumn("nth", F.row_number().over(order)).withColumn("own", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    placed = placed.join(sums, ["source_ix", "bucket"]).withColumn("offset", F.col("before") + F.col("own")).drop("before", "own", "h", "weight", "slots")
+    placed = placed.join(sums, ["source_ix", "bucket"]).withColumn("offset", F.col("before") + F.col("own")).drop("before", "own", "h")
 
     # word w is in block w * n_blocks div source_size; products need more than 64 bits
     first = F.expr(f"(cast(offset as {_BIG}) * n_blocks) div cast(source_size as {_BIG})")
@@ -139,26 +148,33 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     taken = spread.join(times, ["source_ix", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     row = ["source_ix", "bucket", "nth", "key", "th", "size", "source_size", "target"]
     each = [F.sum(F.when(F.col("times") > p, F.col("overlap")).otherwise(0)).alias(f"p{p}") for p in range(PASSES)]
+    each += [F.min(F.when(F.col("overlap") > 0, F.col(f"s{p}"))).alias(f"s{p}") for p in range(PASSES)]
     done = taken.groupBy(*row).agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"), *each)
-    passes = F.array(*(F.col(f"p{p}") for p in range(PASSES)))
-    return done.select(F.col("key").alias(key), "th", "size", "source_size", "target", "taken", passes.alias("passes"))
+    passes, slots = (F.array(*(F.col(f"{c}{p}") for p in range(PASSES))).alias(name) for c, name in (("p", "passes"), ("s", "slots")))
+    return done.select(F.col("key").alias(key), "th", "size", "source_size", "target", "taken", passes, slots)
 
 
 def first_words(text: Column, size: Column, n: Column) -> Column:
-    """The whole text if ``n`` is all its words, else its first ``n`` words, single-spaced."""
-    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
-    return F.when(n >= size, text).otherwise(F.array_join(F.slice(words, F.lit(1), n.cast("int")), " "))
+    """The whole text if ``n`` is all its words, else as far as the end of its ``n``-th word."""
+    words = F.regexp_extract_all(text, F.lit(f"[{SPACE}]*+[^{SPACE}]++"), F.lit(0))
+    return F.when(n >= size, text).otherwise(F.array_join(F.slice(words, F.lit(1), n.cast("int")), ""))
 
 
 def take(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7) -> DataFrame:
-    """The mix itself: a row of ``df`` for every pass that takes words of it.
+    """The mix itself: a row of ``df`` for every pass that takes words of it, in the mix's order.
 
-    Has the columns of ``df``; a text that a pass takes in part is cut to those words. Rows
-    with one key and text are one document here, and get the same passes.
+    Has the columns of ``df``; a text that a pass takes in part ends with the last of those
+    words, its white space as it was. Rows with one key and text are one document here, and get
+    the same passes. Null and empty texts have no words and no rows; null keys and sources are
+    taken like others; an empty table gives no rows. Partitions are consecutive runs of slots
+    and sorted inside, so files written from them follow the schedule.
     """
-    k, th, size, n = free_name(df, "mix_key", "mix_th", "mix_size", "mix_n")
+    k, th, size, n, slot = free_name(df, "mix_key", "mix_th", "mix_size", "mix_n", "mix_slot")
     plan = mix(df, key, source, text, seed).groupBy(F.col(key).alias(k), F.col("th").alias(th))
-    plan = plan.agg(F.min_by("passes", "passes").alias("passes"), F.first("size").alias(size))
-    plan = plan.select(k, th, size, F.explode(F.filter("passes", lambda p: p > 0)).alias(n))
+    plan = plan.agg(F.min_by(F.arrays_zip("passes", "slots"), "slots").alias("each"), F.first("size").alias(size))
+    plan = cut(plan.select(k, th, size, F.explode(F.filter("each", lambda x: x["passes"] > 0)).alias("one")).select(k, th, size, F.col("one.passes").alias(n), F.col("one.slots").alias(slot)))
     joined = df.join(plan, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(th)))
-    return joined.withColumn(text, first_words(F.col(text), F.col(size), F.col(n))).select(*df.columns)
+    last = plan.agg(F.coalesce(F.max(slot), F.lit(0))).first()[0] + 1
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = joined.repartitionById(parts, F.floor(F.col(slot) * parts / last).cast("int")).sortWithinPartitions(slot, k, th)
+    return in_order.withColumn(text, first_words(F.col(text), F.col(size), F.col(n))).select(*df.columns)

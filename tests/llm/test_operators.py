@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reportmill.llm import bpe, components, fingerprints, line_dedup, mixing, pii, quality, simhash, simhash_bands, token_counts, trie, url_filter, warc
+from reportmill.llm import bpe, common, components, fingerprints, line_dedup, mixing, pii, quality, simhash, simhash_bands, token_counts, trie, url_filter, warc
 from reportmill.llm import queries as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -333,37 +333,80 @@ def test_repeated_words_with_many_distinct_words():
         at += n
 
 
-def test_fingerprints_and_neighbours(docs, empty):
-    rows = docs.filter("doc_id is not null").distinct()
-    got = {r["doc_id"]: r for r in fingerprints.compare_edited(rows).collect()}
-    order = sorted(rows.collect(), key=lambda r: -r["doc_id"])
-    for r, n in zip(order, order[1:] + order[:1], strict=True):
-        t, nxt = r["text"] or "", n["text"] or ""
+def brute_sketch(text, keep_bits=3):
+    """Sorted kept hashes of a text, by XXH64 chained over five words with Spark's seed."""
+    words = [w.lower() for w in WORD.findall(text)]
+    out = set()
+    for i in range(max(len(words) - 4, 1) if words else 0):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        out |= {h} if h < 1 << 64 - keep_bits else set()
+    return sorted(out)
+
+
+def brute_likeness(a, b):
+    x, y = set(brute_sketch(a)), set(brute_sketch(b))
+    if [w.lower() for w in WORD.findall(a)] == [w.lower() for w in WORD.findall(b)]:
+        return 1.0
+    return len(x & y) / len(x | y) if x | y else 0.0
+
+
+def check_compared(rows, got):
+    """Rows of (key, text) against compare_edited's results, in the order of the contract."""
+    order = sorted(rows, key=lambda r: (-r[0], xxhash64_signed(r[1])))
+    left = Counter(tuple(g) for g in got)
+    for (k, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
         half = len(t) // 2
         changed = t[: len(t) - half] + nxt[:half]
-        g = got[r["doc_id"]]
-        assert g["n_chars"] == len(t) and g["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
-        assert 0 <= g["near_edited"] <= 1 and 0 <= g["near_next"] <= 1
-    assert got[50]["fingerprint"] == got[51]["fingerprint"] and got[51]["near_next"] == 1.0
+        digits = lambda x: "".join(f"{h:016x}" for h in brute_sketch(x))
+        want = (k, len(t), hashlib.sha256(changed.encode()).hexdigest(), digits(t), digits(changed), brute_likeness(t, changed), brute_likeness(t, nxt))
+        fits = [g for g in left if left[g] and (g[0], g[1], g[2], g[3].split(":")[1], g[4].split(":")[1], *map(float, g[5:7])) == want]
+        assert fits, want
+        left[fits[0]] -= 1
+    assert not +left
+
+
+def xxhash64_signed(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_fingerprints_against_brute_force(spark, docs, empty):
+    random.seed(81)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(k, " ".join(random.choices(words, k=random.choice([0, 1, 4, 5, 6, 20, 200])))) for k in random.sample(range(-(1 << 40), 1 << 40), 60)]
+    rows += [(7, rows[3][1]), (7, rows[4][1] + " more"), (8, rows[3][1])] + [(k, t or "") for k, t in enumerate(ODD, 100)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, rank int, sketch string")
+    check_compared(rows, fingerprints.compare_edited(df).collect())
     assert fingerprints.compare_edited(docs).count() == docs.count()
     assert fingerprints.compare_edited(empty).count() == 0
+    alone = fingerprints.compare_edited(docs.filter("doc_id = 50")).first()
+    assert alone["near_next"] == alone["near_edited"] == 1.0
 
 
-def test_neighbours_over_sparse_keys(spark):
-    random.seed(8)
-    keys = random.sample(range(-(1 << 40), 1 << 40), 300) + list(range(700))
-    df = spark.createDataFrame([(k, f"t{k}") for k in keys], "doc_id bigint, text string").repartition(7)
-    got = dict(rows_of(fingerprints.with_next(df, "doc_id", "text", []), "doc_id", "next_text"))
-    order = sorted(set(keys), reverse=True)
-    assert got == {k: f"t{n}" for k, n in zip(order, order[1:] + order[:1], strict=True)}
+def test_hot_keys_are_cut_up(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "HOT_ROWS", 20)
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 4)
+    random.seed(82)
+    words = [f"w{i}" for i in range(30)]
+    text = lambda: " ".join(random.choices(words, k=12))
+    rows = [(5, text()) for _ in range(90)] + [(9, "the same text here")] * 40 + [(k, text()) for k in range(200, 260)] + [(1 << 50, text())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    check_compared(rows, fingerprints.compare_edited(df).collect())
+    nulls = spark.createDataFrame([(None, t) for _, t in rows], "doc_id bigint, text string")
+    got = Counter(r["edited_sha256"] for r in fingerprints.compare_edited(nulls).collect())
+    with_key = spark.createDataFrame([(0, t) for _, t in rows], "doc_id bigint, text string")
+    assert got == Counter(r["edited_sha256"] for r in fingerprints.compare_edited(with_key).collect())
 
 
 def test_sketches_merge(spark):
-    df = spark.createDataFrame([(1, "a b c d e f g h"), (1, "k l m n o p"), (2, "a b c d e f g h")], "g int, text string")
-    one = fingerprints.add_sketch(df, keep_bits=1)
-    joint = {r["g"]: r["sketch"] for r in fingerprints.merged(one, ["g"]).collect()}
-    parts = [r["sketch"] for r in one.filter("g = 1").collect()]
-    assert joint[1] == sorted(set(parts[0]) | set(parts[1]))
+    random.seed(83)
+    texts = [" ".join(random.choices("abcdefghijkl", k=random.choice([3, 6, 9, 60]))) for _ in range(40)]
+    df = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)], "g int, text string")
+    joint = {r["g"]: r["sketch"] for r in fingerprints.merged(fingerprints.add_sketch(df), ["g"]).collect()}
+    for g in range(4):
+        assert joint[g] == sorted({h for t in texts[g::4] for h in brute_sketch(t)})
 
 
 def luhn(digits):
@@ -461,6 +504,79 @@ def test_mixing_shares(spark):
     assert words == taken
 
 
+def brute_schedule(quotas):
+    """(point, source) of the walk, each source up to its quota; {source ix: quota}, whole numbers."""
+    total, golden, out, have = sum(quotas.values()), (5**0.5 - 1) / 2, [], Counter()
+    ends, at = [], 0
+    for s, q in sorted(quotas.items()):
+        ends.append((at, at + q, s))
+        at += q
+    drawn = int(total * 1.02) + 64
+    for n in range(drawn):
+        u = (n + 0.5) * golden
+        x = (u - int(u)) * total
+        s = next(s for lo, hi, s in ends if lo <= x < hi)
+        if have[s] < quotas[s]:
+            out.append((n, s, have[s]))
+            have[s] += 1
+    return out + [(drawn + r, s, r) for s, q in sorted(quotas.items()) for r in range(have[s], q)]
+
+
+def test_every_slot_of_the_schedule(spark):
+    quotas = {1: 700, 2: 35, 3: 1500, 4: 0, 5: 3, 6: 400}
+    df = spark.createDataFrame([(s, max(1, q // 2), q) for s, q in quotas.items()], "source_ix bigint, n_blocks bigint, quota bigint")
+    got = rows_of(mixing.schedule(df), "slot", "source_ix", "rank", "block")
+    want = [(n, s, r, r % max(1, quotas[s] // 2)) for n, s, r in brute_schedule({s: q for s, q in quotas.items() if q})]
+    assert got == sorted(want, key=repr)
+    have, total = Counter(), sum(quotas.values())
+    for i, (_, s, _, _) in enumerate(sorted(got), 1):
+        have[s] += 1
+        assert all(abs(have[x] - i * q / total) <= 4 + i * 0.02 for x, q in quotas.items())
+    assert mixing.schedule(df.limit(0)).count() == 0
+
+
+def test_sums_before_by_levels(spark):
+    rows = [(g, a, (a * 7 + g) % 11) for g in (1, 2) for a in range(0, 1 << 9, 3)]
+    df = spark.createDataFrame(rows, "g int, at bigint, n bigint")
+    got = rows_of(common.sums_before(df, ["g"], "at", "n", "upto", 9, level=3), "g", "at", "upto")
+    assert got == sorted(((g, a, sum(n for h, b, n in rows if h == g and b < a)) for g, a, _ in rows), key=repr)
+    got = rows_of(common.add_sums_before(df, [F.desc("at"), F.asc("g")], {"upto": F.col("n")}), "g", "at", "upto")
+    assert got == sorted(((g, a, sum(n for h, b, n in rows if (-b, h) < (-a, g))) for g, a, _ in rows), key=repr)
+
+
+def test_mix_against_brute_force(spark):
+    """Every document's words, passes and slots, with blocks of one word."""
+    random.seed(101)
+    rows = [(i, "\n".join(f"w{i}_{k}" for k in range(random.randint(0, 12))), "abc"[i % 7 % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    plan = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    order = {s: sorted((xxhash_of(k, t), k) for k, t, x in rows if x == s) for s in "abc"}
+    text = {k: t.split() for k, t, _ in rows}
+    words = {s: [(k, w) for _, k in ks for w in text[k]] for s, ks in order.items()}
+    total = sum(map(len, words.values()))
+    target = {s: min(3 * len(words[s]), total * (i + 1) / 6) for i, s in enumerate("abc")}
+    assert all(target[s] < 3 * len(words[s]) for s in "abc"), "no limit binds here"
+    quotas = {i: int(target[s] + 0.5) for i, s in enumerate("abc", 1)}
+    taken = {k: [[], [], []] for k in text}
+    for n, i, r in brute_schedule(quotas):
+        here = words["abc"[i - 1]]
+        taken[here[r % len(here)][0]][r // len(here)].append(n)
+    for k, p in taken.items():
+        assert list(plan[k]["passes"]) == [len(x) for x in p] and plan[k]["taken"] == sum(map(len, p))
+        assert list(plan[k]["slots"]) == [min(x, default=None) for x in p]
+    want = [" ".join(text[k][: len(x)]) for k, x in sorted(((k, x) for k, p in taken.items() for x in p if x), key=lambda y: min(y[1]))]
+    got = [r["text"] for r in mixing.take(df).collect()]
+    assert [" ".join(t.split()) for t in got] == want
+    assert all(t.count("\n") == len(t.split()) - 1 for t in got), "line breaks stay"
+
+
+def xxhash_of(key, text):
+    """Spark's xxhash64(7, key, xxhash64(text)) of an int, a bigint and a bigint."""
+    h = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42)
+    h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), h)
+    return xxhash.xxh64_intdigest((xxhash64_signed(text) & (1 << 64) - 1).to_bytes(8, "little"), h)
+
+
 def test_arc_versions_and_damage():
     import io
 
