@@ -1,15 +1,17 @@
 """URL filters: explicit host and path rules, then a tree of path templates per host.
 
-Below each host, segments that vary become wildcards: those with digits or hex ids by their
-shape, and the rest of a place once a host has more distinct segments there than a site's
-fixed sections would be. Sibling branches whose labelled share does not differ beyond chance
-are merged. A template is rejected when its smoothed share of bad labels reaches a limit.
+Below each host, paths are read segment by segment. Numbers and hex ids are wildcards by their
+shape. Any other segment stands for itself as long as its share of the pages at its place in the
+tree is, with confidence, no less than that of a site's section; the rest of a place is one
+wildcard. Sibling branches whose shares of bad labels a two-sample test can't tell apart are
+merged, at the leaves and at every node above. A branch's share is smoothed towards its parent's,
+and a template with bad labels of its own is rejected when its smoothed share reaches a limit.
 SQL functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -17,15 +19,14 @@ from .common import cut
 #: (verdict, host and path): a rule fits its host, all subdomains, and paths that start so.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Distinct segments at one place of a host beyond which they are a variable.
-MOST_SECTIONS = 32
-#: Segments of a template; what lies deeper is one wildcard.
-DEPTH = 4
-#: Pseudo-counts that pull a template's share towards its host's and the whole table's.
-PRIOR = 8.0
+#: Least share of a place's pages that a section has, and standard errors of confidence in it. So
+#: a place has fewer than 1 / SECTION branches, however many segments stand there.
+SECTION, SURE = 0.02, 1.645
+#: Labels that a parent's share counts for.
+PRIOR = 2.0
 #: Bad share from which a template is rejected.
 LIMIT = 0.5
-#: Standard errors by which a branch must leave its siblings' share to stay apart.
+#: Standard errors by which the shares of two siblings must differ to stay apart.
 APART = 2.0
 
 
@@ -49,63 +50,95 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def _shape(segment: Column) -> Column:
-    """A segment with its variable parts as wildcards."""
+    """A segment with numbers and hex ids as wildcards."""
     ided = F.regexp_replace(segment, r"(?i)^(?=[0-9a-f-]*[0-9])[0-9a-f]{6,}(?:-[0-9a-f]+)*+(?=\.|\z)", "*")
-    return F.regexp_replace(F.regexp_replace(ided, "[0-9]++", "*"), r"^[^.]{40,}+", "*")
+    return F.regexp_replace(ided, "[0-9]++", "*")
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """Up to ``depth`` segments; a deeper path ends in one wildcard for the rest."""
-    parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    shaped = F.transform(parts, _shape)
-    return F.when(F.size(shaped) > depth, F.concat(F.slice(shaped, 1, depth - 1), F.array(F.lit("**")))).otherwise(shaped)
+def segments(path: Column) -> Column:
+    return F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), _shape)
 
 
-def templates(rows: DataFrame, depth: int = DEPTH, most: int = MOST_SECTIONS) -> DataFrame:
-    """(host, raw, ...) rows of distinct shaped paths -> the same with column ``template``.
+def least_share(own: Column, of: Column, sure: float = SURE) -> Column:
+    """Lower bound of a share by Wilson's interval."""
+    p, z = own / of, sure * sure
+    return (p + z / (2 * of) - sure * F.sqrt(p * (1 - p) / of + z / (4 * of * of))) / (1 + z / of)
 
-    At each level, the distinct segments below one template of a host are counted, from
-    rows reduced to one per segment; beyond ``most``, all of them turn into a wildcard.
+
+def templates(rows: DataFrame, section: float = SECTION) -> DataFrame:
+    """(host, raw, pages, ...) rows of distinct shaped paths -> the same with array ``template``.
+
+    Level by level, until every path has ended or is the only one at its place, whose rest then
+    stands for itself as one segment; so the levels are those that paths share, and no path is
+    cut. A path that ends has "" as its last segment. Each level is written before the next.
+    """
+    done = None
+    now = cut(rows.withColumn("template", F.array().cast("array<string>")))
+    level = 0
+    while True:
+        place = ["host", "template"]
+        sizes = now.groupBy(*place).agg(F.sum("pages").alias("of"), F.count(F.lit(1)).alias("ways"))
+        here = now.withColumn("segment", F.coalesce(F.get("raw", F.lit(level)), F.lit("")))
+        shares = here.groupBy(*place, "segment").agg(F.sum("pages").alias("own")).join(sizes, place)
+        literal = (F.col("segment") == "") | (least_share(F.col("own"), F.col("of")) >= section)
+        shares = shares.select(*place, "segment", "ways", literal.alias("literal"))
+        rest = F.array_join(F.slice("raw", F.lit(level + 1), F.greatest(F.size("raw") - level, F.lit(0))), "/")
+        step = F.when(F.col("ways") == 1, rest).when(F.col("literal"), F.col("segment")).otherwise("*")
+        over = (F.col("ways") == 1) | (F.col("segment") == "")
+        moved = cut(here.join(shares, [*place, "segment"]).withColumn("template", F.concat("template", F.array(step))).withColumn("over", over))
+        ended = moved.filter("over").select(*rows.columns, "template")
+        done = ended if done is None else done.unionByName(ended)
+        now = moved.filter("not over").select(*rows.columns, "template")
+        if now.isEmpty():
+            return done
+        level += 1
+
+
+def shown(template: Column) -> Column:
+    """A template as text; a last "" (a path that ends) is not shown, but for the root."""
+    return F.concat(F.lit("/"), F.array_join(F.filter(template, lambda s: s != ""), "/"))
+
+
+def _merged(nodes: DataFrame, apart: float) -> DataFrame:
+    """(host, node, n, bad) -> (host, node, n, bad) with the counts of all siblings merged with it.
+
+    Siblings with labels stand in order of their shares; a neighbour joins unless the pooled
+    two-sample test tells both shares apart. Siblings are few at any place.
     """
-    now = rows.withColumn("template", F.lit(""))
-    for level in range(depth):
-        segment = F.get("raw", F.lit(level))
-        now = now.withColumn("segment", segment)
-        there = now.filter("segment is not null").select("host", "template", "segment").distinct()
-        wide = there.groupBy("host", "template").agg(F.count(F.lit(1)).alias("wide")).filter(F.col("wide") > most)
-        now = now.join(wide, ["host", "template"], "left")
-        step = F.when(F.col("segment").isNull(), F.lit("")).otherwise(
-            F.concat(F.lit("/"), F.when(F.col("wide").isNotNull(), F.lit("*")).otherwise(F.col("segment")))
-        )
-        now = now.withColumn("template", F.concat("template", step)).drop("segment", "wide")
-    return now
+    parent = F.slice("node", F.lit(1), F.size("node") - 1)
+    siblings = nodes.filter("n > 0").withColumn("parent", parent)
+    order = Window.partitionBy("host", "parent").orderBy(F.col("bad") / F.col("n"), "n", "node")
+    n, bad, m, worse = F.lag("n").over(order), F.lag("bad").over(order), F.col("n"), F.col("bad")
+    pooled = (bad + worse) / (n + m)
+    differs = F.abs(worse / m - bad / n) > apart * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+    chained = siblings.withColumn("group", F.sum(F.coalesce(differs, F.lit(True)).cast("int")).over(order))
+    together = Window.partitionBy("host", "parent", "group")
+    return chained.select("host", "node", F.sum("n").over(together).alias("n"), F.sum("bad").over(together).alias("bad"))
 
 
 def learn(pages: DataFrame, prior: float = PRIOR, apart: float = APART) -> DataFrame:
-    """(host, path, bad) rows, bad 1, 0 or null -> (host, raw, template, share) per shaped path.
+    """(host, path, bad) rows, bad 1, 0 or null -> (host, raw, template, share, known, bad_labels) per shaped path.
 
-    Labels meet pre-aggregated per host and shaped path. A template's branch is merged with
-    its siblings (the templates of its host with one parent) unless its own share of bad
-    labels leaves theirs by ``apart`` standard errors. Shares are smoothed: host to the
-    whole table, template to host.
+    Pages and labels meet pre-aggregated per host and shaped path. ``share`` goes down from the
+    whole table's over the host's and every node's, each smoothed towards the one above; ``known``
+    and ``bad_labels`` are the labels of the template and of the siblings merged with it.
     """
     shaped = pages.withColumn("raw", segments(F.col("path")))
-    counts = cut(shaped.groupBy("host", "raw").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
-    tree = cut(templates(counts))
+    counts = shaped.groupBy("host", "raw").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    tree = cut(templates(cut(counts)))
     all_n, all_bad = tree.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    leaves = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    nodes = leaves.select("host", "template", "n", "bad", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("depth"))
+    nodes = nodes.withColumn("node", F.slice("template", F.lit(1), F.col("depth")))
+    sums = nodes.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    merged = _merged(sums.filter(F.size("node") > 0), apart).unionByName(sums.filter((F.size("node") == 0) & (F.col("n") > 0)))
+    on_path = nodes.select("host", "template", "depth", "node").join(merged, ["host", "node"], "left").na.fill(0, ["n", "bad"])
+    paths = on_path.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("depth", "n", "bad"))).alias("steps"))
     base = F.lit(all_bad / all_n if all_n else 0.0)
-    hosts = tree.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"))
-    hosts = hosts.select("host", ((F.col("host_bad") + prior * base) / (F.col("host_n") + prior)).alias("host_share"))
-    parent = F.regexp_replace("template", r"/[^/]*\z", "")
-    leaves = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("parent", parent)
-    pools = leaves.groupBy("host", "parent").agg(F.sum("n").alias("pool_n"), F.sum("bad").alias("pool_bad"))
-    joined = leaves.join(pools, ["host", "parent"]).join(hosts, "host")
-    pool = (F.col("pool_bad") + prior * F.col("host_share")) / (F.col("pool_n") + prior)
-    error = F.sqrt(pool * (1 - pool) / F.greatest(F.col("n"), F.lit(1)))
-    leaves_pool = (F.col("n") > 0) & (F.abs(F.col("bad") / F.greatest(F.col("n"), F.lit(1)) - pool) > apart * error)
-    own = (F.col("bad") + prior * F.col("host_share")) / (F.col("n") + prior)
-    judged = joined.withColumn("share", F.when(leaves_pool, own).otherwise(pool)).withColumn("merged", ~leaves_pool)
-    return tree.select("host", "raw", "template").join(judged.select("host", "template", "share", "merged"), ["host", "template"])
+    share = F.aggregate("steps", base, lambda above, x: (x["bad"] + prior * above) / (x["n"] + prior))
+    last = F.element_at("steps", -1)
+    judged = paths.select("host", "template", share.alias("share"), last["n"].alias("known"), last["bad"].alias("bad_labels"))
+    return tree.select("host", "raw", "template").join(judged, ["host", "template"])
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", bad: Column | None = None, rules=RULES, limit: float = LIMIT) -> DataFrame:
@@ -113,8 +146,9 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", bad: Column
 
     ``bad`` is 1 or 0 where a page is labelled, else null. URLs that are null or have no
     "://" have empty host and path and are judged as such. A rule decides where one fits;
-    elsewhere the page's template does. Repeated rows and ties keep their rows, further
-    columns are left out. Pages meet their templates by host and shaped path; a hot host
+    elsewhere the page's template does, blocked if it or a sibling merged with it has a bad label
+    and its smoothed share reaches ``limit``; templates without labels are allowed. Null keys,
+    repeated rows and ties keep their rows, further columns are left out. Pages meet their templates by host and shaped path; a hot host
     has few shaped paths, each pre-aggregated, and the join splits hot ones at run time.
     """
     label = F.lit(None).cast("int") if bad is None else bad.cast("int")
@@ -122,7 +156,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", bad: Column
     known = learn(rows.select("host", "path", "bad"))
     judged = rows.withColumn("raw", segments(F.col("path"))).join(known, ["host", "raw"])
     rule = rule_of(F.col("host"), F.col("path"), rules)
-    learned = F.when(F.col("share") >= limit, F.lit("block")).otherwise(F.lit("allow"))
+    learned = F.when((F.col("bad_labels") > 0) & (F.col("share") >= limit), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(
-        F.col("key").alias(key), "host", "path", rule["rule"].alias("rule"), F.coalesce(rule["verdict"], learned).alias("verdict"), "template", F.col("share").alias("bad_share")
+        F.col("key").alias(key), "host", "path", rule["rule"].alias("rule"), F.coalesce(rule["verdict"], learned).alias("verdict"), shown(F.col("template")).alias("template"), F.col("share").alias("bad_share")
     )

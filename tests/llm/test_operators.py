@@ -630,6 +630,99 @@ def test_templates_learn_from_labels(spark):
     assert url_filter.judge(df.limit(0), bad=F.col("bad")).count() == 0
 
 
+def brute_urls(rows):
+    """{page: (template, verdict, share)} of (page, url, bad) rows, by plain recursion."""
+    def shape(seg):
+        seg = re.sub(r"(?i)^(?=[0-9a-f-]*[0-9])[0-9a-f]{6,}(?:-[0-9a-f]+)*(?=\.|\Z)", "*", seg)
+        return re.sub("[0-9]+", "*", seg)
+
+    def sure(own, of, z=url_filter.SURE):
+        p = own / of
+        return (p + z * z / (2 * of) - z * (p * (1 - p) / of + z * z / (4 * of * of)) ** 0.5) / (1 + z * z / of)
+
+    def split(pages, level, above, out):
+        if len({raw for raw, _ in pages.values()}) == 1:
+            for k, (raw, _) in pages.items():
+                out[k] = (*above, "/".join(raw[level:]))
+            return
+        at = {}
+        for k, (raw, bad) in pages.items():
+            at.setdefault(raw[level] if level < len(raw) else "", {})[k] = (raw, bad)
+        branches = {}
+        for seg, part in at.items():
+            name = seg if seg == "" or sure(len(part), len(pages)) >= url_filter.SECTION else "*"
+            branches.setdefault((name, seg == ""), {}).update(part)
+        for (name, over), part in branches.items():
+            if over:
+                out.update({k: (*above, "") for k in part})
+            else:
+                split(part, level + 1, (*above, name), out)
+
+    hosts, result = {}, {}
+    for k, url, bad in rows:
+        host, path = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url).groups()
+        hosts.setdefault(host, {})[k] = (tuple(shape(x) for x in path.split("/") if x), bad)
+    labels = [b for _, _, b in rows if b is not None]
+    base = sum(labels) / len(labels) if labels else 0.0
+    for pages in hosts.values():
+        template = {}
+        split(pages, 0, (), template)
+        counts = {}
+        for k, t in template.items():
+            bad = pages[k][1]
+            for d in range(len(t) + 1):
+                n, b = counts.get(t[:d], (0, 0))
+                counts[t[:d]] = (n + (bad is not None), b + (bad or 0))
+        merged = {(): counts[()]}
+        for parent in {c[:-1] for c in counts if c}:
+            kids = sorted(((b / n, n, c, b) for c, (n, b) in counts.items() if c and c[:-1] == parent and n))
+            group = []
+            for i, (_, n, c, b) in enumerate(kids):
+                if i:
+                    _, m, _, w = kids[i - 1]
+                    p = (b + w) / (n + m)
+                    if abs(b / n - w / m) > url_filter.APART * (p * (1 - p) * (1 / n + 1 / m)) ** 0.5:
+                        group = []
+                group.append((c, n, b))
+                for x, _, _ in group:
+                    merged[x] = (sum(g[1] for g in group), sum(g[2] for g in group))
+        for k, t in template.items():
+            share = base
+            for d in range(len(t) + 1):
+                n, b = merged.get(t[:d], (0, 0))
+                share = (b + url_filter.PRIOR * share) / (n + url_filter.PRIOR)
+            bad = merged.get(t, (0, 0))[1]
+            result[k] = ("/" + "/".join(x for x in t if x), "block" if bad and share >= url_filter.LIMIT else "allow", share)
+    return result
+
+
+def test_templates_against_brute_force(spark):
+    random.seed(111)
+    rows = []
+    for i in range(900):
+        host = random.choice(["a.io", "a.io", "b.io"])
+        section = random.choice(["spam", "news", "shop", "x"])
+        deep = "/".join(random.choice(["good", "bad", "c", "d", f"slug{chr(97 + i % 26)}{chr(97 + i // 40)}"]) for _ in range(random.randint(0, 7)))
+        path = random.choice([f"/{section}/{deep}", f"/{section}/{i}.html", f"/{section}", "", f"/{section}/a/b/c/{random.choice(['good', 'spam'])}/{i}"])
+        bad = None if random.random() < 0.4 else int(random.random() < (0.95 if section == "spam" or "/spam/" in path else 0.1))
+        rows.append((i, f"http://{host}{path}", bad))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, bad int")
+    got = {r["page_id"]: (r["template"], r["verdict"], pytest.approx(r["bad_share"])) for r in url_filter.judge(df, bad=F.col("bad")).collect()}
+    want = brute_urls(rows)
+    assert {k: v for k, v in got.items() if want[k] != v} == {}
+    assert len(got) == len(rows) and len({v[1] for v in want.values()}) == 2
+
+
+def test_a_good_page_beside_bad_ones(spark):
+    rows = [(i, f"http://h.io/spam/{i}", 1) for i in range(100)] + [(200, "http://h.io/about", None), (201, "http://h.io/fine", 0)]
+    rows += [(None, "http://h.io/spam/7", None), (7, "http://h.io/spam/7", 1), (300, "http://h.io/spam/" + "x/" * 3000 + "end", None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, bad int")
+    got = url_filter.judge(df, bad=F.col("bad"))
+    by = {r["page_id"]: r["verdict"] for r in got.collect()}
+    assert by[200] == by[201] == by[300] == "allow" and by[3] == by[7] == by[None] == "block"
+    assert got.count() == len(rows)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (300, None)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
