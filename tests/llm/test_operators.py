@@ -289,9 +289,68 @@ def test_bands_edges(docs, empty):
     assert simhash_bands.keep_first(empty).count() == 0
 
 
+VOCABULARIES = (public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def test_verdicts_against_brute_force(spark, sf):
+    """Every document of sf0.001 and some noise, judged with the libraries' own encoders."""
+    import base64
+    import math
+
+    import sentencepiece
+    import tiktoken
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=VOCABULARIES[0])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARIES[1], "rb"))}
+    enc = tiktoken.Encoding("b", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    one_byte = {r for b, r in ranks.items() if len(b) == 1}
+    random.seed(91)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    texts += [" ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(80)), "слово дело " * 40, "12 34 " * 60]
+    texts += [" ".join(f"{w}$$" for w in texts[0].split()), "один два три четыре пять шесть " + " ".join(f"слово{i}" for i in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    q = quality.measure(df, *VOCABULARIES)
+    got = dict(rows_of(q.select("doc_id", (~quality.base_failed() & quality.in_band()).alias("kept")), "doc_id", "kept"))
+
+    def kept(t):
+        words = WORD.findall(t or "")
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        repeated = {i + k for i, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if windows[w] > 1 for k in range(3)}
+        if len(words) < 50 or 100 * len(repeated) > 50 * len(words):
+            return False
+        a = [i for w in words for i in pieces.encode(w)]
+        b = [i for w in words for i in enc.encode_ordinary(" " + w)]
+        n, chars = Counter(a), sum(map(len, words))
+        script = "latin" if sum(c.isascii() and c.isalpha() for c in t) > 0.5 * sum(c.isalpha() for c in t) else "cyrillic"
+        if sum(c.isalpha() for c in t) * 10 <= chars:
+            script = "other"
+        least, most, most_bytes, least_bits, least_b, most_one = quality.BANDS[script]
+        entropy = -sum(x / len(a) * math.log2(x / len(a)) for x in n.values())
+        return (
+            least <= chars / len(a) <= most
+            and sum(map(pieces.is_byte, a)) <= most_bytes * len(a)
+            and entropy >= least_bits
+            and chars / len(b) >= least_b
+            and sum(i in one_byte for i in b) <= most_one * len(b)
+            and len(re.findall(r"[#*$%&|<>]", t)) < quality.MOST_SYMBOLS * chars
+        )
+
+    want = {i: kept(t) for i, t in enumerate(texts)}
+    assert got == want and len(set(want.values())) == 2
+    bands = {r["script"]: r for r in quality.calibrate(q.filter("quality.n_words >= 50")).collect()}
+    assert bands["latin"]["least_chars_a_token"] <= bands["latin"]["most_chars_a_token"]
+
+
+def test_long_words_are_measured_whole(spark):
+    df = spark.createDataFrame([(1, "ab" * 700_000 + " " + "x" * 10), (2, "é" * 5000)], "doc_id int, text string")
+    got = {r["doc_id"]: r["quality"] for r in quality.measure(df, *VOCABULARIES).collect()}
+    assert (got[1]["n_words"], got[1]["word_chars"], got[2]["word_chars"]) == (2, 1_400_010, 5000)
+    assert got[1]["n_tokens"] > 1000 and got[1]["n_b_tokens"] > 1000
+
+
 def test_quality_counts(docs, empty):
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    for r in quality.measure(docs, path).collect():
+    path = VOCABULARIES
+    for r in quality.measure(docs, *path).collect():
         t, q = r["text"] or "", r["quality"]
         words = WORD.findall(t)
         windows = Counter(zip(words, words[1:], words[2:], strict=False))
@@ -300,8 +359,8 @@ def test_quality_counts(docs, empty):
         assert q["n_words"] == len(words) and q["word_chars"] == sum(map(len, words))
         assert q["n_symbols"] == len(re.findall(r"[#*$%&|<>]", t))
         assert q["n_dup_lines"] == len(lines) - len(set(lines)) and q["n_repeat_words"] == len(inside)
-    assert quality.keep_good(docs, path).columns == docs.columns
-    assert quality.measure(empty, path).count() == 0
+    assert quality.keep_good(docs, *path).columns == docs.columns
+    assert quality.measure(empty, *path).count() == 0
 
 
 def test_bands_reject_noise_and_keep_prose(spark):
@@ -318,7 +377,7 @@ def test_bands_reject_noise_and_keep_prose(spark):
     }
     rows = [(k, " ".join(v)) for k, v in ({"english": english, "german": german} | noise).items()]
     df = spark.createDataFrame(rows, "kind string, text string")
-    kept = quality.keep_good(df, public_tokenizers.path("piece_bpe_32k.model"))
+    kept = quality.keep_good(df, *VOCABULARIES)
     assert sorted(r["kind"] for r in kept.collect()) == ["english", "german"]
 
 
