@@ -16,7 +16,7 @@ from reportmill.llm.common import new_folder
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose fertility is in their script's band."""
-    return quality.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return quality.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
