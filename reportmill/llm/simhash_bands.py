@@ -6,6 +6,10 @@ fingerprints of 32 bits, each joined by its own trie with a budget of two; at a
 some fingerprint is that near for about 95 of 100 pairs, at 0.85 for 99.6. A near pair is
 proposed if 128 of the bits differ in at most :data:`MOST_DIFFERENT` places, and is a link if the
 exact overlap of both texts' distinct shingles reaches the least likeness.
+
+Large groups of near copies would propose pairs by the square of their size. So texts that share a
+whole fingerprint are first compared with a few of those that share it, which links most of such a
+group by a number of pairs that follows its size; the join then leaves out pairs within a class.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from .common import SPACE, bound_batches, cut, free_name, text_or_empty
 from .components import components
 from .pieces import balanced
 from .simhash import bit_counts, shingle_hashes
-from .trie import MOST_ROWS, close
+from .trie import MOST_BROADCAST, MOST_ROWS, close
 
 WORDS_EACH = 5
 #: 64-bit words of SimHash, bits of a fingerprint, and words that check a pair.
@@ -29,6 +33,9 @@ WORDS, BITS, CHECKED = 12, 32, 2
 #: Differing bits of the checked 128 up to which a pair is proposed. Texts alike by 0.8 differ in
 #: 19 bits, by 4 more or less, so that 3 in 1000 such pairs are lost.
 MOST_DIFFERENT = 30
+#: Fingerprints by which groups are gathered first, texts of each that the others are compared
+#: with, and levels of a trie that are opened at first.
+GATHERED, HUBS, FIRST_LEVELS = 8, 4, 2
 #: Shared share of all distinct shingles of two texts from which they are copies.
 ALIKE = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,15 +72,35 @@ def add_prints(df: DataFrame, words_each: int = WORDS_EACH, text: str = "text",
     return df.withColumn(out, run(text_or_empty(text)))
 
 
+def _banded(values: DataFrame) -> DataFrame:
+    """(prints, node, ...) -> (trie, value, node, c0, c1, ...): a row for each fingerprint."""
+    halves = F.flatten(F.transform("prints", lambda w: F.array(w.bitwiseAND(F.lit((1 << BITS) - 1)), F.shiftrightunsigned(w, BITS))))
+    checks = [F.col("prints")[i].alias(f"c{i}") for i in range(CHECKED)]
+    rest = [c for c in values.columns if c != "prints"]
+    return values.select(*rest, *checks, F.posexplode(halves).alias("trie", "value"))
+
+
+def gathered(values: DataFrame, most: int = MOST_DIFFERENT) -> DataFrame:
+    """(prints, node) rows -> (a, b): texts of one fingerprint with the first of each part of these."""
+    rows = _banded(values).filter(F.col("trie") < GATHERED)
+    shared = cut(rows.groupBy("trie", "value").count().filter("count > 1").select("trie", "value"))
+    if shared.count() <= MOST_BROADCAST:
+        shared = F.broadcast(shared)
+    rows = cut(rows.join(shared, ["trie", "value"], "left_semi"))
+    part = F.pmod(F.xxhash64("node"), F.lit(HUBS))
+    names = ["node", *(f"c{i}" for i in range(CHECKED))]
+    hubs = rows.groupBy("trie", "value", part.alias("part")).agg(F.min(F.struct(*names)).alias("hub"))
+    differing = sum((F.bit_count(F.col(f"c{i}").bitwiseXOR(F.col("hub")[f"c{i}"])) for i in range(CHECKED)), F.lit(0))
+    pairs = rows.join(hubs, ["trie", "value"]).filter((F.col("node") != F.col("hub.node")) & (differing <= most))
+    return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+
+
 def proposed(values: DataFrame, budget: int = 2, most: int = MOST_DIFFERENT, most_rows: int = MOST_ROWS) -> DataFrame:
-    """(prints, node) rows -> (a, b): pairs near in a fingerprint and in the checked bits.
+    """(prints, node) rows, or with ``of`` -> (a, b): pairs near in a fingerprint and in the checked bits.
 
-    A pair comes once for each fingerprint in which it is near.
+    A pair comes once for each fingerprint in which it is near; pairs of one class ``of`` are left out.
     """
-    halves = F.flatten(F.transform("prints", lambda w: F.array(w.bitwiseAND(F.lit((1 << BITS) - 1)), F.shiftrightunsigned(w, BITS))))
-    checks = [F.col("prints")[i].alias(f"c{i}") for i in range(CHECKED)]
-    rows = values.select("node", *checks, F.posexplode(halves).alias("trie", "value"))
-    return close(rows, BITS, budget, CHECKED, most, spanning=False, most_rows=most_rows)
+    return close(_banded(values), BITS, budget, CHECKED, most, spanning=False, most_rows=most_rows, first=FIRST_LEVELS)
 
 
 def _add_shingles(df: DataFrame, words_each: int, text: str, out: str) -> DataFrame:
@@ -115,14 +142,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     Keys are integers. One row per distinct key. Rows that repeat a key are one document; rows
     without a key are left out. Null, empty and blank texts have no shingles and are alike. Texts
     of the same words are joined as one before any pair is made. An empty table gives no rows.
+    Every proposed pair is compared, unless other links have put both texts in one class.
     """
     keyed = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     plain = F.trim(F.regexp_replace(F.translate(text_or_empty(), UPPER, LOWER), f"[{SPACE}]++", " "))
     keyed = keyed.withColumn("same", F.xxhash64(plain))
     prints = cut(add_prints(keyed, words_each).select("key", "prints", "same"))
     values = cut(prints.groupBy("prints", "same").agg(F.min("key").alias("node")))
-    edges = verified(proposed(values.select("prints", "node"), **options), keyed, words_each, alike)
-    found = components(edges.unionByName(_same_key(prints, values)))
+    sure = cut(verified(gathered(values.select("prints", "node")), keyed, words_each, alike).unionByName(_same_key(prints, values)))
+    classed = values.select("prints", "node").join(components(sure).withColumnRenamed("root", "of"), "node", "left").withColumn("of", F.coalesce("of", "node"))
+    edges = verified(proposed(classed, **options), keyed, words_each, alike)
+    found = components(edges.unionByName(sure))
     named = prints.join(values, ["prints", "same"]).select("key", "node")
     named = named.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     return named.groupBy(F.col("key").alias(key)).agg(F.min(F.coalesce("root", "node")).alias("component_id"))

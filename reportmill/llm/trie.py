@@ -124,16 +124,18 @@ def _spread(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> I
 
 
 class Block:
-    """Rows of one block, as packed by :func:`_pack`: value, node and check words, by value."""
+    """Rows of one block, as packed by :func:`_pack`: value, node, class and check words, by value."""
 
-    def __init__(self, data: bytes, bits: int, checks: int, own_node: bool):
+    def __init__(self, data: bytes, bits: int, checks: int, own_node: bool, classed: bool = False):
         kind = np.dtype("<u4" if bits <= 32 else "<u8")
-        width = kind.itemsize + 8 * own_node + 8 * checks
+        width = kind.itemsize + 8 * own_node + 8 * classed + 8 * checks
         n = len(data) // width
         value = np.frombuffer(data, kind, n).astype(np.uint64)
         at = n * kind.itemsize
         self.node = np.frombuffer(data, np.int64, n, at) if own_node else value.view(np.int64)
         at += 8 * n * own_node
+        self.of = np.frombuffer(data, np.int64, n, at) if classed else None
+        at += 8 * n * classed
         self.check = np.frombuffer(data, np.uint64, n * checks, at).reshape(checks, n)
         left = value << np.uint64(64 - bits)
         new = np.concatenate(([True], left[1:] != left[:-1])) if n else np.zeros(0, bool)
@@ -145,8 +147,8 @@ class Block:
 def close_rows(a: Block, b: Block, same: bool, depth: int, bits: int, budget: int, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of rows of a and b whose values differ in at most ``budget`` bits, in parts.
 
-    With ``most``, their check words differ in at most so many bits as well. With ``same``, b is
-    a, and each pair of different rows comes once.
+    With ``most``, their check words differ in at most so many bits as well. Rows of one class
+    are left out. With ``same``, b is a, and each pair of different rows comes once.
     """
     if not len(a.values) or not len(b.values):
         return
@@ -160,18 +162,21 @@ def close_rows(a: Block, b: Block, same: bool, depth: int, bits: int, budget: in
             i, j = i[near], j[near]
             for x, y in _spread(a.first[i], a.end[i], b.first[j], b.end[j]):
                 keep = x < y if same else np.ones(len(x), bool)
+                if a.of is not None:
+                    keep &= a.of[x] != b.of[y]
+                    x, y, keep = x[keep], y[keep], keep[keep]
                 if most is not None and len(a.check):
                     keep &= sum(np.bitwise_count(p[x] ^ q[y]).astype(np.int16) for p, q in zip(a.check, b.check, strict=True)) <= most
                 if keep.any():
                     yield x[keep], y[keep]
 
 
-def _edges(rows: Iterator[pa.RecordBatch], bits: int, budget: int, checks: int, own_node: bool, most: int | None, spanning: bool) -> Iterator[pa.RecordBatch]:
+def _edges(rows: Iterator[pa.RecordBatch], bits: int, budget: int, checks: int, own_node: bool, classed: bool, most: int | None, spanning: bool) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for r in range(batch.num_rows):
             same, depth = batch["same"][r].as_py(), batch["depth"][r].as_py()
-            a = Block(batch["one"][r].as_py(), bits, checks, own_node)
-            b = a if same else Block(batch["other"][r].as_py(), bits, checks, own_node)
+            a = Block(batch["one"][r].as_py(), bits, checks, own_node, classed)
+            b = a if same else Block(batch["other"][r].as_py(), bits, checks, own_node, classed)
             shift = 0 if same else len(a.node)
             node = a.node if same else np.concatenate([a.node, b.node])
             root = np.arange(len(node))
@@ -192,7 +197,7 @@ def _pairs(one: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other), pa.int64()), pa.array(np.maximum(one, other), pa.int64())], ["a", "b"])
 
 
-def _pack(batches: Iterator[pa.RecordBatch], bits: int, checks: int, own_node: bool) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], bits: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block and value -> one row a block, its columns laid end to end."""
     kind = np.dtype("<u4" if bits <= 32 else "<u8")
     held: list[pa.RecordBatch] = []
@@ -201,7 +206,7 @@ def _pack(batches: Iterator[pa.RecordBatch], bits: int, checks: int, own_node: b
     def packed() -> Iterator[pa.RecordBatch]:
         if held:
             columns = [np.concatenate([b["value"].to_numpy().astype(kind) for b in held])]
-            for name in (["node"] if own_node else []) + [f"c{i}" for i in range(checks)]:
+            for name in names:
                 columns.append(np.concatenate([b[name].to_numpy() for b in held]))
             data = b"".join(x.tobytes() for x in columns)
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([data], pa.binary())], ["block", "data"])
@@ -264,12 +269,14 @@ def close(
 
     ``value`` has the low ``bits`` bits of a bigint. ``node`` names a row, and is the value itself
     where there is no such column; ``c0``, ... are ``checks`` further words, of which pairs may
-    differ in at most ``most`` bits. Gives edges that span every class of a pair of blocks, or,
+    differ in at most ``most`` bits. Rows with equal ``of``, where there is that column, are of one
+    class already and make no pair. Gives edges that span every class of a pair of blocks, or,
     without ``spanning``, every pair once for each trie. A value with more rows than a block may
     hold is dealt into several blocks, which meet each other.
     """
     bound_batches(values.sparkSession)
-    own_node, name = "node" in values.columns, "node" if "node" in values.columns else "value"
+    own_node, classed = "node" in values.columns, "of" in values.columns
+    name = "node" if own_node else "value"
 
     def level(rows: DataFrame, depth: int) -> DataFrame:
         return cut(rows.groupBy("trie", _prefix(F.col("value"), bits, depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n")))
@@ -308,10 +315,10 @@ def close(
         once = (F.col("block_1") != F.col("block_2")) | (F.col("part_1") <= F.col("part_2"))
         pairs = pairs.filter(once).select("depth", *(F.concat(f"block_{i}", f"part_{i}").alias(f"block_{i}") for i in (1, 2)))
 
-    wanted = ["block", "value", *(["node"] if own_node else []), *(f"c{i}" for i in range(checks))]
-    sorted_rows = rows.select(*wanted).repartition("block").sortWithinPartitions("block", "value")
-    packed = cut(sorted_rows.mapInArrow(lambda b: _pack(b, bits, checks, own_node), "block string, data binary"))
+    names = [*(["node"] if own_node else []), *(["of"] if classed else []), *(f"c{i}" for i in range(checks))]
+    sorted_rows = rows.select("block", "value", *names).repartition("block").sortWithinPartitions("block", "value")
+    packed = cut(sorted_rows.mapInArrow(lambda b: _pack(b, bits, names), "block string, data binary"))
     left = packed.select(F.col("block").alias("block_1"), F.col("data").alias("one")).join(_small(cut(pairs)), "block_1")
     both = left.join(packed.select(F.col("block").alias("block_2"), F.col("data").alias("other")), "block_2")
     tasks = both.select((F.col("block_1") == F.col("block_2")).alias("same"), "depth", "one", "other")
-    return tasks.mapInArrow(lambda b: _edges(b, bits, budget, checks, own_node, most, spanning), "a bigint, b bigint")
+    return tasks.mapInArrow(lambda b: _edges(b, bits, budget, checks, own_node, classed, most, spanning), "a bigint, b bigint")
