@@ -120,12 +120,16 @@ def _pii_sql() -> str:
     plain = "replace(m, ' ', '')"
     mod97 = f"""list_reduce(list_prepend(0::BIGINT, list_transform(string_split({plain}[5:] || {plain}[1:4], ''), lambda c: ascii(c)::BIGINT)),
       lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1"""
+    entropy = "list_sum(list_transform(list_distinct(string_split(m, '')), lambda c: -(len(m) - len(replace(m, c, ''))) / len(m) * log2((len(m) - len(replace(m, c, ''))) / len(m))))"
+    random = f"regexp_matches(m, '[0-9].*[0-9].*[0-9]') AND regexp_matches(m, '[A-Za-z].*[A-Za-z].*[A-Za-z]') AND round({entropy}, 6) >= 3.0"
     kinds = [  # name, pattern, group before, group after, check, score, lift, context, least
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "", "", "true", 0.9, 0.1, "e-?mail|contact|write|reply", 0),
         ("ip", r"[0-9]+(?:\.[0-9]+){3}", "", "", "list_bool_and(list_transform(string_split(m, '.'), lambda p: len(ltrim(p, '0')) <= 3 AND ('0' || right(p, 3))::INTEGER <= 255))", 0.6, 0.3, "address|host|server|login|ip", 0),
         ("card", r"[0-9](?:[\x20-]?[0-9])+", "", "", f"len({digits}) BETWEEN 12 AND 19 AND {luhn}", 0.8, 0.2, "card|visa|credit|pay|account", 0),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "", "", f"len({digits}) BETWEEN 9 AND 15", 0.6, 0.3, "phone|call|tel|mobile|fax", 0),
         ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", "(?:^|[^A-Za-z0-9])", "(?:$|[^A-Za-z0-9])", mod97, 0.9, 0.1, "iban|bank|account|transfer", 0.5),
+        ("key", pii.MORE[1].pattern, "", "", "true", 0.9, 0.1, "token|secret|key|password|bearer|credential", 0),
+        ("secret", r"[A-Za-z0-9+/_-]{20,}", "", "", random, 0.3, 0.5, "token|secret|passw|pwd|key|api|bearer|credential|auth", 0.5),
         ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "(?:^|[^0-9-])", "(?:$|[^0-9-])", "true", 0.4, 0.4, "ssn|social|security|insurance", 0.5),
     ]
     parts = []
