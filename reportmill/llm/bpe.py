@@ -26,6 +26,8 @@ from .pieces import PieceTable, balanced, non_empty
 
 _WIDE = 20  # bits that hold an id
 _NONE = (1 << 60, -1)  # no merge
+#: Characters of a word beyond which only the surroundings of failing pairs are merged.
+LONG = 4096
 _JOINT = 1 << 27  # bytes of text up to which decoded texts fit one Arrow array
 
 
@@ -63,6 +65,7 @@ class WordBpe:
         self._merge = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self._merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        self._longest = max(map(len, self._last))
         self._symbols: dict[int, list[int]] = {}
         for t, i in self._inner.items():
             self._symbols[i] = [self._inner[c] for c in t]
@@ -115,7 +118,8 @@ class WordBpe:
 
     def _propose(self, word: str) -> list[int]:
         inner, last, reach, n, i, out = self._inner.get, self._last.get, self._reach.get, len(word), 0, []
-        while (t := last(word[i:])) is None:
+        longest = self._longest
+        while n - i > longest or (t := last(word[i:])) is None:
             for j in range(min(n - 1, i + reach(word[i : i + 2], 1)), i, -1):
                 if (t := inner(word[i:j])) is not None:
                     break
@@ -124,9 +128,26 @@ class WordBpe:
         out.append(t)
         return out
 
-    def _exact(self, word: str) -> list[int]:
+    def _exact(self, word: str, proposed: list[int]) -> list[int]:
+        if len(word) > LONG:
+            return self._repaired(proposed)
         return self.merged([*(self._inner[c] for c in word[:-1]), self._last[word[-1]]])
 
+    def _repaired(self, proposed: list[int]) -> list[int]:
+        """The same for a long word: merges only around pairs that fail, until all pairs hold.
+
+        A token that doesn't go with the one before is merged with it anew, and with those before
+        as far as they don't go with the result.
+        """
+        out: list[int] = []
+        for token in proposed:
+            here = [token]
+            while out and not self._compatible(out[-1] << _WIDE | here[0]):
+                taken = [out.pop() for _ in range(min(len(out), len(here)))][::-1]
+                here = self.merged([s for i in (*taken, *here) for s in self._symbols[i]])
+            out += here
+        return out
+
     def encode_words(self, words: Sequence[str]) -> list[list[int]]:
         """Ids of each pre-tokenised word (written in byte stand-ins)."""
         found = [self._propose(w) for w in words]
@@ -138,7 +159,7 @@ class WordBpe:
         distinct, at = np.unique(pairs, return_inverse=True)
         ok = np.fromiter(map(self._compatible, distinct.tolist()), bool, len(distinct))
         for w in np.unique(word[1:][inside][~ok[at]]).tolist():
-            found[w] = self._exact(words[w])
+            found[w] = self._exact(words[w], found[w])
         return found
 
     def _compatible(self, pair: int) -> bool:
