@@ -1,8 +1,8 @@
 """Web archives: legacy ARC files read by declared lengths and rewritten as WARC.
 
 Archives are folders of gzip files, written and read through Spark's own sources, so they
-may lie in any file system that Spark reaches. A file holds a bounded number of records, and
-a task decompresses it as a stream.
+may lie in any file system that Spark reaches. A file holds a bounded number of records and
+bytes, and a task decompresses it as a stream.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, new_folder
+from .common import bound_batches, cut, new_folder
 
-#: Rows of an archive file, the leading description included.
-FILE_ROWS = 4096
+#: Records of an archive file, and bytes of their payloads (or one longer payload).
+FILE_ROWS, FILE_BYTES = 4096, 64 << 20
+#: Revisits up to which they are broadcast (some 300 bytes each).
+MOST_BROADCAST = 100_000
 #: Payloads below this many bytes are always stored whole.
 LEAST_REVISIT = 100
 #: Fields of a record's header line in the two versions of the ARC format (fixed values).
@@ -144,13 +146,29 @@ def _batched(rows: Iterator[dict], schema: pa.Schema, most_bytes: int = 4 << 20)
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-_RECORD = pa.schema([("record", pa.binary())])
+_RECORD = pa.schema([("record", pa.binary()), ("file", pa.int32())])
+
+
+class _Files:
+    """Deals records into files of bounded rows and bytes; a longer record is a file of its own."""
+
+    def __init__(self, most_rows: int, most_bytes: int):
+        self.number, self._rows, self._bytes = -1, most_rows, 0
+        self._most_rows, self._most_bytes = most_rows, most_bytes
+
+    def starts(self, size: int) -> bool:
+        """Count a record; true if it is the first of a file."""
+        new = self._rows >= self._most_rows or self._rows and self._bytes + size > self._most_bytes
+        if new:
+            self.number, self._rows, self._bytes = self.number + 1, 0, 0
+        self._rows, self._bytes = self._rows + 1, self._bytes + size
+        return bool(new)
 
 
 def _write(records: DataFrame, path: str, gap: str) -> None:
-    """Byte records, each followed by ``gap``, as gzip files of FILE_ROWS records."""
-    text = records.select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", gap).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    """Byte records, each followed by ``gap``, as gzip files; a task's records name their file."""
+    text = records.select(F.col("record").cast("string").alias("value"), "file")
+    text.write.partitionBy("file").option("lineSep", gap).option("compression", "gzip").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -164,29 +182,27 @@ def write_arc(pages: DataFrame, path: str, key: str, url: str, html: str, date:
     The document is an HTTP response whose X-Page-Id field has the key.
     """
     bound_batches(pages.sparkSession)
+    limits = (FILE_ROWS, FILE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        version, n = 1 + part % 2, 0
+        version, files = 1 + part % 2, _Files(*limits)
 
         def rows() -> Iterator[dict]:
-            nonlocal n
             for batch in batches:
                 for k, u, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    if n % FILE_ROWS == 0:
-                        yield {"record": arc_start(version, f"pages-{part}-{n // FILE_ROWS}.arc", date)}
-                        n += 1
+                    if files.starts(len(h)):
+                        yield {"record": arc_start(version, f"pages-{part}-{files.number}.arc", date), "file": files.number}
                     named = "" if k is None else str(k)
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(h)}\r\nX-Page-Id: {named}\r\n\r\n"
-                    yield {"record": arc_record(version, _url(u), date, "text/html", head.encode() + h)}
-                    n += 1
+                    yield {"record": arc_record(version, _url(u), date, "text/html", head.encode() + h), "file": files.number}
 
         return _batched(rows(), _RECORD)
 
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).alias("u"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("h"))
-    _write(rows.mapInArrow(run, "record binary"), path, "\n")
+    _write(rows.mapInArrow(run, "record binary, file int"), path, "\n")
 
 
 _META = [("arc_file", pa.string()), ("arc_offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_id", pa.string()), ("digest", pa.string()), ("n_bytes", pa.int64())]
@@ -204,7 +220,7 @@ def arc_records(spark: SparkSession, path: str, documents: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
             for name, stream in _streams(batches):
-                name = name.rsplit("/", 1)[-1]
+                name = "/".join(name.rsplit("/", 2)[1:])
                 for offset, fields, body in read_arc(stream):
                     head, payload = split_http(body)
                     digest = hashlib.sha256(payload).hexdigest()
@@ -224,37 +240,41 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
     Of records with one payload of ``least`` bytes or more, that with the smallest page id
     (then file and offset; records without an id last) becomes a response, the others revisit
     it. Digests meet first without payloads, pre-aggregated per task; hot digests are split
-    by the runtime's skew join. Only the outcome meets the payloads, by their unique place.
+    by the runtime's skew join. Only the revisits meet the payloads, by their unique place:
+    broadcast behind a count of them, so that payloads are not shuffled, or joined where they are
+    more.
     """
     bound_batches(spark)
+    limits = (FILE_ROWS, FILE_BYTES)
     meta = arc_records(spark, arc_path, documents=False)
     order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "arc_file", "arc_offset", "record_id", "url", "date")
     firsts = meta.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     again = meta.join(firsts, "digest").filter((F.col("arc_file") != F.col("first.arc_file")) | (F.col("arc_offset") != F.col("first.arc_offset")))
     again = again.select("arc_file", "arc_offset", F.col("first.page_id").alias("to_page"), F.col("first.record_id").alias("to_id"), F.col("first.url").alias("to_url"), F.col("first.date").alias("to_date"))
+    again = cut(again)
+    if again.count() <= MOST_BROADCAST:
+        again = F.broadcast(again)
     full = arc_records(spark, arc_path, documents=True).join(again, ["arc_file", "arc_offset"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
-            n = 0
+            files = _Files(*limits)
             for batch in batches:
                 for r in batch.to_pylist():
-                    if n % FILE_ROWS == 0:
+                    if files.starts(len(r["payload"]) if r["to_id"] is None else 0):
                         about = b"software: reportmill\r\nformat: WARC File Format 1.0\r\n"
-                        yield {"record": warc_record("warcinfo", f"<{uuid.uuid5(uuid.NAMESPACE_URL, r['record_id'] + ' file').urn}>", r["date"], about, Content_Type="application/warc-fields")}
-                        n += 1
-                    n += 1
+                        yield {"record": warc_record("warcinfo", f"<{uuid.uuid5(uuid.NAMESPACE_URL, r['record_id'] + ' file').urn}>", r["date"], about, Content_Type="application/warc-fields"), "file": files.number}
                     kind = "application/http;msgtype=response" if r["head"] else "application/octet-stream"
                     same = {"WARC_Target_URI": r["url"], "WARC_Payload_Digest": f"sha256:{r['digest']}", "X_Payload_Length": str(r["n_bytes"]), "Content_Type": kind}
                     if r["to_id"] is None:
-                        yield {"record": warc_record("response", r["record_id"], r["date"], r["head"] + r["payload"], **same)}
+                        yield {"record": warc_record("response", r["record_id"], r["date"], r["head"] + r["payload"], **same), "file": files.number}
                         continue
                     first = {"WARC_Profile": _REVISIT, "WARC_Refers_To": r["to_id"], "WARC_Refers_To_Target_URI": r["to_url"], "WARC_Refers_To_Date": r["to_date"], "X_Refers_To_Page": None if r["to_page"] is None else str(r["to_page"])}
-                    yield {"record": warc_record("revisit", r["record_id"], r["date"], r["head"], **same, **first)}
+                    yield {"record": warc_record("revisit", r["record_id"], r["date"], r["head"], **same, **first), "file": files.number}
 
         return _batched(rows(), _RECORD)
 
-    _write(full.mapInArrow(run, "record binary"), warc_path, _GAP)
+    _write(full.mapInArrow(run, "record binary, file int"), warc_path, _GAP)
 
 
 def read_warc_folder(spark: SparkSession, path: str) -> DataFrame:

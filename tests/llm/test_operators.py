@@ -740,6 +740,22 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_archive_files_are_bounded_by_bytes(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    monkeypatch.setattr(warc, "MOST_BROADCAST", broadcast)
+    rows = [(i, f"http://h/{i}", "é" * (1 if i % 5 else 5000) + str(i % 9), "f") for i in range(60)] + [(99, "http://big", "y" * 3_000_000, "f")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, file string").coalesce(2)
+    path = common.new_folder(spark, "arc-test")
+    warc.write_arc(pages, path, "page_id", "url", "html")
+    sizes = [sum(len(b) for _, _, b in warc.read_arc(s)) for _, s in warc._streams(warc._files(spark, path).select("path", "content").toArrow().to_batches())]
+    assert len(sizes) > 20 and sorted(sizes)[-2] < 20_000 < sorted(sizes)[-1]
+    got = {r["page_id"]: (r["payload_digest"], r["refers_to"]) for r in warc.archive(pages).collect()}
+    for k, _, h, _ in rows:
+        first = min(x for x, _, y, _ in rows if y == h)
+        assert got[k] == (hashlib.sha256(h.encode()).hexdigest(), first if len(h.encode()) >= 100 and first != k else None)
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.com/en/7?x", "http://EXAMPLE.com/en/8#t", "https://x.net/de/1", "http://example.net/de/8", "net/de/", None, "http://notexample.com/en/7", "a://h", "http://x.org/es", "http://x.org/es/?q=://y/z"]
     df = spark.createDataFrame([(i, u, "v") for i, u in enumerate(urls)], "page_id bigint, url string, verdict string")
