@@ -65,6 +65,17 @@ def singular(word: Column) -> Column:
     return F.when(kept, word).otherwise(F.regexp_replace(word, r"s\z", ""))
 
 
+def raw_words(c: Column) -> Column:
+    """Numbers and words of the lower-cased text, as they stand."""
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
+
+
+def term_of(raw: Column) -> Column:
+    """The comparable term of one raw word; null for stop words and single characters."""
+    kept = (F.length(raw) >= 2) & ~raw.isin(STOP_WORDS)
+    return F.when(kept, F.when(raw.rlike(r"^\d"), raw).otherwise(singular(raw)))
+
+
 def tokenize(c: Column) -> Column:
     """Comparable terms: whole decimals, and words without stop words or a plural s."""
     raw = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))

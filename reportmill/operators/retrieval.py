@@ -40,11 +40,20 @@ def passage_text(df: DataFrame, text: str = "text", headings: str = "headings")
     return T.embedding_text(F.col(headings), F.col(text)) if headings in df.columns else F.col(text)
 
 
+def _raw_counts(passages: DataFrame, key: str, scope: Sequence[str], text: str) -> DataFrame:
+    """(scope, key, raw, n): each passage's distinct raw words with their numbers."""
+    words = passages.select(*scope, key, F.explode(T.raw_words(passage_text(passages, text))).alias("raw"))
+    return words.groupBy(*scope, key, "raw").agg(F.count(F.lit(1)).alias("n"))
+
+
 def postings(passages: DataFrame, key: str, scope: Sequence[str] = (), text: str = "text") -> DataFrame:
-    """(scope, key, len, term, tf), one row per distinct term of a passage."""
-    tokens = passages.select(*scope, key, T.tokenize(passage_text(passages, text)).alias("tokens"))
-    rows = tokens.select(*scope, key, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return rows.groupBy(*scope, key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(scope, key, term, tf), one row per distinct term of a passage.
+
+    Stop words and plurals are judged once for each distinct word of a passage, not each time it
+    stands there. ``store`` them where several searches share a corpus.
+    """
+    terms = _raw_counts(passages, key, scope, text).withColumn("term", T.term_of(F.col("raw"))).filter("term IS NOT NULL")
+    return terms.groupBy(*scope, key, "term").agg(F.sum("n").alias("tf"))
 
 
 def term_stats(passages: DataFrame, key: str, scope: Sequence[str] = (), text: str = "text") -> DataFrame:
@@ -95,24 +104,40 @@ def ranked(hits: DataFrame, key: str, limit: int | None, by: Sequence[str], scor
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
 
+#: Query vectors that a pass over the passages compares with (64 doubles each: a few MB).
+QUERY_BLOCK = 4096
+
+
 def dense(passages: DataFrame, queries: DataFrame, key: str, limit: int = DEFAULT_LIMIT, vector: str = "vector") -> DataFrame:
     """(query_id, key, score, rank): exact cosine search of a given set of query vectors.
 
-    The stated queries (query_id, vector) are joined to all passages, which stay where they
-    are; each task keeps its own best ``limit`` per query before the shuffle.
+    The stated queries (query_id, vector) are counted and broadcast in blocks of
+    :data:`QUERY_BLOCK`, so passages stay where they are; each task keeps its own best ``limit``
+    per query before the shuffle. Zero vectors score 0 with any other.
     """
     q = queries.select("query_id", F.col(vector).alias("_query"))
-    pairs = passages.filter(F.col(vector).isNotNull()).crossJoin(q)
-    scored = pairs.select("query_id", key, F.round(cosine(F.col(vector), F.col("_query")), 9).alias("score"))
-    return ranked(scored, key, limit, ["query_id"])
+    n = q.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    found = None
+    for i in range(blocks):
+        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        pairs = passages.filter(F.col(vector).isNotNull()).join(F.broadcast(part))
+        scored = pairs.select("query_id", key, F.round(cosine(F.col(vector), F.col("_query")), 9).alias("score"))
+        best = ranked(scored, key, limit, ["query_id"])
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def route_sections(passages: DataFrame, queries: DataFrame, key: str, order: str, limit: int = DEFAULT_LIMIT, scope: Sequence[str] = ()) -> DataFrame:
-    """(query_id, scope, key, score 1, rank): passages under a heading that the question asks for."""
+    """(query_id, scope, key, score 1, rank): passages under a heading that the question asks for.
+
+    Patterns meet each distinct heading once; passages then meet headings by equality.
+    """
     intents = passages.sparkSession.createDataFrame([(i, q, s) for i, (q, s) in enumerate(INTENTS)], "intent int, question string, section string")
     wanted = queries.join(F.broadcast(intents), F.regexp_like("query", F.col("question"))).select("query_id", "section")
     rows = passages.select(*scope, key, order, F.explode("headings").alias("heading"))
-    fits = rows.join(wanted, F.regexp_like("heading", F.col("section"))).select("query_id", *scope, key, order).distinct()
+    headings = rows.select("heading").distinct().join(wanted, F.regexp_like("heading", F.col("section"))).select("query_id", "heading").distinct()
+    fits = rows.join(headings, "heading").select("query_id", *scope, key, order).distinct()
     w = Window.partitionBy("query_id", *scope).orderBy(order)
     out = fits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
     return out.select("query_id", *scope, key, F.lit(1.0).alias("score"), "rank")

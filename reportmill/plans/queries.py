@@ -175,6 +175,30 @@ def hybrid_search(spark, sf_dir):
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+#: Questions' kinds and the phrases that answer them.
+ANSWERED = [(1, "lexical", ["ering thand", "tiontion"]), (2, "section", ["impression"]), (3, "section", ["medications"]), (4, "lexical", ["und das"])]
+_ANSWERED = "(VALUES " + ", ".join(f"({i}, '{k}', {p})" for i, k, p in ANSWERED) + ") AS answered(query_id, kind, phrases)"
+
+
+@query(f"""WITH {_bm25().replace('lower(text)', "lower(heading || chr(10) || text)").replace('FROM documents', f'FROM {_HEADED}')}, {_ROUTED},
+ r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM routed QUALIFY rank <= 10),
+ fused AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM hits WHERE rank <= 10 UNION ALL SELECT * FROM r) GROUP BY ALL),
+ every AS (SELECT 'BM25' AS system, query_id, doc_id, rank FROM hits WHERE rank <= 5
+  UNION ALL SELECT 'BM25 + sections', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused QUALIFY rank <= 5),
+ found AS (SELECT system, query_id, min(rank) AS first_rank FROM every JOIN {_HEADED} d USING (doc_id) JOIN {_ANSWERED} USING (query_id)
+  WHERE list_bool_or(list_transform(phrases, lambda p: contains(lower(heading || chr(10) || text), p))) GROUP BY ALL),
+ f AS (SELECT s.system, kind, first_rank FROM {_ANSWERED} CROSS JOIN (VALUES ('BM25'), ('BM25 + sections')) AS s(system) LEFT JOIN found ON found.system = s.system AND found.query_id = answered.query_id)
+SELECT system, coalesce(kind, 'all') AS kind, {_SCORES} FROM f GROUP BY GROUPING SETS ((system, kind), (system))""")
+def system_comparison(spark, sf_dir):
+    docs = _with_headings(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("ix", F.col("doc_id"))
+    lexical = lambda q, k: retrieval.bm25(docs, q, "doc_id", k)
+    sections = lambda q, k: retrieval.route_sections(docs, q, "doc_id", "ix", k)
+    systems = {"BM25": retrieval.hybrid(asked(spark), [lexical], "doc_id"), "BM25 + sections": retrieval.hybrid(asked(spark), [lexical, sections], "doc_id")}
+    questions = spark.createDataFrame(ANSWERED, "query_id int, kind string, relevant array<string>")
+    scores = E.compare_systems(systems, questions, docs.select("doc_id", retrieval.passage_text(docs).alias("text")), ["doc_id"])
+    return _rounded(scores.withColumn("kind", F.coalesce("kind", F.lit("all"))))
+
+
 @query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
  m AS (SELECT doc_id, t, len(t) AS n, coalesce(list_min(list_filter(list_transform(['ering', 'thand', 'tion'], lambda w: instr(lower(t), w) - 1), lambda p: p >= 0)), -1) AS a FROM f),
  e AS (SELECT *, least(n, greatest(0, a - 80) + 160) AS e0 FROM m), s AS (SELECT *, greatest(0, e0 - 160) AS s0 FROM e),
