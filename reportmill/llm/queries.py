@@ -50,7 +50,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    done = line_dedup.dedup_lines(docs)
+    done = line_dedup.dedup_lines(docs, whole_runs=True)
     return done.select(
         "doc_id", "n_lines", "n_deleted_lines", "n_deleted_runs", F.sha2(F.encode(text_or_empty(), "UTF-8"), 256).alias("kept_sha256")
     )
@@ -156,10 +156,10 @@ ORACLES: dict[str, str] = {
 WITH l AS (SELECT doc_id, i - 1 AS pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
  n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM l WHERE w > 0),
- spans AS (SELECT a.doc_id, a.nth, min(b.nth) AS stop FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.nth BETWEEN a.nth AND a.nth + 24 WHERE b.upto - a.upto + a.w >= 25 GROUP BY ALL),
- runs AS (SELECT s.doc_id, s.nth, s.stop, string_agg(n.line, chr(10) ORDER BY n.nth) AS run FROM spans s JOIN n ON n.doc_id = s.doc_id AND n.nth BETWEEN s.nth AND s.stop GROUP BY ALL),
- copies AS (SELECT doc_id, nth, stop FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, nth) > 1),
- gone AS (SELECT DISTINCT n.doc_id, n.pos, n.nth FROM copies c JOIN n ON n.doc_id = c.doc_id AND n.nth BETWEEN c.nth AND c.stop),
+ pairs AS (SELECT a.doc_id AS d, a.nth AS x, b.doc_id AS e, b.nth AS y, a.w FROM n a JOIN n b ON a.line = b.line AND (b.doc_id, b.nth) < (a.doc_id, a.nth)),
+ islands AS (SELECT *, x - row_number() OVER (PARTITION BY d, e, y - x ORDER BY x) AS island FROM pairs),
+ runs AS (SELECT d, min(x) AS x0, max(x) AS x1 FROM islands GROUP BY d, e, y - x, island HAVING sum(w) >= 25),
+ gone AS (SELECT DISTINCT n.doc_id, n.pos, n.nth FROM runs r JOIN n ON n.doc_id = r.d AND n.nth BETWEEN r.x0 AND r.x1),
  counts AS (SELECT doc_id, count(*) AS n, count(*) FILTER ((doc_id, nth - 1) NOT IN (SELECT doc_id, nth FROM gone)) AS runs FROM gone GROUP BY doc_id),
  kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines, coalesce(counts.n, 0)::BIGINT AS n_deleted_lines,
