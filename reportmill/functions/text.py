@@ -202,6 +202,15 @@ def page_list(pages: Column) -> Column:
     )
 
 
+def model_read_summary(found: Column, discarded: Column) -> Column:
+    """What a machine reading came to: results found, and those that the report doesn't have."""
+    none = F.lit("AI found no further results in the text.")
+    some = F.concat(F.lit("AI found "), plural(found, "result"), F.lit(" in the text."))
+    verb = F.when(discarded == 1, "was").otherwise("were")
+    gone = F.concat(F.lit(" "), discarded.cast("string"), F.lit(" more "), verb, F.lit(" not in the report and "), verb, F.lit(" dropped."))
+    return F.concat(F.when(found == 0, none).otherwise(some), F.when(discarded == 0, "").otherwise(gone))
+
+
 def percent(share: Column) -> Column:
     return F.format_string("%.1f%%", share * 100)
 

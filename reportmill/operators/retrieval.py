@@ -174,14 +174,32 @@ def hybrid(queries: DataFrame, strategies: Sequence[Strategy], key: str, limit:
     return fuse(found, key, limit, by)
 
 
+#: Terms that a pass over the passages looks for.
+MOST_TERMS = 10_000
+
+
+def passages_for_terms(passages: DataFrame, hits: DataFrame, terms: DataFrame, key: str, order: str, limit: int = 4) -> DataFrame:
+    """(term_id, key, rank): passages that contain a term, in reading order, then its search hits.
+
+    ``terms`` has (term_id, term), stated by readers and counted before it is broadcast; ``hits``
+    (term_id, key, rank). A term's first ``limit`` passages are kept.
+    """
+    asked = terms.count()
+    if asked > MOST_TERMS:
+        raise ValueError(f"{asked} terms: ask for {MOST_TERMS} at most at once")
+    looked = terms.select("term_id", T.comparable(F.col("term")).alias("_term"))
+    direct = passages.join(F.broadcast(looked), F.contains(T.comparable(F.col("text")), F.col("_term")))
+    direct = direct.select("term_id", key, F.lit(0).alias("first"), F.col(order).cast("long").alias("then"))
+    found = hits.select("term_id", key, F.lit(1).alias("first"), F.col("rank").cast("long").alias("then"))
+    best = direct.unionByName(found).groupBy("term_id", key).agg(F.min(F.struct("first", "then")).alias("at"))
+    ranks = best.withColumn("rank", F.row_number().over(Window.partitionBy("term_id").orderBy("at", key)))
+    return ranks.filter(F.col("rank") <= limit).select("term_id", key, "rank")
+
+
 def passages_for_term(passages: DataFrame, hits: DataFrame, term: str, key: str, order: str, limit: int = 4) -> DataFrame:
-    """Passages that contain the selected term, in reading order, then search hits by rank."""
-    has = F.contains(T.comparable(F.col("text")), F.lit(" ".join(term.lower().split())))
-    direct = passages.filter(has).select(key, F.lit(0).alias("first"), F.col(order).cast("long").alias("then"))
-    found = hits.select(key, F.lit(1).alias("first"), F.col("rank").cast("long").alias("then"))
-    best = direct.unionByName(found).groupBy(key).agg(F.min(F.struct("first", "then")).alias("at"))
-    out = best.orderBy("at", key).limit(limit)
-    return out.withColumn("rank", F.row_number().over(Window.orderBy("at", key))).select(key, "rank")
+    """The same for one term: (key, rank)."""
+    terms = passages.sparkSession.createDataFrame([(0, term)], "term_id int, term string")
+    return passages_for_terms(passages, hits.withColumn("term_id", F.lit(0)), terms, key, order, limit).drop("term_id")
 
 
 def pack(passages: DataFrame, by: Sequence[str], rank: str = "rank", text: str = "text", budget: int = 12_000) -> DataFrame:

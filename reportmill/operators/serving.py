@@ -16,6 +16,9 @@ PER_DAY = 400
 #: Bytes, passages and messages that a route takes (fixed values).
 BODY_LIMITS = {"chat": 512_000, "define": 64_000, "embed": 1_200_000, "labs": 256_000, "simplify": 16_000}
 ITEM_LIMITS = {"chat": 12, "define": 4, "embed": 400, "labs": 12}
+#: Messages of a chat's history, and characters of all texts to embed, of one, of a question, a
+#: term and a passage (fixed values).
+MOST_HISTORY, MOST_CHARS, MOST_TEXT, MOST_QUESTION, MOST_TERM, MOST_PASSAGE = 20, 400_000, 8_000, 2_000, 300, 8_000
 
 
 def client_key(real_ip: Column, forwarded: Column) -> Column:
@@ -82,6 +85,34 @@ def validate(requests: DataFrame, schema: str, body: str = "body", most_bytes: C
     return out.withColumn("status", F.when(long, 413).when(fine, 200).otherwise(400))
 
 
+_PASSAGE = "struct<id:string,text:string,page:int,endPage:int,headings:array<string>,kind:string>"
+BODY = f"question string, term string, passages array<{_PASSAGE}>, history array<struct<role:string,content:string>>, values array<string>"
+
+
+def validate_routes(requests: DataFrame, route: str = "route", body: str = "body") -> DataFrame:
+    """Add parsed, and status 200, 400 or 413 by the limits of each request's route.
+
+    Routes that are not listed take nothing (413). ``simplify`` has no list and only a bound on bytes.
+    """
+    r, p = F.col(route), F.col("parsed")
+    between = lambda c, low, high: F.coalesce(F.length(T.trim_ws(c)).between(low, high), F.lit(False))
+    passages = F.coalesce(F.size(p["passages"]) <= _by_route(r, ITEM_LIMITS), F.lit(False)) & F.forall(p["passages"], lambda x: F.length(x["text"]) <= MOST_PASSAGE)
+    values = F.size(p["values"]).between(1, ITEM_LIMITS["embed"]) & F.forall(p["values"], lambda v: F.length(v) <= MOST_TEXT)
+    values &= F.aggregate(p["values"], F.lit(0), lambda a, v: a + F.length(v)) <= MOST_CHARS
+    checks = (
+        F.when(r == "chat", between(p["question"], 1, MOST_QUESTION) & passages & (F.coalesce(F.size(p["history"]), F.lit(0)) <= MOST_HISTORY))
+        .when(r == "define", between(p["term"], 1, MOST_TERM) & passages)
+        .when(r == "embed", values)
+        .when(r == "labs", passages)
+        .when(r == "simplify", F.lit(True))
+    )
+    return validate(requests, BODY, body, F.coalesce(_by_route(r, BODY_LIMITS), F.lit(0)), checks)
+
+
+def _by_route(route: Column, limits: dict[str, int]) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), route)
+
+
 def encode_events(rows: DataFrame) -> DataFrame:
     """(answer_id, seq, kind, text) -> line: one JSON object an event; empty deltas are skipped."""
     kept = rows.filter((F.col("kind") == "error") | (F.col("text") != ""))
@@ -150,6 +181,28 @@ def classify_failure(texts: Column, statuses: Column) -> Column:
     return out
 
 
+#: Fields of a failure that may say what went wrong, and links to the failure below (fixed values).
+SAYS, CODES, BELOW, DEPTH = ("message", "responseBody", "code", "name"), ("statusCode", "status"), ("cause", "lastError"), 5
+
+
+def collect_failure(error: Column, depth: int = DEPTH) -> Column:
+    """struct(texts, statuses) of a failure in JSON and of those that it wraps, ``depth`` levels down."""
+
+    def schema(left: int) -> str:
+        below = [f"{b}:{schema(left - 1)}" for b in BELOW] if left else []
+        return f"struct<{','.join([*(f'{s}:string' for s in SAYS), *(f'{c}:int' for c in CODES), *below])}>"
+
+    def walk(x: Column, left: int) -> list[Column]:
+        return [x, *(y for b in BELOW for y in walk(x[b], left - 1))] if left else [x]
+
+    def collected(x: Column) -> Column:
+        all_ = walk(x, depth)
+        named = lambda fields: F.array_compact(F.array(*(y[f] for y in all_ for f in fields)))
+        return F.struct(named(SAYS).alias("texts"), named(CODES).alias("statuses"))
+
+    return T.let(F.from_json(error, schema(depth)), collected)
+
+
 def log_line(names: Column, statuses: Column, message: Column) -> Column:
     """A line without provider texts: names from outer to inner, statuses, the safe message."""
     codes = F.array_join(F.array_distinct(F.transform(statuses, lambda s: s.cast("string"))), ", ")

@@ -447,7 +447,19 @@ def rate_limit(spark, sf_dir):
     return done.select("event_id", "nth", "allowed")
 
 
-@query()
+_CAPS = " ".join(f"WHEN '{r}' THEN {n}" for r, n in serving.PER_MINUTE.items())
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, ({list(serving.PER_MINUTE)})[event_id % 5 + 1] AS route, ts, row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY ts, event_id) AS i FROM events),
+ w AS (SELECT event_id, user_id, route, ts, i, ts AS start, 1 AS nth FROM e WHERE i = 1 UNION ALL
+  SELECT e.event_id, e.user_id, e.route, e.ts, e.i, CASE WHEN e.ts - w.start >= INTERVAL 1 MINUTE THEN e.ts ELSE w.start END, CASE WHEN e.ts - w.start >= INTERVAL 1 MINUTE THEN 1 ELSE w.nth + 1 END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.route = w.route AND e.i = w.i + 1),
+ m AS (SELECT *, nth <= CASE route {_CAPS} END AS route_ok FROM w),
+ p AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS j FROM m WHERE route_ok),
+ d AS (SELECT event_id, user_id, ts, j, ts AS start, 1 AS nth FROM p WHERE j = 1 UNION ALL
+  SELECT p.event_id, p.user_id, p.ts, p.j, CASE WHEN p.ts - d.start >= INTERVAL 1 DAY THEN p.ts ELSE d.start END, CASE WHEN p.ts - d.start >= INTERVAL 1 DAY THEN 1 ELSE d.nth + 1 END
+  FROM d JOIN p ON p.user_id = d.user_id AND p.j = d.j + 1)
+SELECT m.event_id, m.route_ok, coalesce(d.nth <= {serving.PER_DAY}, false) AS allowed FROM m LEFT JOIN d USING (event_id)""")
 def rate_limit_two_level(spark, sf_dir):
     routes = F.array(*map(F.lit, serving.PER_MINUTE))
     events = read(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").cast("string").alias("client"), F.element_at(routes, (F.col("event_id") % 5 + 1).cast("int")).alias("route"))

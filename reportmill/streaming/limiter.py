@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,6 +50,48 @@ def limit_stream(requests: DataFrame, limit: int, seconds: float, lateness: str
     )
 
 
+TWO_LEVEL = "client string, route string, ts timestamp, route_ok boolean, allowed boolean"
+
+
+def two_level_stream(requests: DataFrame, lateness: str = "1 minute") -> DataFrame:
+    """(client, route, ts, route_ok, allowed) of streamed (client, route, ts) requests.
+
+    As :func:`serving.two_level`: the route's minute first, and a client's day counts only what that
+    let pass. A client's state is two numbers a route and two for the day, removed once the
+    watermark has passed its day.
+    """
+    minute, day = pd.Timedelta(seconds=60), pd.Timedelta(days=1)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        windows = json.loads(state.get[0]) if state.exists else {}
+
+        def counted(name: str, ts: pd.Timestamp, span: pd.Timedelta) -> int:
+            start, n = windows.get(name, (None, 0))
+            if start is None or ts - pd.Timestamp(start, unit="us") >= span:
+                start, n = int(ts.value // 1000), 0
+            windows[name] = (start, n + 1)
+            return n + 1
+
+        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        passed, allowed = [], []
+        for route, ts in zip(rows["route"], rows["ts"], strict=True):
+            passed.append(counted(f"route {route}", ts, minute) <= serving.PER_MINUTE.get(route, 0))
+            allowed.append(passed[-1] and counted("day", ts, day) <= serving.PER_DAY)
+        ends = max(start for start, _ in windows.values()) // 1000 + int(day.total_seconds() * 1000)
+        state.update((json.dumps(windows),))
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"client": key[0], "route": rows["route"], "ts": rows["ts"], "route_ok": passed, "allowed": allowed})
+
+    return (
+        requests.withWatermark("ts", lateness)
+        .groupBy("client")
+        .applyInPandasWithState(step, TWO_LEVEL, "windows string", "append", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
 def answer_stream(lines: DataFrame) -> DataFrame:
     """Streamed NDJSON lines as events; use with complete or update mode of ``assemble``."""
     return serving.parse_events(lines)

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from reportmill.functions import text
 from reportmill.operators import serving as S
 from reportmill.sources import stores
 from reportmill.streaming import limiter
@@ -138,3 +139,54 @@ def test_history_and_bursts(spark):
     assert [(r["role"], r["text"]) for r in S.history(turns).orderBy("turn", "part").collect()] == [("user", "q"), ("assistant", "a")]
     bursts = S.debounce(requests(spark, [("a", 0), ("a", 100), ("a", 400)]), ["key"])
     assert sorted(r["n"] for r in bursts.collect()) == [1, 2]
+
+
+def test_limits_of_each_route(spark):
+    import json
+
+    passage = {"id": "p1#1", "text": "t", "page": 1, "endPage": 1, "headings": [], "kind": "prose"}
+    rows = [
+        ("chat", {"question": "why?", "passages": [passage] * 12}, 200),
+        ("chat", {"question": "why?", "passages": [passage] * 13}, 400),
+        ("chat", {"question": "why?", "passages": [], "history": [{"role": "user", "content": "x"}] * 21}, 400),
+        ("chat", {"question": " ", "passages": []}, 400),
+        ("define", {"term": "ALT", "passages": [passage] * 5}, 400),
+        ("define", {"term": "ALT", "passages": [passage] * 4}, 200),
+        ("embed", {"values": ["x" * 8000] * 50}, 200),
+        ("embed", {"values": ["x" * 8000] * 51}, 400),
+        ("embed", {"values": []}, 400),
+        ("simplify", {"text": "y" * 17_000}, 413),
+        ("other", {}, 413),
+    ]
+    df = spark.createDataFrame([(i, r, json.dumps(b)) for i, (r, b, _) in enumerate(rows)] + [(99, "chat", "{oops")], "i int, route string, body string")
+    got = {r["i"]: r["status"] for r in S.validate_routes(df).collect()}
+    assert got == {i: s for i, (_, _, s) in enumerate(rows)} | {99: 400}
+
+
+def test_failures_are_walked_down(spark):
+    inner = '{"message": "quota", "statusCode": 429}'
+    error = f'{{"name": "Retry", "lastError": {{"message": "outer", "cause": {inner}}}}}'
+    x = spark.createDataFrame([(error,)], "e string").select(S.collect_failure(F.col("e")).alias("f")).select("f.*", S.classify_failure(F.col("f.texts"), F.col("f.statuses")).alias("c")).first()
+    assert sorted(x["texts"]) == ["Retry", "outer", "quota"] and x["statuses"] == [429] and x["c"]["status"] == 429
+
+
+def test_summaries(spark):
+    df = spark.createDataFrame([(0, 0), (1, 1), (3, 2)], "f int, d int")
+    got = [r[0] for r in df.select(text.model_read_summary(F.col("f"), F.col("d"))).collect()]
+    assert got == [
+        "AI found no further results in the text.",
+        "AI found 1 result in the text. 1 more was not in the report and was dropped.",
+        "AI found 3 results in the text. 2 more were not in the report and were dropped.",
+    ]
+
+
+def test_two_levels_as_a_stream(spark, tmp_path):
+    rows = [("c", "labs", f"2024-01-01 00:00:{i:02d}") for i in range(9)] + [("c", "labs", "2024-01-01 00:01:01"), ("d", "nowhere", "2024-01-01 00:00:01")]
+    df = spark.createDataFrame(rows, "client string, route string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = limiter.two_level_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("two_level").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    key = lambda d: sorted(map(tuple, d.select("client", "route", "ts", "route_ok", "allowed").collect()))
+    got = key(spark.table("two_level"))
+    assert got == key(S.two_level(df)) and sum(r[-1] for r in got) == 7
