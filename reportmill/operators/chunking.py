@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,51 +64,58 @@ def split_table(rows: list[list[str]], most: int) -> list[str]:
     return parts or [head]
 
 
-def chunk_blocks(found: list[dict], most: int = MAX_CHARS, overlap: int = OVERLAP) -> list[dict]:
-    """Chunks of one document's blocks in reading order."""
-    most = max(1, most)
-    overlap = max(0, min(overlap, most - 1))
-    out: list[dict] = []
-    trail: list[tuple[int, str]] = []
-    open_prose: dict | None = None
-    ordinals: dict[int, int] = {}
-
-    def put(chunk: dict) -> None:
-        chunk["text"] = chunk["text"].strip()
-        if chunk["text"]:
-            ordinals[chunk["page"]] = ordinals.get(chunk["page"], 0) + 1
-            out.append(chunk | {"chunk_id": f"p{chunk['page']}#{ordinals[chunk['page']]}", "chunk_ix": len(out)})
+def _sections(found: list[dict]) -> Iterator[tuple[int, list[str], dict]]:
+    """Each block that is no heading, with the headings above it and the number of its run.
 
+    A run is consecutive paragraphs, or one table; headings stay in force until one of their
+    level or above.
+    """
+    above: list[tuple[int, str]] = []
+    run, was = 0, None
     for block in found:
-        if block["kind"] == "paragraph":
-            for part in split_prose(block["text"], most):
-                if open_prose and len(open_prose["text"]) + 1 + len(part) <= most:
-                    open_prose |= {"text": f"{open_prose['text']} {part}", "end_page": block["page"]}
-                    continue
-                carry = tail(open_prose["text"], overlap) if open_prose else ""
-                if open_prose:
-                    put(open_prose)
-                open_prose = {"text": f"{carry} {part}" if carry else part, "page": block["page"], "end_page": block["page"], "headings": [t for _, t in trail], "kind": "prose"}
-            continue
-        if open_prose:
-            put(open_prose)
-            open_prose = None
         if block["kind"] == "heading":
-            trail = [*_closed(trail, block["level"]), (block["level"], block["text"])]
+            above = [(level, text) for level, text in above if level < block["level"]]
+            above.append((block["level"], block["text"]))
+        else:
+            run += was != "paragraph" or block["kind"] != "paragraph"
+            yield run, [text for _, text in above], block
+        was = block["kind"]
+
+
+def _packed(parts: list[tuple[int, str]], most: int, overlap: int) -> list[tuple[int, int, str]]:
+    """(page, end_page, text): parts of one run filled up to ``most``, each after the end of the last."""
+    out: list[tuple[int, int, str]] = []
+    for page, text in parts:
+        if out and len(out[-1][2]) + 1 + len(text) <= most:
+            out[-1] = (out[-1][0], page, f"{out[-1][2]} {text}")
         else:
-            for text in split_table([list(r) for r in block["rows"]], most):
-                put({"text": text, "page": block["page"], "end_page": block["page"], "headings": [t for _, t in trail], "kind": "table"})
-    if open_prose:
-        put(open_prose)
+            carry = tail(out[-1][2], overlap) if out else ""
+            out.append((page, page, f"{carry} {text}" if carry else text))
     return out
 
 
-def _closed(trail: list[tuple[int, str]], level: int) -> list[tuple[int, str]]:
-    """Open sections that a heading of ``level`` leaves open."""
-    keep = len(trail)
-    while keep and trail[keep - 1][0] >= level:
-        keep -= 1
-    return trail[:keep]
+def chunk_blocks(found: list[dict], most: int = MAX_CHARS, overlap: int = OVERLAP) -> list[dict]:
+    """Chunks of one document's blocks in reading order: runs under their headings, cut and packed."""
+    most = max(1, most)
+    overlap = max(0, min(overlap, most - 1))
+    made: list[dict] = []
+    for _, members in groupby(_sections(found), key=itemgetter(0)):
+        run = list(members)
+        headings, first = run[0][1], run[0][2]
+        if first["kind"] == "table":
+            texts = [(first["page"], first["page"], t) for t in split_table([list(r) for r in first["rows"]], most)]
+            kind = "table"
+        else:
+            texts = _packed([(b["page"], part) for _, _, b in run for part in split_prose(b["text"], most)], most, overlap)
+            kind = "prose"
+        made += [{"text": t.strip(), "page": p, "end_page": e, "headings": headings, "kind": kind} for p, e, t in texts]
+    nth: Counter = Counter()
+    out = []
+    for chunk in made:
+        if chunk["text"]:
+            nth[chunk["page"]] += 1
+            out.append(chunk | {"chunk_id": f"p{chunk['page']}#{nth[chunk['page']]}", "chunk_ix": len(out)})
+    return out
 
 
 def chunks(found: DataFrame, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
