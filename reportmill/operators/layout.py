@@ -192,33 +192,30 @@ def aligned(first: list, size: float, cells: list) -> bool:
 def _page_blocks(rows: list[dict]) -> list[dict]:
     """Headings, then tables, then paragraphs up to the next of either.
 
-    ``run[i]`` is how many lines from i on share its columns; a walk forward from each
-    line stops at the first that does not, and lines that no run can start at cost nothing.
+    A table starts where the next line shares a line's columns; how far it goes is walked once,
+    from the line that it starts at.
     """
     n = len(rows)
-    run = [0] * n
-    for i, first in enumerate(rows):
-        if len(first["cells"]) >= 2:
-            j = i + 1
-            while j < n and aligned(first["cells"], first["font_size"], rows[j]["cells"]):
-                j += 1
-            run[i] = j - i
+
+    def below(i: int, j: int) -> bool:
+        return j < n and aligned(rows[i]["cells"], rows[i]["font_size"], rows[j]["cells"])
+
+    starts = [len(r["cells"]) >= 2 and below(i, i + 1) for i, r in enumerate(rows)]
     out, i = [], 0
     while i < n:
-        here = rows[i]
-        if here["heading"]:
-            out.append(("heading", here["level"], here["text"].strip(), None))
-            i += 1
-        elif run[i] >= 2:
-            cells = [[c["text"] for c in r["cells"]] for r in rows[i : i + run[i]]]
+        j = i + 1
+        if rows[i]["heading"]:
+            out.append(("heading", rows[i]["level"], rows[i]["text"].strip(), None))
+        elif starts[i]:
+            while below(i, j):
+                j += 1
+            cells = [[c["text"] for c in r["cells"]] for r in rows[i:j]]
             out.append(("table", None, "\n".join(" | ".join(r) for r in cells), cells))
-            i += run[i]
         else:
-            j = i + 1
-            while j < n and not rows[j]["heading"] and run[j] < 2:
+            while j < n and not rows[j]["heading"] and not starts[j]:
                 j += 1
             out.append(("paragraph", None, " ".join(r["text"].strip() for r in rows[i:j]), None))
-            i = j
+        i = j
     names = ("kind", "level", "text", "rows")
     return [dict(zip(names, block, strict=True)) | {"block_ix": ix} for ix, block in enumerate(out)]
 
