@@ -33,3 +33,29 @@ def test_copies_of_a_document_go(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = corpus_pipeline.one_of_each_group(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and blank texts, repeated rows, a clashing column and no rows."""
+    prose = " ".join("the people of this small town have always known that their river would rise in spring and they built houses on higher ground".split() * 1)
+    good = " ".join(f"{w}" for i in range(4) for w in (prose + f" in year {1900 + i} when others came").split())
+    rows = [(1, None, None, None, None, 1), (None, "", "en", "s", 0, 2), (2, " \n ", "en", None, 3, 3), (3, good, "en", "s", 9, 4), (3, good, "en", "s", 9, 4), (4, "short", None, "t", 5, 5), (None, good + " end", "en", None, 1, 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, quality int")
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        counts[name] = stage(spark, docs, "").count()
+        assert stage(spark, docs.limit(0), "").count() == 0
+    assert counts["line dedup"] == counts["BPE"] == len(rows)
+    assert counts["SimHash near-dedup"] == 6, "a blank one, a short one, the kept key twice, and two without keys"
+
+
+def test_mix_stage_keeps_the_schedules_order(spark, sf):
+    from reportmill.llm import mixing
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    slots = {(r["doc_id"], p): s for r in mixing.mix(docs).collect() for p, s in enumerate(r["slots"]) if s is not None}
+    seen, order = {}, []
+    for r in corpus_pipeline.mixed(spark, docs, sf).collect():
+        seen[r["doc_id"]] = seen.get(r["doc_id"], -1) + 1
+        order.append(slots[r["doc_id"], seen[r["doc_id"]]])
+    assert len(order) == len(slots) and order == sorted(order)
