@@ -1,10 +1,10 @@
 """Near-duplicates by similarity: the SimHash trie self-join over many short fingerprints.
 
 Texts whose five-word shingles are alike by 0.8 differ in about 15 percent of their SimHash
-bits, ten of 64, which a budget of two never meets. So every text gets 768 bits, cut into 24
+bits, ten of 64, which a budget of two never meets. So every text gets 640 bits, cut into 20
 fingerprints of 32 bits, each joined by its own trie with a budget of two; at a likeness of 0.8
-some fingerprint is that near for about 95 of 100 pairs, at 0.85 for 99.6. A near pair is
-proposed if 128 of the bits differ in at most :data:`MOST_DIFFERENT` places, and is a link if the
+some fingerprint is that near for about 92 of 100 pairs, at 0.85 for 99. A near pair is
+proposed if 256 of the bits differ in at most :data:`MOST_DIFFERENT` places, and is a link if the
 exact overlap of both texts' distinct shingles reaches the least likeness.
 
 Large groups of near copies would propose pairs by the square of their size. So texts that share a
@@ -29,13 +29,14 @@ from .trie import MOST_BROADCAST, MOST_ROWS, close
 
 WORDS_EACH = 5
 #: 64-bit words of SimHash, bits of a fingerprint, and words that check a pair.
-WORDS, BITS, CHECKED = 12, 32, 2
-#: Differing bits of the checked 128 up to which a pair is proposed. Texts alike by 0.8 differ in
-#: 19 bits, by 4 more or less, so that 3 in 1000 such pairs are lost.
-MOST_DIFFERENT = 30
+WORDS, BITS, CHECKED = 10, 32, 4
+#: Differing bits of the checked 256 up to which a pair is proposed. Texts alike by 0.8 differ in
+#: 39 bits, by 6 more or less, so that one in 100 such pairs is lost; of those alike by 0.65, six in
+#: ten are left out.
+MOST_DIFFERENT = 52
 #: Fingerprints by which groups are gathered first, texts of each that the others are compared
 #: with, and levels of a trie that are opened at first.
-GATHERED, HUBS, FIRST_LEVELS = 8, 4, 2
+GATHERED, HUBS, FIRST_LEVELS = 8, 4, 0
 #: Shared share of all distinct shingles of two texts from which they are copies.
 ALIKE = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,7 +44,7 @@ _STEPS = np.array([0x9E3779B97F4A7C15 * (w + 1) % (1 << 64) for w in range(WORDS
 
 
 def long_print(hashes: np.ndarray) -> np.ndarray:
-    """768 bits, each set if more than half of the hashes, mixed anew for each word, have it."""
+    """640 bits, each set if more than half of the hashes, mixed anew for each word, have it."""
     ones = np.zeros(64 * WORDS, np.int64)
     for a in range(0, len(hashes), 1 << 14):
         x = hashes[a : a + (1 << 14), None] ^ _STEPS

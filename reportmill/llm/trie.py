@@ -318,7 +318,12 @@ def close(
     names = [*(["node"] if own_node else []), *(["of"] if classed else []), *(f"c{i}" for i in range(checks))]
     sorted_rows = rows.select("block", "value", *names).repartition("block").sortWithinPartitions("block", "value")
     packed = cut(sorted_rows.mapInArrow(lambda b: _pack(b, bits, names), "block string, data binary"))
-    left = packed.select(F.col("block").alias("block_1"), F.col("data").alias("one")).join(_small(cut(pairs)), "block_1")
-    both = left.join(packed.select(F.col("block").alias("block_2"), F.col("data").alias("other")), "block_2")
-    tasks = both.select((F.col("block_1") == F.col("block_2")).alias("same"), "depth", "one", "other")
+    pairs = cut(pairs)
+    depths = _small(pairs.filter("block_1 = block_2").select(F.col("block_1").alias("block"), "depth"))
+    tasks = packed.join(depths, "block").select(F.lit(True).alias("same"), "depth", F.col("data").alias("one"), F.lit(None).cast("binary").alias("other"))
+    apart = pairs.filter("block_1 <> block_2")
+    if not apart.isEmpty():
+        left = packed.select(F.col("block").alias("block_1"), F.col("data").alias("one")).join(_small(apart), "block_1")
+        both = left.join(packed.select(F.col("block").alias("block_2"), F.col("data").alias("other")), "block_2")
+        tasks = tasks.unionByName(both.select(F.lit(False).alias("same"), "depth", "one", "other"))
     return tasks.mapInArrow(lambda b: _edges(b, bits, budget, checks, own_node, classed, most, spanning), "a bigint, b bigint")

@@ -278,7 +278,7 @@ def test_proposed_pairs_against_all_pairs(spark):
             docs.append((len(docs), " ".join(x)))
     prints = [simhash_bands.long_print(np.array(simhash.shingle_hashes(t.encode(), 5), np.uint64)) for _, t in docs]
     df = spark.createDataFrame([(i, p.view(np.int64).tolist()) for i, p in enumerate(prints)], "node bigint, prints array<bigint>")
-    near = lambda a, b: (np.bitwise_count(a.view("<u4") ^ b.view("<u4")) <= 2).any() and np.bitwise_count(a[:2] ^ b[:2]).sum() <= simhash_bands.MOST_DIFFERENT
+    near = lambda a, b: (np.bitwise_count(a.view("<u4") ^ b.view("<u4")) <= 2).any() and np.bitwise_count(a[: simhash_bands.CHECKED] ^ b[: simhash_bands.CHECKED]).sum() <= simhash_bands.MOST_DIFFERENT
     want = [(j, i) for i in range(len(docs)) for j in range(i) if near(prints[i], prints[j])]
     for most_rows in (1 << 20, 8):
         assert sorted(set(rows_of(simhash_bands.proposed(df, most_rows=most_rows), "a", "b"))) == sorted(want)
