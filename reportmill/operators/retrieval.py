@@ -6,6 +6,7 @@ Queries are a table (query_id, query), so any number of them share one pass.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from reportmill.functions import text as T
 from reportmill.functions.vectors import cosine
 
+logger = logging.getLogger(__name__)
+
 K1, B = 1.2, 0.75
 RRF_K = 60
 DEFAULT_LIMIT = 5
@@ -158,7 +161,7 @@ Strategy = Callable[[DataFrame, int], DataFrame]
 def hybrid(queries: DataFrame, strategies: Sequence[Strategy], key: str, limit: int = DEFAULT_LIMIT, by: Sequence[str] = ("query_id",), failed: list | None = None) -> DataFrame:
     """Fuse strategies over a pool of max(2 limit, 10); blank queries have no hits.
 
-    A strategy that can't be planned is left out and, if ``failed`` is given, noted there.
+    A strategy that can't be planned is left out, logged and, if ``failed`` is given, noted there.
     """
     asked = queries.filter(T.trim_ws(F.col("query")) != "")
     pool, found, errors = max(2 * limit, 10), [], []
@@ -166,6 +169,7 @@ def hybrid(queries: DataFrame, strategies: Sequence[Strategy], key: str, limit:
         try:
             found.append(strategy(asked, pool))
         except Exception as error:  # a plug-in of the caller's: any error drops only it
+            logger.warning("a search strategy is left out: %s", error)
             errors.append(error)
     if failed is not None:
         failed.extend(errors)

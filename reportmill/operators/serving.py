@@ -132,7 +132,10 @@ def parse_events(lines: DataFrame) -> DataFrame:
 
 
 def assemble(events: DataFrame) -> DataFrame:
-    """(answer_id, answer, error): deltas in order; the last error beside the partial text."""
+    """(answer_id, answer, error): deltas in order; the last error beside the partial text.
+
+    An answer is one text, so its deltas meet in one row: it has to fit a string (2 GB at most).
+    """
     deltas = F.collect_list(F.when(F.col("type") == "delta", F.struct("seq", "text")))
     answer = F.array_join(F.transform(F.array_sort(deltas), lambda d: d["text"]), "")
     return events.groupBy("answer_id").agg(answer.alias("answer"), F.max_by("message", F.when(F.col("type") == "error", F.col("seq"))).alias("error"))
