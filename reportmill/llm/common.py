@@ -111,3 +111,9 @@ def sums_before(sums: DataFrame, by: list[str], at: str, value: str, out: str, b
     upto = Window.partitionBy(*by, up).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumn("_inside", F.coalesce(F.sum(value).over(upto), F.lit(0)))
     return inside.join(above, [*by, up]).select(*by, at, (F.col("_above") + F.col("_inside")).alias(out))
+
+
+def parts_for(df: DataFrame, size: Column, each: int = 32 << 20) -> int:
+    """How many partitions of about ``each`` bytes the rows of ``df`` fill, at least the session's number."""
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each))

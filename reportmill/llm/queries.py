@@ -1,4 +1,4 @@
-"""The ten ``opN_`` queries: operators of this subpackage over whole tables.
+"""The ``opN_`` queries: operators of this subpackage over whole tables.
 
 Each takes (spark, sf_dir). :data:`ORACLES` has DuckDB SQL for those that SQL can express.
 """
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, mixing, pii, quality, simhash, token_counts, url_filter, warc
+from . import bpe, conversations, fingerprints, line_dedup, mixing, oracles, pii, quality, simhash, token_counts, url_filter, warc
 from .common import table, text_or_empty
 
 
@@ -94,6 +94,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(labelled, bad=F.col("bad")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversations.repaired(conversations.damaged(convs), of=convs)
+
+
 _ALL = (
     op1_token_counts,
     op2_line_dedup,
@@ -105,6 +110,7 @@ _ALL = (
     op8_simhash,
     op9_quality,
     op10_urls,
+    op12_conversations,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -150,7 +156,7 @@ SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (k
 FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
 
 
-ORACLES: dict[str, str] = {
+ORACLES: dict[str, str] = oracles.ORACLES | {
     "op4_pii": _pii_sql(),
     "op2_line_dedup": r"""
 WITH l AS (SELECT doc_id, i - 1 AS pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
