@@ -50,4 +50,23 @@ SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM c.conv_id"""
 
 
-ORACLES: dict[str, str] = {"op12_conversations": _repair_sql()}
+ORACLES: dict[str, str] = {
+    "op12_conversations": _repair_sql(),
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ said AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+ f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+   + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(min(d.doc_id) OVER (PARTITION BY t) < d.doc_id, false)::INT AS m
+   FROM d LEFT JOIN said USING (doc_id)),
+ p AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY part, m),
+ l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+ o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a JOIN l b ON b.c <> a.c JOIN l c ON c.c NOT IN (a.c, b.c) JOIN l d ON d.c NOT IN (a.c, b.c, c.c) JOIN l e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+ s AS (SELECT filter_order, step, filter_order[step] AS filter, (1 << (ascii(filter_order[step]) - 65)) AS b,
+   coalesce(list_sum(list_transform(string_split(filter_order[1:step - 1], ''), lambda c: CASE WHEN c = '' THEN 0 ELSE 1 << (ascii(c) - 65) END)), 0)::INT AS e
+   FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+ r AS (SELECT part, filter_order, step, filter, sum(CASE WHEN m & (e | b) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN m & e = 0 AND m & b <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+   sum(CASE WHEN m & e <> 0 AND m & b <> 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN m = b THEN n ELSE 0 END)::BIGINT AS unique_fails,
+   sum(CASE WHEN m & e = 0 AND m & b <> 0 THEN g ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN m & e = 0 AND m & b <> 0 THEN x ELSE 0 END)::BIGINT AS toxic_lost
+   FROM s CROSS JOIN p GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r""",
+}

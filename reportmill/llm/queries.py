@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, fingerprints, line_dedup, mixing, oracles, pii, quality, simhash, token_counts, url_filter, warc
+from . import bpe, conversations, filter_audit, fingerprints, line_dedup, mixing, oracles, pii, quality, simhash, token_counts, url_filter, warc
 from .common import table, text_or_empty
 
 
@@ -99,6 +99,13 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(conversations.damaged(convs), of=convs)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    judged = filter_audit.verdicts(docs, labels, filter_audit.text_filters(), copies="E")
+    return filter_audit.audit(judged, "ABCDE")
+
+
 _ALL = (
     op1_token_counts,
     op2_line_dedup,
@@ -111,6 +118,7 @@ _ALL = (
     op9_quality,
     op10_urls,
     op12_conversations,
+    op13_filter_audit,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
