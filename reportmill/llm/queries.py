@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, filter_audit, fingerprints, line_dedup, mixing, oracles, pii, quality, simhash, token_counts, url_filter, warc
+from . import bpe, byte_network, conversations, filter_audit, fingerprints, line_dedup, mixing, oracles, pii, quality, simhash, token_counts, url_filter, warc
 from .common import table, text_or_empty
 
 
@@ -94,6 +94,12 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(labelled, bad=F.col("bad")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    net = byte_network.learn(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return byte_network.score(docs, net).select("doc_id", byte_network.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return conversations.repaired(conversations.damaged(convs), of=convs)
@@ -117,6 +123,7 @@ _ALL = (
     op8_simhash,
     op9_quality,
     op10_urls,
+    op11_quality_network,
     op12_conversations,
     op13_filter_audit,
 )
