@@ -79,8 +79,7 @@ def term_of(raw: Column) -> Column:
 def tokenize(c: Column) -> Column:
     """Comparable terms: whole decimals, and words without stop words or a plural s."""
     raw = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
-    stops = F.array(*map(F.lit, STOP_WORDS))
-    kept = F.filter(raw, lambda t: (F.length(t) >= 2) & ~F.array_contains(stops, t))
+    kept = F.filter(raw, lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS))
     return F.transform(kept, lambda t: F.when(t.rlike(r"^\d"), t).otherwise(singular(t)))
 
 

@@ -84,11 +84,12 @@ def bm25(passages: DataFrame, queries: DataFrame, key: str, limit: int | None =
 
     Only terms that a query has are counted per passage: they are filtered from the tokens
     before anything is shuffled. Scores are rounded to nine places, so that equal passages tie
-    whatever the order of their sums; ties go to the smaller key.
+    whatever the order of their sums; ties go to the smaller key. Null texts have no words and
+    count as passages. ``lexical_index`` has the same search over a stored index.
     """
     wanted = query_terms(queries)
     tokens = passages.select(*scope, key, T.tokenize(passage_text(passages, text)).alias("tokens"))
-    sized = tokens.select(*scope, key, F.size("tokens").alias("len"), "tokens")
+    sized = tokens.select(*scope, key, F.coalesce(F.size("tokens"), F.lit(0)).alias("len"), "tokens")
     totals = sized.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     rows = sized.select(*scope, key, "len", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     tf = rows.groupBy(*scope, key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from reportmill.functions import text as T
 from reportmill.functions import values as V
 from reportmill.operators import assess as A
-from reportmill.operators import chunking, grounding, lab_tables, layout, retrieval, serving
+from reportmill.operators import chunking, grounding, lab_tables, layout, lexical_index, retrieval, serving
 from reportmill.operators import evaluation as E
+from reportmill.shared import new_folder
 from reportmill.sources import stores
 
 QUERIES: dict = {}
@@ -89,6 +90,27 @@ def bm25_per_source(spark, sf_dir):
     return hits.select("query_id", "source", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _indexed(spark, sf_dir, scope=()) -> lexical_index.LexicalIndex:
+    """The documents in a new stored index, in two batches, the second of which holds what the first does not."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    index = lexical_index.LexicalIndex(spark, new_folder(spark, "lexical"), "doc_id", scope)
+    index.add(docs.filter("lang = 'en'"), "English")
+    index.add(index.absent(docs), "others")
+    return index
+
+
+@query(ORACLES["bm25_topk"])
+def bm25_stored(spark, sf_dir):
+    hits = _indexed(spark, sf_dir).search(asked(spark), 10)
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(ORACLES["bm25_per_source"])
+def bm25_stored_per_source(spark, sf_dir):
+    hits = _indexed(spark, sf_dir, ["source"]).search(asked(spark), 3)
+    return hits.select("query_id", "source", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("""WITH s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 9) AS score FROM embeddings)
 SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""")
 def cosine_topk(spark, sf_dir):
