@@ -53,25 +53,33 @@ def arc_start(version: int, name: str, date: str) -> bytes:
 def read_arc(stream: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, header fields, document) of each record after the version block.
 
-    The version block names the fields of the header lines below it. A line that is no
-    header, or declares more bytes than there are, is skipped, and reading goes on behind it.
+    Only the first record can be a version block: later ones whose URL begins with
+    ``filedesc://`` are pages. It names the fields of the header lines below it; if its length is
+    missing or no number, its lines are read one by one, and the names are taken where they stand.
+    A line that is no header, or declares more bytes than there are, is skipped, and reading goes
+    on behind it.
     """
     fields = ARC_FIELDS[1].split(" ")
-    at = 0
+    at, first = 0, True
     while line := stream.readline():
         start, at = at, at + len(line)
         text = line.strip().decode("utf-8", "replace")
         if not text:
             continue
-        if text.startswith("filedesc://"):
-            size = int(text.rsplit(" ", 1)[1])
-            block = stream.read(size).decode("utf-8", "replace").split("\n")
-            at += size
-            named = [x.split(" ") for x in block if x.startswith("URL ")]
-            fields = named[0] if named else ARC_FIELDS[2 if block[0][:1] == "2" else 1].split(" ")
+        begins, first = first and text.startswith("filedesc://"), False
+        if begins:
+            size = text.rpartition(" ")[2]
+            block = stream.read(int(size)) if re.fullmatch("[0-9]{1,9}", size) else b""
+            at += len(block)
+            lines = block.decode("utf-8", "replace").split("\n")
+            named = [x.split(" ") for x in lines if x.startswith("URL ")]
+            fields = named[0] if named else ARC_FIELDS[2 if lines[0][:1] == "2" else 1].split(" ")
+            continue
+        if text in ARC_FIELDS.values():
+            fields = text.split(" ")
             continue
         parts = text.rsplit(" ", len(fields) - 1)
-        if len(parts) != len(fields) or not parts[-1].isdigit():
+        if len(parts) != len(fields) or not re.fullmatch("[0-9]{1,18}", parts[-1]):
             continue
         body = stream.read(int(parts[-1]))
         at += len(body)
@@ -146,7 +154,8 @@ def _batched(rows: Iterator[dict], schema: pa.Schema, most_bytes: int = 4 << 20)
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-_RECORD = pa.schema([("record", pa.binary()), ("file", pa.int32())])
+_RECORD = pa.schema([("record", pa.binary()), ("file", pa.int32()), ("n", pa.int64())])
+_RECORD_DDL = "record binary, file int, n bigint"
 
 
 class _Files:
@@ -165,9 +174,17 @@ class _Files:
         return bool(new)
 
 
+def _numbered(rows: Iterator[dict]) -> Iterator[dict]:
+    return (row | {"n": n} for n, row in enumerate(rows))
+
+
 def _write(records: DataFrame, path: str, gap: str) -> None:
-    """Byte records, each followed by ``gap``, as gzip files; a task's records name their file."""
-    text = records.select(F.col("record").cast("string").alias("value"), "file")
+    """Byte records, each followed by ``gap``, as gzip files; a task's records name their file.
+
+    They are sorted by file and number: the writer wants a file's records together, and its own
+    sort, by file alone, may mix these once it spills.
+    """
+    text = records.sortWithinPartitions("file", "n").select(F.col("record").cast("string").alias("value"), "file")
     text.write.partitionBy("file").option("lineSep", gap).option("compression", "gzip").text(path)
 
 
@@ -199,10 +216,10 @@ def write_arc(pages: DataFrame, path: str, key: str, url: str, html: str, date:
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(h)}\r\nX-Page-Id: {named}\r\n\r\n"
                     yield {"record": arc_record(version, _url(u), date, "text/html", head.encode() + h), "file": files.number}
 
-        return _batched(rows(), _RECORD)
+        return _batched(_numbered(rows()), _RECORD)
 
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).alias("u"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("h"))
-    _write(rows.mapInArrow(run, "record binary, file int"), path, "\n")
+    _write(rows.mapInArrow(run, _RECORD_DDL), path, "\n")
 
 
 _META = [("arc_file", pa.string()), ("arc_offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_id", pa.string()), ("digest", pa.string()), ("n_bytes", pa.int64())]
@@ -272,9 +289,9 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
                     first = {"WARC_Profile": _REVISIT, "WARC_Refers_To": r["to_id"], "WARC_Refers_To_Target_URI": r["to_url"], "WARC_Refers_To_Date": r["to_date"], "X_Refers_To_Page": None if r["to_page"] is None else str(r["to_page"])}
                     yield {"record": warc_record("revisit", r["record_id"], r["date"], r["head"], **same, **first), "file": files.number}
 
-        return _batched(rows(), _RECORD)
+        return _batched(_numbered(rows()), _RECORD)
 
-    _write(full.mapInArrow(run, "record binary, file int"), warc_path, _GAP)
+    _write(full.mapInArrow(run, _RECORD_DDL), warc_path, _GAP)
 
 
 def read_warc_folder(spark: SparkSession, path: str) -> DataFrame:
