@@ -24,8 +24,6 @@ left out, unread but for their bounds.
 from __future__ import annotations
 
 import json
-import time
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +32,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from reportmill.operators import retrieval as R
 from reportmill.shared import new_folder
+from reportmill.sources.segments import Segments
 
 #: Passages of a block are at most 2 to this.
 BLOCK_BITS = 6
@@ -44,22 +43,18 @@ SLACK = 1e-8
 POSTINGS_A_TASK = 2_000_000
 
 
-class LexicalIndex:
+class LexicalIndex(Segments):
     """See the module. ``scope`` columns separate statistics, as in :func:`retrieval.bm25`; their nulls are a scope."""
 
     def __init__(self, spark: SparkSession, path: str, key: str, scope: Sequence[str] = (), buckets: int = BUCKETS):
-        self._spark, self._path, self.key, self.scope = spark, path.rstrip("/"), key, list(scope)
-        self._buckets = buckets
+        super().__init__(spark, path)
+        self.key, self.scope, self._buckets = key, list(scope), buckets
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> LexicalIndex:
         about = spark.read.parquet(f"{path.rstrip('/')}/index").first()
         return cls(spark, path, about["key"], list(about["scope"]), about["buckets"])
 
-    def _has(self, what: str) -> bool:
-        at = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._path}/{what}/_SUCCESS")
-        return at.getFileSystem(self._spark._jsc.hadoopConfiguration()).exists(at)
-
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self._buckets)).cast("int")
 
@@ -73,15 +68,15 @@ class LexicalIndex:
         Keys are distinct over all batches; :meth:`absent` keeps those that are new. Null texts
         have no words and count as passages. Returns the segment's name.
         """
-        segment = uuid.uuid4().hex
+        segment = self.new_name()
         rows = passages.withColumn("scope", self._scope())
         terms = R.postings(rows, self.key, ["scope"], text)
         sizes = terms.groupBy("scope", self.key).agg(F.sum("tf").alias("len"))
         every = rows.select("scope", self.key).join(sizes, ["scope", self.key], "left").withColumn("len", F.coalesce("len", F.lit(0)))
         ordered = every.repartitionByRange("scope", "len", self.key).sortWithinPartitions("scope", "len", self.key)
-        docs = f"{self._path}/docs/segment={segment}"
+        docs = self.folder("docs", segment)
         ordered.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)).write.parquet(docs)
-        placed = self._spark.read.parquet(docs)
+        placed = self.spark.read.parquet(docs)
         totals = placed.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("words"))
         one = F.struct(F.col(self.key).alias("key"), "tf", "len")
         blocks = terms.join(placed, ["scope", self.key]).groupBy("scope", "term", "block").agg(F.array_sort(F.collect_list(one)).alias("hits"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
@@ -89,43 +84,31 @@ class LexicalIndex:
         order = ["bucket", "term", "scope", "block"]
         parts = max(1, -(-(placed.agg(F.sum("len")).first()[0] or 0) // POSTINGS_A_TASK))
         blocks = blocks.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        blocks.write.partitionBy("bucket").parquet(f"{self._path}/postings/segment={segment}")
-        if not self._has("index"):
-            stored = StructType([*blocks.drop("bucket").schema, StructField("segment", StringType()), StructField("bucket", IntegerType())])
-            about = self._spark.createDataFrame([(self.key, self.scope, self._buckets, stored.json())], "key string, scope array<string>, buckets int, postings string")
-            about.write.mode("ignore").parquet(f"{self._path}/index")
-        entry = totals.select(F.lit(batch).alias("batch"), F.lit(segment).alias("segment"), F.lit(time.time_ns()).alias("at"), "scope", "n", "words")
-        entry.coalesce(1).write.mode("append").parquet(f"{self._path}/manifest")
+        blocks.write.partitionBy("bucket").parquet(self.folder("postings", segment))
+        stored = StructType([*blocks.drop("bucket").schema, StructField("segment", StringType()), StructField("bucket", IntegerType())])
+        self.create("index", self.spark.createDataFrame([(self.key, self.scope, self._buckets, stored.json())], "key string, scope array<string>, buckets int, postings string"))
+        self.commit(batch, segment, totals.select("scope", "n", "words"))
         return segment
 
-    def manifest(self) -> DataFrame:
-        """(batch, segment, at, scope, n, words) of each batch's last segment."""
-        rows = self._spark.read.parquet(f"{self._path}/manifest")
-        last = F.max(F.struct("at", "segment")).over(Window.partitionBy("batch"))
-        return rows.withColumn("_last", last).filter(F.col("segment") == F.col("_last.segment")).drop("_last")
-
-    def _segments(self) -> list[str]:
-        return [r[0] for r in self.manifest().select("segment").distinct().collect()]
-
     def docs(self) -> DataFrame:
         """(scope, key, len, block, segment) of all passages."""
-        return self._spark.read.parquet(f"{self._path}/docs").filter(F.col("segment").isin(self._segments()))
+        return self.table("docs").filter(F.col("segment").isin(self.names()))
 
     def absent(self, passages: DataFrame) -> DataFrame:
         """Passages whose key is in no batch yet."""
-        return passages.join(self.docs().select(self.key), self.key, "left_anti") if self._has("manifest") else passages
+        return passages.join(self.docs().select(self.key), self.key, "left_anti") if self.has("manifest") else passages
 
     def _written(self, df: DataFrame) -> DataFrame:
-        path = new_folder(self._spark, "search")
+        path = new_folder(self.spark, "search")
         df.write.parquet(path)
-        return self._spark.read.parquet(path)
+        return self.spark.read.parquet(path)
 
     def _read(self, wanted: DataFrame) -> DataFrame:
         """Postings in the folders of some terms; a number for each bucket at most is collected for it."""
         buckets = [r[0] for r in wanted.select(self._bucket(F.col("term"))).distinct().collect()]
-        schema = json.loads(self._spark.read.parquet(f"{self._path}/index").first()["postings"])
-        rows = self._spark.read.schema(StructType.fromJson(schema)).parquet(f"{self._path}/postings")
-        return rows.filter(F.col("segment").isin(self._segments()) & F.col("bucket").isin(buckets))
+        schema = json.loads(self.table("index").first()["postings"])
+        rows = self.spark.read.schema(StructType.fromJson(schema)).parquet(f"{self.path}/postings")
+        return rows.filter(F.col("segment").isin(self.names()) & F.col("bucket").isin(buckets))
 
     def _weights(self, rows: DataFrame, wanted: DataFrame) -> DataFrame:
         """(query_id, scope, term, weight, df, total, mean) of the queries' terms, over all segments."""

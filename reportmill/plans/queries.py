@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reportmill.functions import text as T
 from reportmill.functions import values as V
 from reportmill.operators import assess as A
-from reportmill.operators import chunking, grounding, lab_tables, layout, lexical_index, retrieval, serving
+from reportmill.operators import chunking, dense_index, grounding, lab_tables, layout, lexical_index, retrieval, search, serving
 from reportmill.operators import evaluation as E
 from reportmill.shared import new_folder
 from reportmill.sources import stores
@@ -120,6 +120,29 @@ def cosine_topk(spark, sf_dir):
     return hits.select("vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _vector_index(spark, sf_dir) -> tuple[dense_index.DenseIndex, DataFrame]:
+    vectors = read(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    index = dense_index.DenseIndex(spark, new_folder(spark, "vectors"), "vec_id")
+    index.upsert(vectors)
+    return index, vectors
+
+
+@query(ORACLES["cosine_topk"])
+def cosine_stored(spark, sf_dir):
+    index, vectors = _vector_index(spark, sf_dir)
+    hits = index.search(vectors.filter("vec_id = 0").select(F.lit(1).alias("query_id"), "vector"), 10)
+    return hits.select("vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings e ON true WHERE q.vec_id % 50 = 0)
+SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""")
+def knn_stored(spark, sf_dir):
+    """Every row whose id is divisible by 50 against all rows."""
+    index, vectors = _vector_index(spark, sf_dir)
+    hits = index.search(vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector"), 10)
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _KNN = """s AS (SELECT q.vec_id AS query_id, e.vec_id, q.label AS want, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score
   FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5),
@@ -197,6 +220,27 @@ def hybrid_search(spark, sf_dir):
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""WITH {_bm25().replace('lower(text)', "lower(heading || chr(10) || text)").replace('FROM documents', f'FROM {_HEADED}')}, {_ROUTED},
+ r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM routed QUALIFY rank <= 10),
+ c AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings e ON true
+  WHERE q.vec_id IN (SELECT query_id FROM {_ASKED}) AND e.vec_id IN (SELECT doc_id FROM documents)),
+ d AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c QUALIFY rank <= 10),
+ fused AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM hits WHERE rank <= 10 UNION ALL SELECT * FROM r UNION ALL SELECT * FROM d) GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fused QUALIFY rank <= 5""")
+def three_leg_search(spark, sf_dir):
+    """Lexical, section and dense legs over stored indexes, made if absent; the vector of a document or question is the one with its id."""
+    docs = _with_headings(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("ix", F.col("doc_id"))
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    words = lexical_index.LexicalIndex(spark, new_folder(spark, "lexical"), "doc_id")
+    dense = dense_index.DenseIndex(spark, new_folder(spark, "vectors"), "doc_id")
+    search.ensure_lexical(words, docs, "documents")
+    search.ensure_dense(dense, docs.select("doc_id"), lambda new: new.join(vectors, "doc_id"))
+    own = vectors.withColumnRenamed("doc_id", "query_id")
+    legs = search.legs(docs, "doc_id", "ix", words, dense, lambda q: q.join(own, "query_id", "left"))
+    hits = retrieval.hybrid(asked(spark), legs, "doc_id")
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 #: Questions' kinds and the phrases that answer them.
 ANSWERED = [(1, "lexical", ["ering thand", "tiontion"]), (2, "section", ["impression"]), (3, "section", ["medications"]), (4, "lexical", ["und das"])]
 _ANSWERED = "(VALUES " + ", ".join(f"({i}, '{k}', {p})" for i, k, p in ANSWERED) + ") AS answered(query_id, kind, phrases)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reportmill.operators import lexical_index as L
 from reportmill.operators import retrieval as R
+from reportmill.sources import segments
 
 COLUMNS = ("query_id", "team", "doc_id", "score", "rank")
 
@@ -91,8 +92,8 @@ def test_an_unfinished_batch_is_not_seen(spark, docs, tmp_path, monkeypatch):
     index = L.LexicalIndex(spark, str(tmp_path), "doc_id")
     some = docs.filter("doc_id < 200")
     index.add(some, "a")
-    monkeypatch.setattr(L.uuid, "uuid4", lambda: type("U", (), {"hex": "broken"}))
-    monkeypatch.setattr(L.time, "time_ns", lambda: 1 / 0)
+    monkeypatch.setattr(L.Segments, "new_name", staticmethod(lambda: "broken"))
+    monkeypatch.setattr(segments.time, "time_ns", lambda: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         index.add(docs.filter("doc_id >= 200"), "b")
     monkeypatch.undo()
