@@ -4,12 +4,15 @@ Texts whose five-word shingles are alike by 0.8 differ in about 15 percent of th
 bits, ten of 64, which a budget of two never meets. So every text gets 640 bits, cut into 20
 fingerprints of 32 bits, each joined by its own trie with a budget of two; at a likeness of 0.8
 some fingerprint is that near for about 92 of 100 pairs, at 0.85 for 99. A near pair is
-proposed if 256 of the bits differ in at most :data:`MOST_DIFFERENT` places, and is a link if the
-exact overlap of both texts' distinct shingles reaches the least likeness.
+proposed if all 640 bits differ in at most :data:`MOST_DIFFERENT` places, by the first fingerprint
+in which it is near, and is a link if the exact overlap of both texts' distinct shingles reaches
+the least likeness.
 
 Large groups of near copies would propose pairs by the square of their size. So texts that share a
-whole fingerprint are first compared with a few of those that share it, which links most of such a
+whole fingerprint are first compared with a few of those that share it, which links much of such a
 group by a number of pairs that follows its size; the join then leaves out pairs within a class.
+What it proposes is compared in rounds, the most alike by their bits first: pairs that earlier
+rounds have put in one class are not compared any more, as they would change nothing.
 """
 
 from __future__ import annotations
@@ -28,12 +31,16 @@ from .simhash import bit_counts, shingle_hashes
 from .trie import MOST_BROADCAST, MOST_ROWS, close
 
 WORDS_EACH = 5
-#: 64-bit words of SimHash, bits of a fingerprint, and words that check a pair.
-WORDS, BITS, CHECKED = 10, 32, 4
-#: Differing bits of the checked 256 up to which a pair is proposed. Texts alike by 0.8 differ in
-#: 39 bits, by 6 more or less, so that one in 100 such pairs is lost; of those alike by 0.65, six in
-#: ten are left out.
-MOST_DIFFERENT = 52
+#: 64-bit words of SimHash, and bits of a fingerprint.
+WORDS, BITS = 10, 32
+#: Differing bits of the 640 up to which a pair is proposed. Texts alike by 0.8 differ in 97 bits, by
+#: 9 more or less, but those that also meet in a fingerprint in fewer: one in 200 of such pairs of
+#: large made groups is lost. Of those alike by 0.7 one in five is proposed, by 0.6 one in 1000.
+MOST_DIFFERENT = 112
+#: Differing bits up to which pairs are compared in each round before the last.
+ROUNDS = (88, 100)
+#: Rows of a block of the join; they carry all bits of a text, 100 bytes a row.
+BLOCK_ROWS = MOST_ROWS // 2
 #: Fingerprints by which groups are gathered first, texts of each that the others are compared
 #: with, and levels of a trie that are opened at first.
 GATHERED, HUBS, FIRST_LEVELS = 8, 4, 0
@@ -76,7 +83,7 @@ def add_prints(df: DataFrame, words_each: int = WORDS_EACH, text: str = "text",
 def _banded(values: DataFrame) -> DataFrame:
     """(prints, node, ...) -> (trie, value, node, c0, c1, ...): a row for each fingerprint."""
     halves = F.flatten(F.transform("prints", lambda w: F.array(w.bitwiseAND(F.lit((1 << BITS) - 1)), F.shiftrightunsigned(w, BITS))))
-    checks = [F.col("prints")[i].alias(f"c{i}") for i in range(CHECKED)]
+    checks = [F.col("prints")[i].alias(f"c{i}") for i in range(WORDS)]
     rest = [c for c in values.columns if c != "prints"]
     return values.select(*rest, *checks, F.posexplode(halves).alias("trie", "value"))
 
@@ -89,19 +96,34 @@ def gathered(values: DataFrame, most: int = MOST_DIFFERENT) -> DataFrame:
         shared = F.broadcast(shared)
     rows = cut(rows.join(shared, ["trie", "value"], "left_semi"))
     part = F.pmod(F.xxhash64("node"), F.lit(HUBS))
-    names = ["node", *(f"c{i}" for i in range(CHECKED))]
+    names = ["node", *(f"c{i}" for i in range(WORDS))]
     hubs = rows.groupBy("trie", "value", part.alias("part")).agg(F.min(F.struct(*names)).alias("hub"))
-    differing = sum((F.bit_count(F.col(f"c{i}").bitwiseXOR(F.col("hub")[f"c{i}"])) for i in range(CHECKED)), F.lit(0))
+    differing = sum((F.bit_count(F.col(f"c{i}").bitwiseXOR(F.col("hub")[f"c{i}"])) for i in range(WORDS)), F.lit(0))
     pairs = rows.join(hubs, ["trie", "value"]).filter((F.col("node") != F.col("hub.node")) & (differing <= most))
     return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
 
 
-def proposed(values: DataFrame, budget: int = 2, most: int = MOST_DIFFERENT, most_rows: int = MOST_ROWS) -> DataFrame:
-    """(prints, node) rows, or with ``of`` -> (a, b): pairs near in a fingerprint and in the checked bits.
+def proposed(values: DataFrame, budget: int = 2, most: int = MOST_DIFFERENT, most_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(prints, node) rows, or with ``of`` -> (a, b): pairs near in a fingerprint and in all bits.
 
-    A pair comes once for each fingerprint in which it is near; pairs of one class ``of`` are left out.
+    A pair comes once; pairs of one class ``of`` are left out.
     """
-    return close(_banded(values), BITS, budget, CHECKED, most, spanning=False, most_rows=most_rows, first=FIRST_LEVELS)
+    return close(_banded(values), BITS, budget, WORDS, most, spanning=False, most_rows=most_rows, first=FIRST_LEVELS, once=True)
+
+
+def _by_bits(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(a, b, differing): the number of bits in which both texts' prints differ."""
+    one, other = (values.select(F.col("node").alias(k), F.col("prints").alias(f"p{k}")) for k in ("a", "b"))
+    differing = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return pairs.join(one, "a").join(other, "b").select("a", "b", differing.alias("differing"))
+
+
+def _unlinked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different classes."""
+    classes = cut(components(edges))
+    for end in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
 
 
 def _add_shingles(df: DataFrame, words_each: int, text: str, out: str) -> DataFrame:
@@ -143,7 +165,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     Keys are integers. One row per distinct key. Rows that repeat a key are one document; rows
     without a key are left out. Null, empty and blank texts have no shingles and are alike. Texts
     of the same words are joined as one before any pair is made. An empty table gives no rows.
-    Every proposed pair is compared, unless other links have put both texts in one class.
+    Every proposed pair is compared exactly, unless other links have put both texts in one class.
     """
     keyed = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     plain = F.trim(F.regexp_replace(F.translate(text_or_empty(), UPPER, LOWER), f"[{SPACE}]++", " "))
@@ -152,8 +174,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     values = cut(prints.groupBy("prints", "same").agg(F.min("key").alias("node")))
     sure = cut(verified(gathered(values.select("prints", "node")), keyed, words_each, alike).unionByName(_same_key(prints, values)))
     classed = values.select("prints", "node").join(components(sure).withColumnRenamed("root", "of"), "node", "left").withColumn("of", F.coalesce("of", "node"))
-    edges = verified(proposed(classed, **options), keyed, words_each, alike)
-    found = components(edges.unionByName(sure))
+    left, edges = cut(_by_bits(proposed(classed, **options), values)), sure
+    for least, most in zip((-1, *ROUNDS), (*ROUNDS, 64 * WORDS), strict=True):
+        now = left.filter((F.col("differing") > least) & (F.col("differing") <= most)).select("a", "b")
+        edges = cut(edges.unionByName(verified(_unlinked(now, edges), keyed, words_each, alike)))
+    found = components(edges)
     named = prints.join(values, ["prints", "same"]).select("key", "node")
     named = named.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     return named.groupBy(F.col("key").alias(key)).agg(F.min(F.coalesce("root", "node")).alias("component_id"))

@@ -144,11 +144,13 @@ class Block:
         self.values = left[self.first]
 
 
-def close_rows(a: Block, b: Block, same: bool, depth: int, bits: int, budget: int, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_rows(a: Block, b: Block, same: bool, depth: int, bits: int, budget: int, most: int | None = None, tries_before: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of rows of a and b whose values differ in at most ``budget`` bits, in parts.
 
     With ``most``, their check words differ in at most so many bits as well. Rows of one class
-    are left out. With ``same``, b is a, and each pair of different rows comes once.
+    are left out. With ``same``, b is a, and each pair of different rows comes once. Pairs that are
+    close in one of ``tries_before`` tries are left out too, whose values are the check words, cut
+    into ``bits`` bits from the lowest.
     """
     if not len(a.values) or not len(b.values):
         return
@@ -167,20 +169,25 @@ def close_rows(a: Block, b: Block, same: bool, depth: int, bits: int, budget: in
                     x, y, keep = x[keep], y[keep], keep[keep]
                 if most is not None and len(a.check):
                     keep &= sum(np.bitwise_count(p[x] ^ q[y]).astype(np.int16) for p, q in zip(a.check, b.check, strict=True)) <= most
+                for t in range(tries_before):
+                    x, y, keep = x[keep], y[keep], keep[keep]
+                    word, low = divmod(t * bits, 64)
+                    apart = (a.check[word][x] ^ b.check[word][y]) >> np.uint64(low) & np.uint64((1 << bits) - 1)
+                    keep &= np.bitwise_count(apart) > budget
                 if keep.any():
                     yield x[keep], y[keep]
 
 
-def _edges(rows: Iterator[pa.RecordBatch], bits: int, budget: int, checks: int, own_node: bool, classed: bool, most: int | None, spanning: bool) -> Iterator[pa.RecordBatch]:
+def _edges(rows: Iterator[pa.RecordBatch], bits: int, budget: int, checks: int, own_node: bool, classed: bool, most: int | None, spanning: bool, once: bool) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for r in range(batch.num_rows):
-            same, depth = batch["same"][r].as_py(), batch["depth"][r].as_py()
+            same, depth, trie = batch["same"][r].as_py(), batch["depth"][r].as_py(), int(batch["trie"][r].as_py())
             a = Block(batch["one"][r].as_py(), bits, checks, own_node, classed)
             b = a if same else Block(batch["other"][r].as_py(), bits, checks, own_node, classed)
             shift = 0 if same else len(a.node)
             node = a.node if same else np.concatenate([a.node, b.node])
             root = np.arange(len(node))
-            for x, y in close_rows(a, b, same, depth, bits, budget, most):
+            for x, y in close_rows(a, b, same, depth, bits, budget, most, trie if once else 0):
                 y = y + shift
                 if spanning:
                     apart = root[x] != root[y]
@@ -263,7 +270,7 @@ def _children(pairs: DataFrame, below: DataFrame, depth: int, further: int, budg
 
 
 def close(
-    values: DataFrame, bits: int, budget: int, checks: int = 0, most: int | None = None, spanning: bool = True, most_rows: int = MOST_ROWS, first: int = FIRST_LEVELS
+    values: DataFrame, bits: int, budget: int, checks: int = 0, most: int | None = None, spanning: bool = True, most_rows: int = MOST_ROWS, first: int = FIRST_LEVELS, once: bool = False
 ) -> DataFrame:
     """(trie, value, ...) rows -> (a, b): rows of one trie within ``budget`` differing bits.
 
@@ -271,8 +278,10 @@ def close(
     where there is no such column; ``c0``, ... are ``checks`` further words, of which pairs may
     differ in at most ``most`` bits. Rows with equal ``of``, where there is that column, are of one
     class already and make no pair. Gives edges that span every class of a pair of blocks, or,
-    without ``spanning``, every pair once for each trie. A value with more rows than a block may
-    hold is dealt into several blocks, which meet each other.
+    without ``spanning``, every pair once for each trie. With ``once`` it comes in the first trie
+    only in which it is close: tries are numbered from 0 then, and their values are the check words,
+    cut into ``bits`` bits from the lowest. A value with more rows than a block may hold is dealt
+    into several blocks, which meet each other.
     """
     bound_batches(values.sparkSession)
     own_node, classed = "node" in values.columns, "of" in values.columns
@@ -320,10 +329,11 @@ def close(
     packed = cut(sorted_rows.mapInArrow(lambda b: _pack(b, bits, names), "block string, data binary"))
     pairs = cut(pairs)
     depths = _small(pairs.filter("block_1 = block_2").select(F.col("block_1").alias("block"), "depth"))
-    tasks = packed.join(depths, "block").select(F.lit(True).alias("same"), "depth", F.col("data").alias("one"), F.lit(None).cast("binary").alias("other"))
+    trie = F.substring_index("block", ":", 1).alias("trie")
+    tasks = packed.join(depths, "block").select(F.lit(True).alias("same"), "depth", trie, F.col("data").alias("one"), F.lit(None).cast("binary").alias("other"))
     apart = pairs.filter("block_1 <> block_2")
     if not apart.isEmpty():
         left = packed.select(F.col("block").alias("block_1"), F.col("data").alias("one")).join(_small(apart), "block_1")
         both = left.join(packed.select(F.col("block").alias("block_2"), F.col("data").alias("other")), "block_2")
-        tasks = tasks.unionByName(both.select(F.lit(False).alias("same"), "depth", "one", "other"))
-    return tasks.mapInArrow(lambda b: _edges(b, bits, budget, checks, own_node, classed, most, spanning), "a bigint, b bigint")
+        tasks = tasks.unionByName(both.select(F.lit(False).alias("same"), "depth", F.substring_index("block_1", ":", 1).alias("trie"), "one", "other"))
+    return tasks.mapInArrow(lambda b: _edges(b, bits, budget, checks, own_node, classed, most, spanning, once), "a bigint, b bigint")
