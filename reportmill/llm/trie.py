@@ -321,8 +321,8 @@ def close(
         for i in (1, 2):
             each = F.when(F.col("_k").isNull(), F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda x: F.concat(F.lit(":"), x)))
             pairs = pairs.join(parts, F.col(f"block_{i}") == F.col("_block"), "left").withColumn(f"part_{i}", F.explode(each)).drop("_block", "_k")
-        once = (F.col("block_1") != F.col("block_2")) | (F.col("part_1") <= F.col("part_2"))
-        pairs = pairs.filter(once).select("depth", *(F.concat(f"block_{i}", f"part_{i}").alias(f"block_{i}") for i in (1, 2)))
+        ordered = (F.col("block_1") != F.col("block_2")) | (F.col("part_1") <= F.col("part_2"))
+        pairs = pairs.filter(ordered).select("depth", *(F.concat(f"block_{i}", f"part_{i}").alias(f"block_{i}") for i in (1, 2)))
 
     names = [*(["node"] if own_node else []), *(["of"] if classed else []), *(f"c{i}" for i in range(checks))]
     sorted_rows = rows.select("block", "value", *names).repartition("block").sortWithinPartitions("block", "value")
