@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportmill.functions import text as T
+from reportmill.operators import windows
 
 #: Requests a minute by route, and a day for all (fixed values).
 PER_MINUTE = {"chat": 20, "define": 40, "embed": 10, "labs": 6, "simplify": 40}
@@ -29,34 +27,10 @@ def client_key(real_ip: Column, forwarded: Column) -> Column:
 def fixed_windows(requests: DataFrame, key: list[str], order: list[str], limit: Column | int, seconds: float, at: str = "ts") -> DataFrame:
     """Add window_start, nth and allowed: windows start at a key's first request after the last.
 
-    Denied requests count as well. A window's start depends on the one before, which no
-    window function expresses; a key's requests are walked in order, a batch at a time, with
-    three numbers of state, so a hot key costs time in one task and no memory.
+    Denied requests count as well. See :mod:`windows`; rounds are written to the shared folder.
     """
     cap = F.lit(limit) if isinstance(limit, int) else limit
-    ready = requests.withColumn("_cap", cap).withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
-    names = [*requests.columns]
-    sorted_ = ready.repartition(*key).sortWithinPartitions(*key, *order)
-    schema = sorted_.select(*names, F.lit(0).cast("bigint").alias("window_us"), F.lit(0).alias("nth"), F.lit(True).alias("allowed")).schema
-    span = int(seconds * 1_000_000)
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, start, nth = None, 0, 0
-        for frame in frames:
-            starts, counts = [], []
-            for k, us in zip(frame[key].itertuples(index=False, name=None), frame["_us"], strict=True):
-                if k != now or us - start >= span:
-                    now, start, nth = k, us, 0
-                nth += 1
-                starts.append(start)
-                counts.append(nth)
-            out = frame[names].copy()
-            out["window_us"], out["nth"] = starts, pd.array(counts, "int32")
-            out["allowed"] = out["nth"].to_numpy() <= frame["_cap"].to_numpy()
-            yield out
-
-    done = sorted_.mapInPandas(walk, schema)
-    return done.withColumn("window_start", F.timestamp_micros("window_us")).drop("window_us")
+    return windows.fixed_windows(requests, key, order, cap, int(seconds * 1_000_000), at)
 
 
 def two_level(requests: DataFrame, client: str = "client", route: str = "route", order: tuple[str, ...] = ("ts",)) -> DataFrame:

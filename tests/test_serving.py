@@ -180,6 +180,40 @@ def test_summaries(spark):
     ]
 
 
+def test_windows_against_a_walk(spark):
+    """Random bursts, equal times, long gaps, null keys and times, times before 1970, and a key with a third of all rows."""
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(900):
+        key = "hot" if i % 3 == 0 else rng.choice(["a", "b", "c", None, ""])
+        ms = rng.choice([rng.randrange(-5000, 5000), rng.randrange(0, 40) * 250, rng.randrange(10**6), None])
+        rows.append((key, ms, i))
+    df = spark.createDataFrame([(k, None if ms is None else at(ms), i) for k, ms, i in rows], "key string, ts timestamp, i int")
+    want, state = {}, {}
+    for k, ms, i in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        start, n = state.get(k, (None, 0))
+        if n == 0 or (start is None) != (ms is None) or (ms is not None and ms - start >= 1000):
+            start, n = ms, 0
+        state[k] = (start, n + 1)
+        want[i] = (n + 1, n + 1 <= 3, start)
+    got = S.fixed_windows(df, ["key"], ["i"], 3, 1.0).collect()
+    shown = lambda t: None if t is None else round((t - at(0)) / dt.timedelta(milliseconds=1))
+    assert {r["i"]: (r["nth"], r["allowed"], shown(r["window_start"])) for r in got} == want and len(got) == 900
+    assert S.fixed_windows(df.limit(0), ["key"], ["i"], 3, 1.0).count() == 0
+
+
+def test_no_task_holds_a_hot_keys_requests(spark):
+    """Requests of a key spread over stretches: no exchange deals them by key alone."""
+    df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"), F.timestamp_millis(F.col("id") * 700).alias("ts"), "id")
+    done = S.fixed_windows(df, ["key"], ["id"], 5, 1.0)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt and all("tretch" in x or "_start" in x for x in dealt)
+    assert done.filter("key = 'hot'").count() == 1334
+
+
 def test_two_levels_as_a_stream(spark, tmp_path):
     rows = [("c", "labs", f"2024-01-01 00:00:{i:02d}") for i in range(9)] + [("c", "labs", "2024-01-01 00:01:01"), ("d", "nowhere", "2024-01-01 00:00:01")]
     df = spark.createDataFrame(rows, "client string, route string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
