@@ -17,8 +17,9 @@ from .common import SPACE, cut, free_name, text_or_empty
 WORDS_EACH = 5
 #: Hashes are kept below 1 / 2**KEEP_BITS of their range.
 KEEP_BITS = 3
-#: Rows of a bucket of neighbouring keys, buckets at most, and rows from which one is cut up.
-BUCKET_ROWS, MOST_BUCKETS, HOT_ROWS = 256, 400_000, 8192
+#: Rows of a bucket of neighbouring keys and buckets, about; rows, and times what a bucket should
+#: have, from which one is cut up.
+BUCKET_ROWS, MOST_BUCKETS, HOT_ROWS, HOT_TIMES = 256, 400_000, 8192, 4
 #: Bytes of text of a partition.
 PARTITION_BYTES = 16 << 20
 #: Boundary rows up to which they are broadcast (16 bytes each); beyond, they are shuffled.
@@ -93,12 +94,17 @@ def _following(buckets: DataFrame) -> DataFrame:
     return ended.select("b", "sub", after["b"].alias("next_b"), after["sub"].alias("next_sub"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast what a count shows to be small; the rest is shuffled."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def _cut_up(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """Rows of crowded buckets, equal rows as one with their number, dealt into smaller buckets.
 
     Distinct rows go by ranges of their order, so that neither a key nor a text is a bucket's bound.
     """
-    inside = rows.drop("sub", "copies").join(F.broadcast(hot.select("b")), "b")
+    inside = rows.drop("sub", "copies").join(hot, "b")
     single = inside.groupBy("b", "rank", "th").agg(F.first("key").alias("key"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     order = [F.desc("b"), F.desc("rank"), F.asc("th")]
     ranged = single.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
@@ -111,8 +117,8 @@ def in_order(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, rank, th, b, sub, copies, guest): rows of neighbouring keys, bucket by bucket.
 
     Rows go by descending key, null keys last, then by a hash of the text. The keys' span and
-    number give the width of a bucket; one with more than :data:`HOT_ROWS` rows (a hot key, or
-    null) is cut up, and rows equal in key and text are one row there with their number in
+    number give the width of a bucket; one with many more rows than that (a hot key, or null) is
+    cut up, and rows equal in key and text are one row there with their number in
     ``copies``. Every bucket also gets the first row of the next one (the first bucket follows the
     last) as its guest, so one shuffle of the texts is enough.
     """
@@ -127,18 +133,17 @@ def in_order(df: DataFrame, key: str, text: str) -> DataFrame:
     first = F.max(F.struct("rank", (-1 - F.col("th")).alias("flip"))).alias("top")
     size = [F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")]
     tops = cut(rows.groupBy("b", "sub").agg(first, *size))
-    hot = tops.filter(F.col("n") > HOT_ROWS)
+    hot = tops.filter(F.col("n") > max(HOT_ROWS, HOT_TIMES * each)).select("b")
     if not hot.isEmpty():
+        hot = _small(hot)
         parts = _cut_up(rows, hot)
-        rows = rows.join(F.broadcast(hot.select("b")), "b", "left_anti").unionByName(parts)
-        tops = cut(tops.join(F.broadcast(hot.select("b")), "b", "left_anti").unionByName(parts.groupBy("b", "sub").agg(first, *size)))
+        rows = rows.join(hot, "b", "left_anti").unionByName(parts)
+        tops = cut(tops.join(hot, "b", "left_anti").unionByName(parts.groupBy("b", "sub").agg(first, *size)))
     ring = _following(tops.select("b", "sub"))
     after = tops.select(F.col("b").alias("next_b"), F.col("sub").alias("next_sub"), "top")
     guests = ring.join(after, ["next_b", "next_sub"])
     guests = cut(guests.select(F.col("top.rank").alias("g_rank"), (-1 - F.col("top.flip")).alias("g_th"), F.col("b").alias("g_b"), F.col("sub").alias("g_sub")))
-    if guests.count() <= MOST_BROADCAST:
-        guests = F.broadcast(guests)
-    copies = rows.join(guests, (F.col("rank") == F.col("g_rank")) & (F.col("th") == F.col("g_th")))
+    copies = rows.join(_small(guests), (F.col("rank") == F.col("g_rank")) & (F.col("th") == F.col("g_th")))
     copies = copies.withColumn("b", F.col("g_b")).withColumn("sub", F.col("g_sub")).withColumn("guest", F.lit(1))
     both = rows.withColumn("guest", F.lit(0)).unionByName(copies.select(*rows.columns, "guest"))
     total = tops.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
