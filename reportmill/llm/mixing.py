@@ -13,10 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, add_sums_before, cut, free_name, n_words, sums_before, text_or_empty
+from .common import SPACE, add_sums_before, cut, free_name, n_words, parts_for, sums_before, text_or_empty
 
-#: Slots of the whole mix, about; a block is one of these many parts of all words.
-SLOTS = 1 << 20
+#: Slots of the whole mix, about, and words of a block at most: where the slots would have larger
+#: blocks, there are more slots instead.
+SLOTS, BLOCK_WORDS = 1 << 20, 1 << 22
+#: Bytes of text of a partition of the taken mix, about.
+PARTITION_BYTES = 64 << 20
 #: A source is cut into at least so many blocks (or one a word).
 LEAST_BLOCKS = 16
 #: Most passes over a source.
@@ -59,7 +62,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int
 
 def _blocks(per: DataFrame, total: int) -> DataFrame:
     """Add each source's number of blocks, and its quota: the slots that its target takes."""
-    block_words = max(1.0, total / SLOTS)
+    block_words = max(1.0, min(total / SLOTS, BLOCK_WORDS))
     wanted = F.ceil(F.col("source_size") / block_words)
     n = F.greatest(wanted, F.least(F.col("source_size"), F.lit(LEAST_BLOCKS))).cast("long")
     quota = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * n / F.col("source_size")).cast("long"), n * PASSES)).otherwise(0)
@@ -167,7 +170,8 @@ def take(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     words, its white space as it was. Rows with one key and text are one document here, and get
     the same passes. Null and empty texts have no words and no rows; null keys and sources are
     taken like others; an empty table gives no rows. Partitions are consecutive runs of slots
-    and sorted inside, so files written from them follow the schedule.
+    and sorted inside, so files written from them follow the schedule; their number follows the
+    bytes of all texts.
     """
     k, th, size, n, slot = free_name(df, "mix_key", "mix_th", "mix_size", "mix_n", "mix_slot")
     plan = mix(df, key, source, text, seed).groupBy(F.col(key).alias(k), F.col("th").alias(th))
@@ -175,6 +179,6 @@ def take(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     plan = cut(plan.select(k, th, size, F.explode(F.filter("each", lambda x: x["passes"] > 0)).alias("one")).select(k, th, size, F.col("one.passes").alias(n), F.col("one.slots").alias(slot)))
     joined = df.join(plan, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(th)))
     last = plan.agg(F.coalesce(F.max(slot), F.lit(0))).first()[0] + 1
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(df, F.octet_length(text), PARTITION_BYTES)
     in_order = joined.repartitionById(parts, F.floor(F.col(slot) * parts / last).cast("int")).sortWithinPartitions(slot, k, th)
     return in_order.withColumn(text, first_words(F.col(text), F.col(size), F.col(n))).select(*df.columns)

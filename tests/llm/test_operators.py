@@ -516,9 +516,13 @@ def test_fingerprints_against_brute_force(spark, docs, empty):
     assert alone["near_next"] == alone["near_edited"] == 1.0
 
 
-def test_hot_keys_are_cut_up(spark, monkeypatch):
+@pytest.mark.parametrize(("rows_each", "buckets", "broadcast"), [(4, 400_000, 1_000_000), (4, 9, 0)])
+def test_hot_keys_are_cut_up(spark, monkeypatch, rows_each, buckets, broadcast):
+    """Also with so few buckets that all have more rows than they would at small sizes, and with joins in place of broadcasts."""
     monkeypatch.setattr(fingerprints, "HOT_ROWS", 20)
-    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", rows_each)
+    monkeypatch.setattr(fingerprints, "MOST_BUCKETS", buckets)
+    monkeypatch.setattr(fingerprints, "MOST_BROADCAST", broadcast)
     random.seed(82)
     words = [f"w{i}" for i in range(30)]
     text = lambda: " ".join(random.choices(words, k=12))
@@ -730,6 +734,21 @@ def test_mix_against_brute_force(spark):
     assert all(t.count("\n") == len(t.split()) - 1 for t in got), "line breaks stay"
 
 
+def test_partitions_and_blocks_of_the_mix_follow_the_data(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(40)), "abc"[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    few = mixing.take(df)
+    monkeypatch.setattr(mixing, "PARTITION_BYTES", 500)
+    many = mixing.take(df)
+    assert few.rdd.getNumPartitions() == 4 and many.rdd.getNumPartitions() > 20
+    assert [tuple(r) for r in many.collect()] == [tuple(r) for r in few.collect()]
+    monkeypatch.setattr(mixing, "SLOTS", 8)
+    coarse = mixing.mix(df).agg(F.max("taken")).first()[0]
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 10)
+    fine = {r["source"]: r for r in mixing.mix(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert coarse <= 120 and all(abs(r["taken"] - r["target"]) <= 10 for r in fine.values())
+
+
 def xxhash_of(key, text):
     """Spark's xxhash64(7, key, xxhash64(text)) of an int, a bigint and a bigint."""
     h = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42)
