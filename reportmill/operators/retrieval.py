@@ -7,13 +7,16 @@ Queries are a table (query_id, query), so any number of them share one pass.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportmill.functions import text as T
 from reportmill.functions.vectors import cosine
+from reportmill.operators.automaton import containing
+from reportmill.shipping import ship
 
 logger = logging.getLogger(__name__)
 
@@ -179,22 +182,54 @@ def hybrid(queries: DataFrame, strategies: Sequence[Strategy], key: str, limit:
     return fuse(found, key, limit, by)
 
 
-#: Terms that a pass over the passages looks for.
-MOST_TERMS = 10_000
+#: Terms that a pass over the passages looks for; more terms take more passes.
+MOST_TERMS = 200_000
+
+
+def _containing(passages: DataFrame, terms: DataFrame, key: str, order: str) -> DataFrame:
+    """(term, key, then): passages (key, order, text) with each distinct term they contain.
+
+    ``terms`` are distinct strings. A pass takes up to :data:`MOST_TERMS` of them, stated by readers,
+    as one automaton that each task builds once; it reads a passage once, however many terms there
+    are. An empty term is contained in every text, any term in no null text.
+    """
+    spark = passages.sparkSession
+    ship(spark)
+    n = terms.count()
+    blocks = max(1, -(-n // MOST_TERMS))
+    rows = passages.select(key, F.col(order).cast("long").alias("then"), T.comparable(F.col("text")).alias("_text")).filter("_text IS NOT NULL")
+    schema = rows.select("then", F.lit("").alias("_term"), key).schema
+    found = None
+    for i in range(blocks):
+        part = terms if blocks == 1 else terms.filter(F.pmod(F.xxhash64("_term"), F.lit(blocks)) == i)
+        wanted = spark.sparkContext.broadcast([r[0] for r in part.collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+            search = containing(wanted.value)
+            for batch in batches:
+                which, held = [], []
+                for j, text in enumerate(batch.column("_text").to_pylist()):
+                    hits = search(text)
+                    which += [j] * len(hits)
+                    held += hits
+                at = pa.array(which, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("then").take(at), pa.array(held, pa.string()), batch.column(key).take(at)], ["then", "_term", key])
+
+        here = rows.mapInArrow(run, schema)
+        found = here if found is None else found.unionByName(here)
+    return found
 
 
 def passages_for_terms(passages: DataFrame, hits: DataFrame, terms: DataFrame, key: str, order: str, limit: int = 4) -> DataFrame:
     """(term_id, key, rank): passages that contain a term, in reading order, then its search hits.
 
-    ``terms`` has (term_id, term), stated by readers and counted before it is broadcast; ``hits``
-    (term_id, key, rank). A term's first ``limit`` passages are kept.
+    ``terms`` has (term_id, term), any number of them; ``hits`` (term_id, key, rank). Terms and
+    passages are compared without case and runs of white space. A term's first ``limit`` passages
+    are kept.
     """
-    asked = terms.count()
-    if asked > MOST_TERMS:
-        raise ValueError(f"{asked} terms: ask for {MOST_TERMS} at most at once")
-    looked = terms.select("term_id", T.comparable(F.col("term")).alias("_term"))
-    direct = passages.join(F.broadcast(looked), F.contains(T.comparable(F.col("text")), F.col("_term")))
-    direct = direct.select("term_id", key, F.lit(0).alias("first"), F.col(order).cast("long").alias("then"))
+    looked = terms.select("term_id", T.comparable(F.col("term")).alias("_term")).filter("_term IS NOT NULL")
+    direct = _containing(passages, looked.select("_term").distinct(), key, order).join(looked, "_term")
+    direct = direct.select("term_id", key, F.lit(0).alias("first"), "then")
     found = hits.select("term_id", key, F.lit(1).alias("first"), F.col("rank").cast("long").alias("then"))
     best = direct.unionByName(found).groupBy("term_id", key).agg(F.min(F.struct("first", "then")).alias("at"))
     ranks = best.withColumn("rank", F.row_number().over(Window.partitionBy("term_id").orderBy("at", key)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reportmill.functions import text as T
 from reportmill.functions import values as V
 from reportmill.operators import assess as A
-from reportmill.operators import chunking, dense_index, grounding, lab_tables, layout, lexical_index, retrieval, search, serving
+from reportmill.operators import chunking, dense_index, grounding, lab_tables, layout, lexical_index, retrieval, search, series_table, serving
 from reportmill.operators import evaluation as E
 from reportmill.shared import new_folder
 from reportmill.sources import stores
@@ -390,9 +390,12 @@ def lab_assess(spark, sf_dir):
     return done.select("event_id", "analyte", "status", "range_low", "range_high", "basis", "conflict", "doubtful_range")
 
 
-def _series(spark, sf_dir) -> DataFrame:
-    done = A.assess(readings(spark, sf_dir)).withColumn("test", A.test_key(F.col("name"), F.col("unit"), F.col("analyte")))
-    return A.series(done, ["doc_id"], "event_id", F.to_date("ts"), ["value", "status", "page"])
+def _assessed(spark, sf_dir) -> DataFrame:
+    return A.assess(readings(spark, sf_dir)).withColumn("test", A.test_key(F.col("name"), F.col("unit"), F.col("analyte")))
+
+
+def _series(results: DataFrame) -> DataFrame:
+    return series_table.finished(series_table.summarize(results, ["doc_id"], "event_id", F.to_date("ts"), ["value", "status"]), ["doc_id"])
 
 
 _TEST = "coalesce(analyte, lower(event_type) || '|')"
@@ -403,14 +406,38 @@ _TEST = "coalesce(analyte, lower(event_type) || '|')"
 SELECT doc_id, test, n, latest, latest_status, latest_status IN ('low', 'high', 'abnormal') AS out_of_range, CASE WHEN n >= 2 THEN CASE WHEN latest < earliest THEN 'down' ELSE 'up' END END AS trend,
  row_number() OVER (PARTITION BY doc_id ORDER BY latest_status IN ('low', 'high', 'abnormal') DESC, first_ix) AS position FROM s""")
 def lab_series(spark, sf_dir):
-    found = A.flagged_first(_series(spark, sf_dir), ["doc_id"])
+    found = A.flagged_first(_series(_assessed(spark, sf_dir)), ["doc_id"])
     return found.select("doc_id", "test", F.col("n").cast("long").alias("n"), F.col("latest.value").alias("latest"), F.col("latest.status").alias("latest_status"), "out_of_range", "trend", F.col("position").cast("long").alias("position"))
 
 
 @query(f"""WITH {_ASSESSED}, s AS (SELECT user_id AS doc_id, {_TEST} AS test, last(status ORDER BY ts::DATE, event_id) AS latest_status, list_sort(list_distinct(list(event_id % 3 + 1))) AS pages FROM a GROUP BY ALL)
 SELECT doc_id, count(*) FILTER (latest_status IN ('low', 'high', 'abnormal')) AS flagged, count(*) AS total, array_to_string(list_sort(list_distinct(flatten(list(pages)))), ',') AS pages FROM s GROUP BY doc_id""")
 def lab_headline(spark, sf_dir):
-    return A.headline(_series(spark, sf_dir), ["doc_id"]).select("doc_id", "flagged", "total", F.array_join("pages", ",").alias("pages"))
+    results = _assessed(spark, sf_dir)
+    return series_table.headline(_series(results), results, ["doc_id"]).select("doc_id", "flagged", "total", F.array_join("pages", ",").alias("pages"))
+
+
+@query(ORACLES["lab_headline"])
+def lab_headline_by_batches(spark, sf_dir):
+    """The same from a stored table of figures, which took the results in two batches and one of these twice."""
+    results, table = _assessed(spark, sf_dir), series_table.SeriesTable(spark, new_folder(spark, "series"), ["doc_id"])
+    batches = {"early": results.filter("event_id % 3 = 1"), "late": results.filter("event_id % 3 <> 1")}
+    for name in ("early", "late", "early"):
+        table.add(batches[name], name, "event_id", F.to_date("ts"), ["value", "status"])
+    return table.headline().select("doc_id", "flagged", "total", F.array_join("pages", ",").alias("pages"))
+
+
+@query("""WITH t AS (SELECT DISTINCT l.term_id, l.term FROM (SELECT doc_id AS term_id, lower(trim(regexp_replace(left(text, 12), '\s+', ' ', 'g'))) AS term FROM documents) l),
+ d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text FROM documents),
+ m AS (SELECT term_id, doc_id FROM t JOIN d ON contains(d.text, t.term))
+SELECT term_id, doc_id, row_number() OVER (PARTITION BY term_id ORDER BY doc_id) AS rank FROM m QUALIFY rank <= 4""")
+def passages_for_terms(spark, sf_dir):
+    """The first words of every document, as selected terms, against all documents; without search hits."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    terms = docs.select(F.col("doc_id").alias("term_id"), F.left("text", F.lit(12)).alias("term"))
+    none = terms.limit(0).select("term_id", F.col("term_id").alias("doc_id"), F.lit(0).alias("rank"))
+    found = retrieval.passages_for_terms(docs, none, terms, "doc_id", "doc_id")
+    return found.select("term_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH r AS (SELECT event_id, user_id AS doc_id, event_id % 3 + 1 AS page, {_TEST.replace("analyte", _TESTS)} AS test, round(value) AS value FROM events),
