@@ -315,7 +315,27 @@ def mode_bucket(spark, sf_dir):
     return layout.body_sizes(rows).select(F.col("doc_id").alias("l_returnflag"), F.col("body").cast("double").alias("body"))
 
 
-@query()
+#: Parts of lines and then chunks of parts are folds over ordered lists, each with the last one open.
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+ b AS (SELECT * FROM l WHERE trim(line, ' ') <> ''),
+ s AS (SELECT doc_id, i, unnest(found) AS sentence, generate_subscripts(found, 1) AS j FROM (SELECT doc_id, i, CASE WHEN len(regexp_extract_all(line, '[^.!?]+[.!?]*')) = 0 THEN [line]
+   ELSE regexp_extract_all(line, '[^.!?]+[.!?]*') END AS found FROM b WHERE len(line) > 1200)),
+ t AS (SELECT doc_id, i, j, regexp_replace(sentence, '^\s+|\s+$', '', 'g') AS sentence FROM s),
+ w AS (SELECT doc_id, i, j, 1 AS k, sentence AS piece, false AS fresh FROM t WHERE len(sentence) BETWEEN 1 AND 1200 UNION ALL
+  SELECT doc_id, i, j, generate_subscripts(string_split_regex(sentence, '\s+'), 1), unnest(string_split_regex(sentence, '\s+')), generate_subscripts(string_split_regex(sentence, '\s+'), 1) = 1 FROM t WHERE len(sentence) > 1200),
+ r AS (SELECT doc_id, i, list_reduce(list_prepend({'parts': []::VARCHAR[], 'piece': '', 'fresh': false}, list({'parts': []::VARCHAR[], 'piece': piece, 'fresh': fresh} ORDER BY j, k)), lambda a, x:
+   CASE WHEN len(a.parts) > 0 AND NOT x.fresh AND len(a.parts[-1]) + 1 + len(x.piece) <= 1200
+    THEN {'parts': list_append(a.parts[:-2], a.parts[-1] || ' ' || x.piece), 'piece': '', 'fresh': false}
+    ELSE {'parts': list_append(a.parts, x.piece), 'piece': '', 'fresh': false} END).parts AS parts FROM w GROUP BY doc_id, i),
+ p AS (SELECT doc_id, i, 0 AS j, line AS part FROM b WHERE len(line) <= 1200 UNION ALL SELECT doc_id, i, generate_subscripts(parts, 1), unnest(parts) FROM r),
+ q AS (SELECT doc_id, list_reduce(list_prepend({'out': []::VARCHAR[], 'part': ''}, list({'out': []::VARCHAR[], 'part': part} ORDER BY i, j)), lambda a, x:
+   CASE WHEN len(a.out) > 0 AND len(a.out[-1]) + 1 + len(x.part) <= 1200 THEN {'out': list_append(a.out[:-2], a.out[-1] || ' ' || x.part), 'part': ''}
+    WHEN len(a.out) = 0 THEN {'out': [x.part], 'part': ''}
+    ELSE {'out': list_append(a.out, CASE WHEN len(a.out[-1]) <= 160 THEN a.out[-1] WHEN instr(right(a.out[-1], 160), ' ') > 0 THEN substr(right(a.out[-1], 160), instr(right(a.out[-1], 160), ' ') + 1) ELSE right(a.out[-1], 160) END
+      || CASE WHEN instr(right(a.out[-1], 160), ' ') = 160 AND len(a.out[-1]) > 160 THEN '' ELSE ' ' END || x.part), 'part': ''} END).out AS texts FROM p GROUP BY doc_id),
+ c AS (SELECT doc_id, regexp_replace(unnest(texts), '^\s+|\s+$', '', 'g') AS text, generate_subscripts(texts, 1) AS n FROM q),
+ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS nth FROM c WHERE text <> '')
+SELECT doc_id::VARCHAR AS doc_id, 'p1#' || nth AS chunk_id, (nth - 1)::INTEGER AS chunk_ix, sha1(text) AS text_sha1, len(text)::INTEGER AS n_chars, 1 AS page, 1 AS end_page, 'prose' AS kind FROM k""")
 def chunks(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     made = chunking.chunks(chunking.document_blocks(docs))
