@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Tasks of a round at least, and edges of each. A round has few edges towards the end, and a task
+#: for each of the session's partitions would leave more files than rows.
+LEAST_TASKS, EDGES_A_TASK = 8, 200_000
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest node beside it."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
     moved = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.distinct()
+    return moved.coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of these. Edges have a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     moved = edges.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(least.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
     before = now.agg(mark).first()
     while before[0][0]:
-        now = cut(_small_star(_large_star(now)))
+        tasks = max(LEAST_TASKS, -(-before[0][0] // EDGES_A_TASK))
+        now = cut(_small_star(_large_star(now.coalesce(tasks), tasks), tasks))
         after = now.agg(mark).first()
         if after == before:
             break
