@@ -65,33 +65,47 @@ def least_share(own: Column, of: Column, sure: float = SURE) -> Column:
     return (p + z / (2 * of) - sure * F.sqrt(p * (1 - p) / of + z / (4 * of * of))) / (1 + z / of)
 
 
+def _common(one: Column, other: Column) -> Column:
+    """How many first elements two arrays share."""
+    step = lambda acc, x: F.struct((acc["n"] + (acc["on"] & x["a"].eqNullSafe(x["b"])).cast("int")).alias("n"), (acc["on"] & x["a"].eqNullSafe(x["b"])).alias("on"))
+    pairs = F.zip_with(one, other, lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), step)["n"]
+
+
 def templates(rows: DataFrame, section: float = SECTION) -> DataFrame:
     """(host, raw, pages, ...) rows of distinct shaped paths -> the same with array ``template``.
 
-    Level by level, until every path has ended or is the only one at its place, whose rest then
-    stands for itself as one segment; so the levels are those that paths share, and no path is
-    cut. A path that ends has "" as its last segment. Each level is written before the next.
+    Place by place, until every path has ended or is the only one at its place, whose rest then
+    stands for itself as one segment, so no path is cut. Segments that all paths of a place share
+    are taken at once, however many: the rounds are the branchings that lie above each other, not
+    the levels. A path that ends has "" as its last segment. Each round is written before the next.
     """
     done = None
     now = cut(rows.withColumn("template", F.array().cast("array<string>")))
-    level = 0
+    place = ["host", "template"]
     while True:
-        place = ["host", "template"]
-        sizes = now.groupBy(*place).agg(F.sum("pages").alias("of"), F.count(F.lit(1)).alias("ways"))
-        here = now.withColumn("segment", F.coalesce(F.get("raw", F.lit(level)), F.lit("")))
-        shares = here.groupBy(*place, "segment").agg(F.sum("pages").alias("own")).join(sizes, place)
+        # of what is left of the paths, the first and last in order share what all between them share
+        at = F.size("template")
+        left = F.slice("raw", at + 1, F.greatest(F.size("raw") - at, F.lit(0)))
+        sizes = now.groupBy(*place).agg(F.sum("pages").alias("of"), F.count(F.lit(1)).alias("ways"), _common(F.min(left), F.max(left)).alias("shared"))
+        here = now.join(sizes, place)
+        level = at + F.when(F.col("ways") == 1, 0).otherwise(F.col("shared"))
+        here = here.withColumn("level", level).withColumn("segment", F.coalesce(F.get("raw", F.col("level")), F.lit("")))
+        here = cut(here)
+        own = here.groupBy(*place, "segment").agg(F.sum("pages").alias("own"))
+        moved = here.join(own, [*place, "segment"])
+        chain = F.slice("raw", F.size("template") + 1, F.col("level") - F.size("template"))
+        chain = F.transform(chain, lambda x: F.when(least_share(F.col("of"), F.col("of")) >= section, x).otherwise("*"))
+        rest = F.array_join(F.slice("raw", F.col("level") + 1, F.greatest(F.size("raw") - F.col("level"), F.lit(0))), "/")
         literal = (F.col("segment") == "") | (least_share(F.col("own"), F.col("of")) >= section)
-        shares = shares.select(*place, "segment", "ways", literal.alias("literal"))
-        rest = F.array_join(F.slice("raw", F.lit(level + 1), F.greatest(F.size("raw") - level, F.lit(0))), "/")
-        step = F.when(F.col("ways") == 1, rest).when(F.col("literal"), F.col("segment")).otherwise("*")
+        step = F.when(F.col("ways") == 1, rest).when(literal, F.col("segment")).otherwise("*")
         over = (F.col("ways") == 1) | (F.col("segment") == "")
-        moved = cut(here.join(shares, [*place, "segment"]).withColumn("template", F.concat("template", F.array(step))).withColumn("over", over))
-        ended = moved.filter("over").select(*rows.columns, "template")
+        moved = cut(moved.select(*rows.columns, F.concat("template", chain, F.array(step)).alias("template"), over.alias("over")))
+        ended = moved.filter("over").drop("over")
         done = ended if done is None else done.unionByName(ended)
-        now = moved.filter("not over").select(*rows.columns, "template")
+        now = moved.filter("not over").drop("over")
         if now.isEmpty():
             return done
-        level += 1
 
 
 def shown(template: Column) -> Column:
@@ -148,8 +162,8 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", bad: Column
     "://" have empty host and path and are judged as such. A rule decides where one fits;
     elsewhere the page's template does, blocked if it or a sibling merged with it has a bad label
     and its smoothed share reaches ``limit``; templates without labels are allowed. Null keys,
-    repeated rows and ties keep their rows, further columns are left out. Pages meet their templates by host and shaped path; a hot host
-    has few shaped paths, each pre-aggregated, and the join splits hot ones at run time.
+    repeated rows and ties keep their rows, further columns are left out. Pages meet their templates
+    by host and shaped path, pre-aggregated; the join splits hot paths at run time.
     """
     label = F.lit(None).cast("int") if bad is None else bad.cast("int")
     rows = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), label.alias("bad"))

@@ -951,6 +951,21 @@ def test_templates_against_brute_force(spark):
     assert len(got) == len(rows) and len({v[1] for v in want.values()}) == 2
 
 
+def test_long_shared_paths_take_one_round(spark, monkeypatch):
+    """Rounds follow branchings: 400 common segments are one step, and templates are those of plain recursion."""
+    deep, deeper = "/".join(f"s{i}x" for i in "abcdefgh" * 50), "/".join("klmn" * 60)
+    rows = [(i, f"http://long.org/{deep}/{end}", i % 2) for i, end in enumerate(["one", "two", f"{deeper}/x", f"{deeper}/y", ""])]
+    rows += [(10 + i, f"http://h.org/a/b/{i}/c", None) for i in range(3)] + [(20, "http://h.org", 1), (21, "http://other.org/a", None)]
+    rounds = []
+    cut = url_filter.cut
+    monkeypatch.setattr(url_filter, "cut", lambda df: rounds.append(1) or cut(df))
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id bigint, url string, bad int, host string, template string")
+    got = {r["page_id"]: (r["template"], r["verdict"], pytest.approx(r["bad_share"])) for r in url_filter.judge(df, bad=F.col("bad")).collect()}
+    assert got == brute_urls(rows) and len(rounds) < 14
+    none = url_filter.judge(df.limit(0), bad=F.col("bad"))
+    assert none.count() == 0 and none.columns == ["page_id", "host", "path", "rule", "verdict", "template", "bad_share"]
+
+
 def test_a_good_page_beside_bad_ones(spark):
     rows = [(i, f"http://h.io/spam/{i}", 1) for i in range(100)] + [(200, "http://h.io/about", None), (201, "http://h.io/fine", 0)]
     rows += [(None, "http://h.io/spam/7", None), (7, "http://h.io/spam/7", 1), (300, "http://h.io/spam/" + "x/" * 3000 + "end", None)]
