@@ -61,8 +61,15 @@ def is_explainable(c: Column) -> Column:
 
 
 def singular(word: Column) -> Column:
-    kept = (F.length(word) <= 3) | word.rlike(r"(ss|us|is|as)\z")
-    return F.when(kept, word).otherwise(F.regexp_replace(word, r"s\z", ""))
+    kept = (F.length(word) <= 3) | ~word.endswith("s")
+    for ending in ("ss", "us", "is", "as"):
+        kept |= word.endswith(ending)
+    return F.when(kept, word).otherwise(F.substring(word, F.lit(1), F.length(word) - 1))
+
+
+def _is_number(token: Column) -> Column:
+    """Whether a raw word is a number; these and words of small letters are all there are."""
+    return token < ":"
 
 
 def raw_words(c: Column) -> Column:
@@ -73,14 +80,14 @@ def raw_words(c: Column) -> Column:
 def term_of(raw: Column) -> Column:
     """The comparable term of one raw word; null for stop words and single characters."""
     kept = (F.length(raw) >= 2) & ~raw.isin(STOP_WORDS)
-    return F.when(kept, F.when(raw.rlike(r"^\d"), raw).otherwise(singular(raw)))
+    return F.when(kept, F.when(_is_number(raw), raw).otherwise(singular(raw)))
 
 
 def tokenize(c: Column) -> Column:
     """Comparable terms: whole decimals, and words without stop words or a plural s."""
     raw = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
     kept = F.filter(raw, lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS))
-    return F.transform(kept, lambda t: F.when(t.rlike(r"^\d"), t).otherwise(singular(t)))
+    return F.transform(kept, lambda t: F.when(_is_number(t), t).otherwise(singular(t)))
 
 
 def normalize_name(c: Column) -> Column:
