@@ -447,7 +447,7 @@ def lab_headline_by_batches(spark, sf_dir):
     return table.headline().select("doc_id", "flagged", "total", F.array_join("pages", ",").alias("pages"))
 
 
-@query("""WITH t AS (SELECT DISTINCT l.term_id, l.term FROM (SELECT doc_id AS term_id, lower(trim(regexp_replace(left(text, 12), '\s+', ' ', 'g'))) AS term FROM documents) l),
+@query(r"""WITH t AS (SELECT DISTINCT l.term_id, l.term FROM (SELECT doc_id AS term_id, lower(trim(regexp_replace(left(text, 12), '\s+', ' ', 'g'))) AS term FROM documents) l),
  d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text FROM documents),
  m AS (SELECT term_id, doc_id FROM t JOIN d ON contains(d.text, t.term))
 SELECT term_id, doc_id, row_number() OVER (PARTITION BY term_id ORDER BY doc_id) AS rank FROM m QUALIFY rank <= 4""")
