@@ -159,8 +159,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network:
     """A network from the labelled rows that are not held out.
 
     Of each class the :data:`TEXTS` ids with the least hashes are taken, and of their texts
-    :data:`STRETCHES` stretches, so no more than some 5 MB come to the driver. Labels other than 0
-    and 1 and rows without an id are left out; an id with both labels counts as both.
+    :data:`STRETCHES` stretches; of documents that repeat an id so often that there are more than four
+    times :data:`TEXTS`, the first ones. So no more than some 15 MB of ASCII come to the driver. Labels
+    other than 0 and 1 and rows without an id are left out; an id with both labels counts as both.
     """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality").distinct()
     counts = dict(usable.groupBy("quality").count().collect())
