@@ -523,6 +523,44 @@ def grounding_check(spark, sf_dir):
     return done.select("doc_id", "kept", F.when(F.col("name") == "Zzyzx ferritin", "foreign name").otherwise("as printed").alias("form"))
 
 
+def _read_parts(spark, sf_dir) -> DataFrame:
+    """Parts as pages with one result each, read by a model that changes some values, ranges, units and dates."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
+    k, low, high = F.col("p_partkey"), F.col("p_size").cast("string"), (F.col("p_size") + 10).cast("string")
+    day = F.concat(F.lit("2024-03-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))
+    page = F.concat(F.lit("Serum Ferritin (fasting) "), F.col("price").cast("string"), F.lit(" mg/dL, range "), low, F.lit(" - "), high, F.lit(", taken "), day)
+    passages = parts.select(F.lit(0).alias("chunk_ix"), k.alias("doc_id"), page.alias("text"), F.lit(3).alias("page"), F.lit(4).alias("end_page"))
+    rows = parts.select(
+        k.alias("doc_id"),
+        F.when(k % 6 == 5, 5).otherwise(3 + (k % 2).cast("int")).alias("page"),
+        F.lit("Serum ferritin").alias("name"),
+        F.when(k % 5 == 0, F.col("price") + 1).otherwise(F.col("price")).cast("string").alias("value"),
+        F.when(k % 2 == 0, "mg/dL").otherwise("as told by the laboratory").alias("unit"),
+        F.when(k % 3 == 0, "7000 - 8000").otherwise(F.concat(low, F.lit(" - "), high)).alias("reference_range"),
+        F.when(k % 7 == 0, "H").when(k % 7 == 1, "L").alias("flag"),
+        F.when(k % 4 == 0, "2031-01-01").otherwise(day).alias("date"),
+    )
+    return grounding.ground(rows, passages)
+
+
+_GROUNDED = """SELECT p_partkey AS doc_id, p_partkey % 5 <> 0 AND p_partkey % 6 <> 5 AS kept, CASE WHEN p_partkey % 2 = 0 THEN 'mg/dL' END AS unit,
+ CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 6 <> 5 THEN '2024-03-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') END AS date,
+ CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 6 <> 5 THEN p_size::DOUBLE END AS low, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 6 <> 5 THEN (p_size + 10)::DOUBLE END AS high,
+ CASE p_partkey % 7 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS flag FROM part"""
+
+
+@query(_GROUNDED)
+def grounding_parts(spark, sf_dir):
+    """Ranges, units, dates and flags of rows that a page supports in part; pages 3 and 4 share a passage, page 5 has none."""
+    done = _read_parts(spark, sf_dir)
+    return done.select("doc_id", "kept", "unit", "date", F.col("printed_range.low").alias("low"), F.col("printed_range.high").alias("high"), F.col("printed_flag").alias("flag"))
+
+
+@query(f"SELECT doc_id % 10 AS batch, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS discarded FROM ({_GROUNDED}) GROUP BY batch")
+def grounding_batches(spark, sf_dir):
+    return grounding.kept_and_discarded(_read_parts(spark, sf_dir).withColumn("batch", F.col("doc_id") % 10), ["batch"])
+
+
 @query("""WITH a AS (SELECT o_orderpriority AS k, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderstatus = 'O'),
  b AS (SELECT o_orderpriority AS k, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderstatus = 'F'),
  m AS (SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS correct, count(*) FILTER (b.k IS NULL) AS extra, count(*) FILTER (a.k IS NULL) AS missed FROM a FULL JOIN b ON a.k = b.k AND a.nth = b.nth)
