@@ -762,6 +762,40 @@ def layout_blocks(spark, sf_dir):
     return made.select("doc_id", "kind", F.sha1(F.col("text").cast("binary")).alias("text_sha1"), "block_ix").join(_block_lines(lines, made), ["doc_id", "block_ix"]).drop("block_ix")
 
 
+@query("""WITH c AS (SELECT c_nationkey::VARCHAR AS doc_id, (c_custkey % 2 + 1)::INTEGER AS page, c_custkey, c_name || ' | ' || c_mktsegment || ' | ' || c_acctbal::DECIMAL(12, 2)::VARCHAR AS line FROM customer),
+ t AS (SELECT doc_id, page, count(*) AS n, string_agg(line, chr(10) ORDER BY c_custkey) AS rows FROM c GROUP BY doc_id, page HAVING count(*) >= 4)
+SELECT doc_id, page, 0 AS block_ix, 'heading' AS kind, 1 AS level, sha1(CASE page WHEN 1 THEN 'Accounts with even keys' ELSE 'Accounts with odd keys' END) AS text_sha1, 0::BIGINT AS n_rows FROM t
+UNION ALL SELECT doc_id, page, 1, 'table', NULL, sha1(rows), n FROM t UNION ALL SELECT doc_id, page, 2, 'paragraph', NULL, sha1('Balances are in dollars. They were read at the end of a day.'), 0 FROM t""")
+def layout_tables(spark, sf_dir):
+    """Whole extraction of two-page documents: running header and footer, heading in a larger font, a table and prose.
+
+    A table's row is three items in any order or, every third, one run with wide gaps.
+    """
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("doc_id"), (F.col("c_custkey") % 2 + 1).cast("int").alias("page"), "c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").cast("decimal(12,2)").cast("string").alias("balance"))
+    on_page = Window.partitionBy("doc_id", "page")
+    rows = c.withColumn("n", F.count(F.lit(1)).over(on_page)).filter("n >= 4").withColumn("nth", F.row_number().over(on_page.orderBy("c_custkey")))
+    item = lambda text, x, y, size: F.struct(text.alias("str"), F.lit(float(x)).alias("x"), (y * 14.0).alias("y"), F.lit(float(size)).alias("size"))
+    down = -F.col("nth")
+    apart = F.array(item(F.col("balance"), 350, down, 10), item(F.col("c_name"), 50, down, 10), item(F.col("c_mktsegment"), 200, down, 10))
+    wide = F.array(item(F.concat(F.rpad("c_name", 30, " "), F.rpad("c_mktsegment", 30, " "), "balance"), 50, down, 10))
+    n = F.col("n")
+    title = F.when(F.col("page") == 1, "Accounts with even keys").otherwise("Accounts with odd keys")
+    around = F.array(
+        item(F.lit("Ledger of a nation"), 50, n, 10),
+        item(title, 50, n * 0, 16),
+        item(F.lit("Balances are in dollars."), 50, -n - 1, 10),
+        item(F.lit("They were read at the end of a day."), 50, -n - 2, 10),
+        item(F.concat(F.lit("Page "), "page", F.lit(" of 2")), 50, -2 * n, 10),
+    )
+    cells = F.when(F.col("c_custkey") % 3 == 0, wide).otherwise(apart)
+    runs = rows.select("doc_id", "page", "nth", F.explode(F.when(F.col("nth") == 1, F.concat(around, cells)).otherwise(cells)).alias("i"))
+    zero = F.lit(0.0)
+    order = F.row_number().over(on_page.orderBy("nth", "i.str")).alias("item_ix")
+    items = runs.select("doc_id", "page", order, "i.str", F.array("i.size", zero, zero, "i.size", "i.x", "i.y").alias("transform"), (F.length("i.str") * 5.0).alias("width"), F.col("i.size").alias("height"), F.lit(None).cast("string").alias("font_name"))
+    made = layout.extract(items, rows.select("doc_id", "page").distinct())
+    return made.select("doc_id", "page", "block_ix", "kind", "level", F.sha1(F.col("text").cast("binary")).alias("text_sha1"), F.coalesce(F.size("rows"), F.lit(0)).cast("long").alias("n_rows"))
+
+
 def _block_lines(lines: DataFrame, made: DataFrame) -> DataFrame:
     """(doc_id, block_ix, n_lines): blocks take a page's lines in turn, so lengths place them."""
     order = Window.partitionBy("doc_id", "page")
