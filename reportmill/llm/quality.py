@@ -65,6 +65,10 @@ BANDS = {
     "other": (0.8, 8.0, 0.20, 1.4, 0.8, 0.60),
 }
 
+#: Distinct words that a worker remembers. An executor may have more workers than cores while short
+#: tasks follow each other, and each has its own vocabularies (some 150 MB) and words.
+MAX_WORDS = 80_000
+
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens", "n_b_tokens", "n_one_byte_tokens")
 OUT = pa.schema([*((c, pa.int64()) for c in _COUNTS), ("token_entropy", pa.float64()), ("script", pa.string())])
 _DDL = f"struct<{','.join(f'{c}:bigint' for c in _COUNTS)},token_entropy:double,script:string>"
@@ -92,7 +96,7 @@ class _Words(PieceTable):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bytes = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._one_byte = frozenset(r for b, r in ranks.items() if len(b) == 1)
-        super().__init__(self._pieces)
+        super().__init__(self._pieces, MAX_WORDS)
 
     def _pieces(self, words: list[str]) -> list[Sequence[int]]:
         return self.model.encode(words, num_threads=1)
