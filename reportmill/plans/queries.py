@@ -763,17 +763,18 @@ def layout_blocks(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT c_nationkey::VARCHAR AS doc_id, (c_custkey % 2 + 1)::INTEGER AS page, c_custkey, c_name || ' | ' || c_mktsegment || ' | ' || c_acctbal::DECIMAL(12, 2)::VARCHAR AS line FROM customer),
- t AS (SELECT doc_id, page, count(*) AS n, string_agg(line, chr(10) ORDER BY c_custkey) AS rows FROM c GROUP BY doc_id, page HAVING count(*) >= 4)
+ t AS (SELECT doc_id, page, count(*) AS n, string_agg(line, chr(10) ORDER BY c_custkey) AS rows FROM c GROUP BY doc_id, page HAVING count(*) >= 4 QUALIFY count(*) OVER (PARTITION BY doc_id) = 2)
 SELECT doc_id, page, 0 AS block_ix, 'heading' AS kind, 1 AS level, sha1(CASE page WHEN 1 THEN 'Accounts with even keys' ELSE 'Accounts with odd keys' END) AS text_sha1, 0::BIGINT AS n_rows FROM t
 UNION ALL SELECT doc_id, page, 1, 'table', NULL, sha1(rows), n FROM t UNION ALL SELECT doc_id, page, 2, 'paragraph', NULL, sha1('Balances are in dollars. They were read at the end of a day.'), 0 FROM t""")
 def layout_tables(spark, sf_dir):
-    """Whole extraction of two-page documents: running header and footer, heading in a larger font, a table and prose.
+    """Whole extraction of documents with two pages of four rows at least: running header and footer, heading in a larger font, a table and prose.
 
     A table's row is three items in any order or, every third, one run with wide gaps.
     """
     c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("doc_id"), (F.col("c_custkey") % 2 + 1).cast("int").alias("page"), "c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").cast("decimal(12,2)").cast("string").alias("balance"))
     on_page = Window.partitionBy("doc_id", "page")
-    rows = c.withColumn("n", F.count(F.lit(1)).over(on_page)).filter("n >= 4").withColumn("nth", F.row_number().over(on_page.orderBy("c_custkey")))
+    rows = c.withColumn("n", F.count(F.lit(1)).over(on_page)).withColumn("least", F.min("n").over(Window.partitionBy("doc_id"))).withColumn("pages", F.size(F.collect_set("page").over(Window.partitionBy("doc_id"))))
+    rows = rows.filter("least >= 4 AND pages = 2").withColumn("nth", F.row_number().over(on_page.orderBy("c_custkey")))
     item = lambda text, x, y, size: F.struct(text.alias("str"), F.lit(float(x)).alias("x"), (y * 14.0).alias("y"), F.lit(float(size)).alias("size"))
     down = -F.col("nth")
     apart = F.array(item(F.col("balance"), 350, down, 10), item(F.col("c_name"), 50, down, 10), item(F.col("c_mktsegment"), 200, down, 10))
