@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reportmill.functions.vectors import dot, norm
+from reportmill.functions.vectors import norm
 from reportmill.operators import retrieval as R
+from reportmill.operators.leaders import nearest_in_tasks
 from reportmill.shipping import ship
 from reportmill.shared import new_folder
 from reportmill.sources.segments import Segments
@@ -146,23 +147,19 @@ class DenseIndex(Segments):
         return near.select("query_id", "cell", "n", bound.alias("bound")).unionByName(zero).withColumn("bound", F.col("bound") + SLACK)
 
     def _scored(self, queries: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
-        """(query_id, key, score) of the best vectors of given (query_id, cell) rows, of which the query set is stated and small enough to broadcast."""
-        cells = [r[0] for r in pairs.select("cell").distinct().collect()]
-        rows = self._live().filter(F.col("cell").isin(cells)).select(self.key, "vector", "size", "cell")
-        asked = pairs.select("query_id", "cell").join(queries, "query_id")
-        both = rows.join(F.broadcast(asked), "cell")
-        product = F.col("size") * F.col("_size")
-        checked = F.when(F.size("vector") != F.size("_query"), F.raise_error(F.lit("vectors differ in length")).cast("double"))
-        score = checked.otherwise(F.when(product == 0, 0.0).otherwise(dot(F.col("vector"), F.col("_query")) / product))
-        return R.ranked(both.select("query_id", self.key, F.round(score, 9).alias("score")), self.key, limit, ["query_id"])
+        """(query_id, key, score, rank) of the best vectors of given (query_id, cell) rows, of which the query set is a block."""
+        each = pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each cell
+        rows = self._live().filter(F.col("cell").isin([r["cell"] for r in each]))
+        sizes = {r["cell"]: r["n"] for r in self.manifest().groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+        met = sum(r["n"] * sizes[r["cell"]] for r in each)  # pairs, dealt out as if all queries met as many
+        return R.ranked(nearest_in_tasks(rows, queries, self.key, limit, cells=pairs, pairs=met), self.key, limit, ["query_id"])
 
     def _plan(self, queries: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
         """Hits in each query's first cells, and all its cells with ``seed`` and ``needed``."""
-        own = queries.select("query_id", F.col("vector").alias("_query"), norm(F.col("vector")).alias("_size"))
         by = Window.partitionBy("query_id").orderBy(F.desc("bound"), "cell")
         before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         judged = self._written(self._judged(queries).withColumn("seed", before < limit))
-        first = self._written(self._scored(own, judged.filter("seed"), limit))
+        first = self._written(self._scored(queries, judged.filter("seed"), limit))
         least = first.filter(F.col("rank") == limit).select("query_id", F.col("score").alias("least"))
         needed = ~F.col("seed") & (F.col("least").isNull() | (F.col("bound") >= F.col("least")))
         return first, judged.join(least, "query_id", "left").withColumn("needed", needed)
@@ -184,9 +181,8 @@ class DenseIndex(Segments):
         found: list[DataFrame] = []
         for i in range(blocks):
             part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-            own = part.select("query_id", F.col("vector").alias("_query"), norm(F.col("vector")).alias("_size"))
             first, judged = self._plan(part, limit)
-            rest = self._scored(own, judged.filter("needed"), limit)
+            rest = self._scored(part, judged.filter("needed"), limit)
             found.append(R.ranked(first.drop("rank").unionByName(rest.drop("rank")), self.key, limit, ["query_id"]))
         out = found[0]
         for part in found[1:]:

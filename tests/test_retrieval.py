@@ -1,6 +1,7 @@
 """Ranking, fusion, packing and scoring on a handful of passages."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -82,6 +83,25 @@ def test_dense_keeps_negative_scores(spark):
         spark.range(1).select(cosine(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))).collect()
 
 
+def test_dense_in_tasks_is_the_plain_search(spark, monkeypatch):
+    """Copies, zero vectors, nulls and more queries than a block, dealt out to several tasks; no pair is made by a join."""
+    from reportmill.operators import leaders
+
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(leaders, "PAIRS_A_TASK", 900)
+    monkeypatch.setattr(leaders, "CHUNK", 16)
+    monkeypatch.setattr(leaders, "WAITING", 20)
+    rng = random.Random(5)
+    some = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(40)] + [[0.0] * 5, [1.0, None, 0.0, 0.0, 0.0]]
+    rows = spark.createDataFrame([(f"k{i:03}", None if i == 50 else some[i % 42]) for i in range(300)], "k string, vector array<float>")
+    q = rows.filter("k < 'k020' OR k IN ('k040', 'k041')").select(F.col("k").alias("query_id"), "vector")
+    pairs = rows.filter("vector IS NOT NULL").crossJoin(q.select("query_id", F.col("vector").alias("v")))
+    want = R.ranked(pairs.select("query_id", "k", F.round(cosine(F.col("vector"), F.col("v")), 9).alias("score")), "k", 9, ["query_id"])
+    got = R.dense(rows, q, "k", 9)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+
+
 def test_packing_keeps_a_prefix(spark):
     rows = spark.createDataFrame([(1, 1, "x" * 50), (1, 2, "x" * 60), (1, 3, "x"), (2, 1, "x" * 500)], "q int, rank int, text string")
     kept = R.pack(rows, ["q"], budget=100)
