@@ -114,6 +114,12 @@ def test_lab_passages(spark):
     assert {r["chunk_ix"]: r["signal"] for r in R.lab_passages(df, ["doc_id"], "chunk_ix").collect()} == {1: 3, 2: 1}
 
 
+def test_edges_of_lab_words_are_those_of_ascii_words(spark):
+    rows = [(0, "7 élab"), (1, "7 lab"), (2, "7 xlab"), (3, "5 flé"), (4, "5 flx"), (5, "5\x0bmg"), (6, "5 \u00b5mol"), (7, "9 testñ"), (8, "9 re\u017fults")]
+    df = spark.createDataFrame(rows, "chunk_ix int, text string").withColumns({"doc_id": F.lit("d"), "kind": F.lit("prose")})
+    assert {r["chunk_ix"]: r["signal"] for r in R.lab_passages(df, ["doc_id"], "chunk_ix").collect()} == {0: 1, 1: 1, 3: 2, 6: 2, 7: 1, 8: 1}
+
+
 def test_snippets(spark):
     text = "start " + "filler " * 40 + "Lactate rose " + "after " * 40
     df = spark.createDataFrame([(1, text), (2, "short  text"), (3, "other " * 60), (4, None)], "i int, text string")
