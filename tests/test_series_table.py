@@ -102,3 +102,13 @@ def test_many_terms_at_once(spark, monkeypatch, most):
     want = {i: [f"p{k}" for k in sorted(found)] for i, found in want.items()}
     want[0] = [*want.get(0, []), *(p for p in ("p9", "p5") if p not in want.get(0, []))]
     assert {i: [p for _, p in sorted(x)] for i, x in got.items()} == {i: x[:4] for i, x in want.items() if x}
+
+
+def test_copies_of_frequent_terms_shuffle_a_few_rows_a_term(spark, tmp_path):
+    """2000 ids of one term in 2000 passages are 4 rows a task before the ids meet them, not 4 million pairs."""
+    passages = spark.range(2000).select(F.col("id").alias("k"), (2000 - F.col("id")).alias("ix"), F.lit("a Frequent word").alias("text"))
+    asked = passages.select(F.col("k").alias("term_id"), F.lit("frequent  word").alias("term"))
+    rows = R._containing(passages, spark.createDataFrame([("frequent word",), ("word",), ("none",)], "_term string"), "k", "ix", 4)
+    assert rows.count() <= 8 * passages.rdd.getNumPartitions()
+    got = R.passages_for_terms(passages, asked.limit(0).select("term_id", F.col("term_id").alias("k"), F.lit(0).alias("rank")), asked, "k", "ix")
+    assert got.count() == 8000 and {(r["rank"], r["k"]) for r in got.collect()} == {(i + 1, 1999 - i) for i in range(4)}
