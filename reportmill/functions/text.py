@@ -83,6 +83,14 @@ def term_of(raw: Column) -> Column:
     return F.when(kept, F.when(_is_number(raw), raw).otherwise(singular(raw)))
 
 
+def plain_term(raw: str) -> str:
+    """:func:`term_of` of a raw word in Python; "" for stop words and single characters."""
+    if len(raw) < 2 or raw in STOP_WORDS:
+        return ""
+    plural = len(raw) > 3 and raw.endswith("s") and not raw.endswith(("ss", "us", "is", "as")) and raw >= ":"
+    return raw[:-1] if plural else raw
+
+
 def tokenize(c: Column) -> Column:
     """Comparable terms: whole decimals, and words without stop words or a plural s."""
     raw = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))

@@ -24,14 +24,21 @@ left out, unread but for their bounds.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from reportmill.functions import text as T
 from reportmill.operators import retrieval as R
 from reportmill.shared import new_folder
+from reportmill.shipping import ship
 from reportmill.sources.segments import Segments
 
 #: Passages of a block are at most 2 to this.
@@ -41,6 +48,94 @@ BUCKETS = 64
 SLACK = 1e-8
 #: Postings that a task writes, about.
 POSTINGS_A_TASK = 2_000_000
+#: Passages that a task counts or inverts at once, and raw words whose terms it remembers.
+ROWS, MOST_KNOWN = 512, 500_000
+
+
+def _counted(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(scope, key, len, terms) of each passage: its distinct terms with their numbers, without a shuffle.
+
+    The same terms as :func:`functions.text.tokenize` finds; a raw word is judged once a task.
+    """
+    ship(rows.sparkSession)
+    kind = ArrayType(StructType([StructField("term", StringType()), StructField("tf", LongType())]))
+    schema = StructType([StructField("scope", rows.schema["scope"].dataType), StructField(key, rows.schema[key].dataType), StructField("len", LongType()), StructField("terms", kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known = re.compile(T.TOKEN, re.ASCII).findall, {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                terms, tfs, ends, lens = [], [], [0], []
+                for low in batch.column("_low").to_pylist():
+                    own: dict[str, int] = {}
+                    for raw, n in Counter(words(low or "")).items():
+                        term = known.get(raw)
+                        if term is None:
+                            if len(known) >= MOST_KNOWN:
+                                known.clear()
+                            term = known[raw] = T.plain_term(raw)
+                        if term:
+                            own[term] = own.get(term, 0) + n
+                    terms += own
+                    tfs += own.values()
+                    ends.append(len(terms))
+                    lens.append(sum(own.values()))
+                pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], ["term", "tf"])
+                each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([batch.column("scope"), batch.column(key), pa.array(lens, pa.int64()), each], ["scope", key, "len", "terms"])
+
+    low = F.lower(R.passage_text(rows, text)).alias("_low")
+    return rows.select("scope", key, low).mapInArrow(run, schema)
+
+
+def _inverted(placed: DataFrame, key: str) -> DataFrame:
+    """(scope, term, block, hits, max_tf, min_len, n) from passages that lie in order of scope and block, without a shuffle.
+
+    A block whose passages fall to two tasks has two rows for a term, whose bounds and hits add up.
+    """
+    ship(placed.sparkSession)
+    one = StructType([StructField("key", placed.schema[key].dataType), StructField("tf", LongType()), StructField("len", LongType())])
+    schema = StructType([StructField("scope", placed.schema["scope"].dataType), StructField("term", StringType())])
+    for name, kind in (("block", LongType()), ("hits", ArrayType(one)), ("max_tf", LongType()), ("min_len", LongType()), ("n", LongType())):
+        schema = schema.add(name, kind)
+
+    def of(rows: pa.Table) -> pa.RecordBatch:
+        block, length, keys, scopes, lists = (rows.column(c).combine_chunks() for c in ("block", "len", key, "scope", "terms"))
+        shown = scopes.to_pylist()
+        block, length = block.to_numpy(), length.to_numpy()
+        new = np.array([True, *(block[i] != block[i - 1] or shown[i] != shown[i - 1] for i in range(1, len(block)))])
+        run_of = np.cumsum(new)
+        flat = pc.list_flatten(lists)
+        doc = pc.list_parent_indices(lists).to_numpy()
+        terms = flat.field("term").dictionary_encode()
+        code, tf = terms.indices.to_numpy(), flat.field("tf").to_numpy()
+        by_key = pc.rank(keys, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
+        order = np.lexsort((by_key[doc], code, run_of[doc]))
+        doc, code, tf = doc[order], code[order], tf[order]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(doc)), bool), (code[1:] != code[:-1]) | (run_of[doc[1:]] != run_of[doc[:-1]]))))
+        ends = np.append(starts, len(doc))
+        hits = pa.StructArray.from_arrays([keys.take(pa.array(doc)), pa.array(tf), pa.array(length[doc])], ["key", "tf", "len"])
+        first = pa.array(doc[starts])
+        columns = [scopes.take(first), terms.dictionary.take(pa.array(code[starts])), pa.array(block[doc[starts]]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits)]
+        most, least = (f.reduceat(x, starts) if len(starts) else x[:0] for f, x in ((np.maximum, tf), (np.minimum, length[doc])))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(most), pa.array(least), pa.array(np.diff(ends))], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                rows = pa.Table.from_batches([whole.slice(start, ROWS)])
+                rows = rows if rest is None else pa.concat_tables([rest, rows])
+                block = rows.column("block").to_numpy()
+                cut = int(np.flatnonzero(block != block[-1])[-1]) + 1 if block[0] != block[-1] else 0
+                if cut:
+                    yield of(rows.slice(0, cut))
+                rest = rows.slice(cut)
+        if rest is not None:
+            yield of(rest)
+
+    return placed.select("scope", key, "len", "block", "terms").mapInArrow(run, schema)
 
 
 class LexicalIndex(Segments):
@@ -69,18 +164,12 @@ class LexicalIndex(Segments):
         have no words and count as passages. Returns the segment's name.
         """
         segment = self.new_name()
-        rows = passages.withColumn("scope", self._scope())
-        terms = R.postings(rows, self.key, ["scope"], text)
-        sizes = terms.groupBy("scope", self.key).agg(F.sum("tf").alias("len"))
-        every = rows.select("scope", self.key).join(sizes, ["scope", self.key], "left").withColumn("len", F.coalesce("len", F.lit(0)))
-        ordered = every.repartitionByRange("scope", "len", self.key).sortWithinPartitions("scope", "len", self.key)
-        docs = self.folder("docs", segment)
-        ordered.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)).write.parquet(docs)
-        placed = self.spark.read.parquet(docs)
+        counted = _counted(passages.withColumn("scope", self._scope()), self.key, text)
+        ordered = counted.repartitionByRange("scope", "len", self.key).sortWithinPartitions("scope", "len", self.key)
+        placed = self._written(ordered.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
+        placed.drop("terms").write.parquet(self.folder("docs", segment))
         totals = placed.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("words"))
-        one = F.struct(F.col(self.key).alias("key"), "tf", "len")
-        blocks = terms.join(placed, ["scope", self.key]).groupBy("scope", "term", "block").agg(F.array_sort(F.collect_list(one)).alias("hits"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
-        blocks = blocks.withColumn("n", F.size("hits").cast("long")).withColumn("bucket", self._bucket(F.col("term")))
+        blocks = _inverted(placed, self.key).withColumn("bucket", self._bucket(F.col("term")))
         order = ["bucket", "term", "scope", "block"]
         parts = max(1, -(-(placed.agg(F.sum("len")).first()[0] or 0) // POSTINGS_A_TASK))
         blocks = blocks.repartitionByRange(parts, *order).sortWithinPartitions(*order)

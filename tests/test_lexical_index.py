@@ -123,3 +123,19 @@ def test_empty_corpora_and_queries(spark, docs, tmp_path):
     index.add(docs.filter("doc_id < 40"), "b")
     assert index.search(ask(spark, "the", "")).count() == 0
     assert index.search(ask(spark, "bran").limit(0)).count() == 0
+
+
+def test_terms_are_counted_and_inverted_where_they_lie(spark, docs, monkeypatch):
+    """As many shuffles as it takes to order the passages, and the terms that a scan finds."""
+    monkeypatch.setattr(L, "ROWS", 50)
+    rows = docs.withColumn("scope", F.struct(F.lit(0).alias("_"))).repartition(1)
+    counted = L._counted(rows, "doc_id", "text")
+    got = counted.select("doc_id", F.inline("terms"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.postings(docs, "doc_id").collect()))
+    placed = counted.sortWithinPartitions("doc_id").withColumn("block", F.shiftright(F.monotonically_increasing_id(), 3))
+    made = L._inverted(placed, "doc_id")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+    blocks = made.collect()
+    assert len({(r["term"], r["block"]) for r in blocks}) == len(blocks)
+    assert sorted((h["key"], r["term"], h["tf"]) for r in blocks for h in r["hits"]) == sorted(map(tuple, got.collect()))
+    assert all(r["n"] == len(r["hits"]) and r["max_tf"] == max(h["tf"] for h in r["hits"]) and r["min_len"] == min(h["len"] for h in r["hits"]) for r in blocks)
