@@ -6,6 +6,8 @@ Everything that is not an ordered walk over a page's items is a Column expressio
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import cmp_to_key
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,6 +118,9 @@ def _page_lines(rows: list[dict]) -> list[dict]:
 
 def _line(group: list[dict]) -> dict:
     """Items of one line from left to right; near cells are joined."""
+    if len(group) == 1 and len(group[0]["cells"]) == 1:
+        item = group[0]
+        return {"y": item["y"], "font_size": item["size"], "cells": item["cells"], "text": item["cells"][0]["text"]}
     size = max(i["size"] for i in group)
     cells: list[dict] = []
     for item in sorted(group, key=lambda i: i["x"]):
@@ -205,27 +210,41 @@ def _page_blocks(rows: list[dict]) -> list[dict]:
     while i < n:
         j = i + 1
         if rows[i]["heading"]:
-            out.append(("heading", rows[i]["level"], rows[i]["text"].strip(), None))
+            out.append(("heading", rows[i]["level"], rows[i]["text"].strip(), None, 1))
         elif starts[i]:
             while below(i, j):
                 j += 1
             cells = [[c["text"] for c in r["cells"]] for r in rows[i:j]]
-            out.append(("table", None, "\n".join(" | ".join(r) for r in cells), cells))
+            out.append(("table", None, "\n".join(" | ".join(r) for r in cells), cells, j - i))
         else:
             while j < n and not rows[j]["heading"] and not starts[j]:
                 j += 1
-            out.append(("paragraph", None, " ".join(r["text"].strip() for r in rows[i:j]), None))
+            out.append(("paragraph", None, " ".join(r["text"].strip() for r in rows[i:j]), None, j - i))
         i = j
-    names = ("kind", "level", "text", "rows")
+    names = ("kind", "level", "text", "rows", "n_lines")
     return [dict(zip(names, block, strict=True)) | {"block_ix": ix} for ix, block in enumerate(out)]
 
 
-def blocks(found: DataFrame) -> DataFrame:
-    """Typed blocks of each page: heading (with level), paragraph, or table (with rows)."""
-    ready = found.join(body_sizes(found), ["doc_id", "page"])
-    ready = ready.withColumn("heading", is_heading(F.col("text"), F.col("cells"), F.col("font_size"), F.col("body")))
-    ready = ready.withColumn("level", heading_level(F.col("font_size"), F.col("body")))
-    return walk_groups(ready, ["doc_id", "page"], ["line_ix"], _page_blocks, BLOCK_SCHEMA)
+def _judged_blocks(rows: list[dict]) -> list[dict]:
+    """Blocks of a page's lines by its most frequent font size, as :func:`body_sizes`, :func:`is_heading` and :func:`heading_level` have it."""
+    counts = Counter(math.floor(r["font_size"] * 2 + 0.5) / 2 for r in rows)
+    body = min(counts, key=lambda size: (-counts[size], size))
+    for r in rows:
+        r["heading"] = r["short"] and (r["font_size"] >= HEADING_RATIO * body or r["capitals"])
+        ratio = r["font_size"] / body if body > 0 else LEVEL_2
+        r["level"] = 1 if ratio >= LEVEL_1 else 2 if ratio >= LEVEL_2 else 3
+    return _page_blocks(rows)
+
+
+def blocks(found: DataFrame, n_lines: bool = False) -> DataFrame:
+    """Typed blocks of each page: heading (with level), paragraph, or table (with rows); with ``n_lines``, how many lines each took.
+
+    A page's lines are dealt and read once; its body size is counted where they lie.
+    """
+    never = F.lit(1e300)  # a body size that no line is large against
+    ready = found.withColumn("short", is_heading(F.col("text"), F.col("cells"), F.lit(1.0), F.lit(0.0)))
+    ready = ready.withColumn("capitals", is_heading(F.col("text"), F.col("cells"), F.lit(0.0), never))
+    return walk_groups(ready, ["doc_id", "page"], ["line_ix"], _judged_blocks, BLOCK_SCHEMA + (", n_lines bigint" if n_lines else ""))
 
 
 def extract(items: DataFrame, pages: DataFrame) -> DataFrame:

@@ -88,3 +88,13 @@ def test_document_chunks(spark):
     docs = spark.createDataFrame([(1, "First line.\n\nSecond line."), (2, None)], "doc_id long, text string")
     made = chunking.chunks(chunking.document_blocks(docs)).collect()
     assert [(r["doc_id"], r["text"]) for r in made] == [("1", "First line. Second line.")]
+
+
+def test_blocks_deal_a_pages_lines_once(spark):
+    """The lines' walk stands once in the plan, and blocks count their lines."""
+    rows = [("d", 1, i, t, [10.0, 0.0, 0.0, 10.0, 50.0, -14.0 * i], 50.0, 10.0, None) for i, t in enumerate(["HEAD", "one", "two", "Large", "three"])]
+    rows[3] = (*rows[3][:4], [20.0, 0.0, 0.0, 20.0, 50.0, -42.0], 50.0, 20.0, None)
+    made = layout.blocks(layout.lines(spark.createDataFrame(rows, layout.ITEM_SCHEMA)), n_lines=True)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    got = [(r["kind"], r["level"], r["text"], r["n_lines"]) for r in made.orderBy("block_ix").collect()]
+    assert got == [("heading", 3, "HEAD", 1), ("paragraph", None, "one two", 2), ("heading", 1, "Large", 1), ("paragraph", None, "three", 1)]
