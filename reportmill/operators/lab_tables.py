@@ -23,18 +23,23 @@ def judged(cells: Column) -> Column:
 
 
 def _judge(t: Column, ix: Column) -> Column:
+    # values, ranges and dates have a digit; a whole number is nothing but a value
+    digit, whole_number = t.rlike("[0-9]"), t.rlike(r"^[0-9]{1,15}\z")
+    none = F.lit(None).cast("string")
+    number = F.struct(t.cast("double").alias("value"), t.alias("text"), none.alias("comparator"), none.alias("flag"), none.alias("unit"))
+    more = digit & ~whole_number
     looks = F.struct(
-        V.parse_value(t).alias("parsed"),
-        V.is_date_like(t).alias("is_date"),
-        V.parse_range(t).isNotNull().alias("is_range"),
-        V.looks_like_unit(t).alias("is_unit"),
-        V.parse_flag(t).alias("flag"),
+        F.when(whole_number, number).when(digit, V.parse_value(t)).alias("parsed"),
+        (more & V.is_date_like(t)).alias("is_date"),
+        (more & V.parse_range(t).isNotNull()).alias("is_range"),
+        (~whole_number & V.looks_like_unit(t)).alias("is_unit"),
+        F.when(~whole_number, V.parse_flag(t)).alias("flag"),
     )
 
     def named(c: Column) -> Column:
         letters = F.length(F.regexp_replace(t, "[^A-Za-z]", "")) >= 2
         is_name = letters & ~(c["is_date"] | c["flag"].isNotNull() | c["is_unit"] | c["is_range"])
-        both = F.when(is_name & t.rlike(V.NAME_THEN_VALUE), V.split_name_and_value(t))
+        both = F.when(is_name & digit & t.rlike(V.NAME_THEN_VALUE), V.split_name_and_value(t))
         return T.let(F.struct(is_name.alias("is_name"), both.alias("both")), lambda n: whole(c, n))
 
     def whole(c: Column, n: Column) -> Column:

@@ -114,3 +114,22 @@ def test_fabricated_rows_fall(spark):
     assert fakes.count() == 6
     assert grounding.ground(real, passages).filter("kept").count() == 2
     assert grounding.ground(fakes.drop("fake"), passages).filter("kept").count() == 0
+
+
+def test_cells_without_doubt_are_judged_as_all_others(spark):
+    """Whole numbers and cells without a digit take a short way; what all patterns say is the same, and stands behind it."""
+    from pyspark.sql import functions as F
+
+    from reportmill.functions import values as V
+    from reportmill.operators import lab_tables
+
+    texts = ["12", "007", "1234567890123456", "1,234", "12 H", "3-5", "2026-03-12", "12/03/2026", "Sodium", "mmol/L", "high", "*", "\u2191", "", "up to 5", "Na 140", "%", "12-Mar-2026", "\u0663"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", F.explode(lab_tables.judged(F.array("t"))).alias("c"))
+    t = F.col("t")
+    plain = [V.parse_value(t), V.is_date_like(t), V.parse_range(t).isNotNull(), V.looks_like_unit(t), V.parse_flag(t)]
+    for r in got.select("t", *(F.struct(F.col(f"c.{n}").alias("a"), p.alias("b")).alias(n) for n, p in zip(("parsed", "is_date", "is_range", "is_unit", "flag"), plain, strict=True))).collect():
+        for n in ("parsed", "is_date", "is_range", "is_unit", "flag"):
+            assert r[n]["a"] == r[n]["b"], (r["t"], n)
+    judge = str(lab_tables._judge(t, F.lit(0)))
+    assert judge.count("[0-9]{1,15}") >= 1
