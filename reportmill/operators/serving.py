@@ -36,11 +36,12 @@ def fixed_windows(requests: DataFrame, key: list[str], order: list[str], limit:
 def two_level(requests: DataFrame, client: str = "client", route: str = "route", order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Requests with ``allowed`` by their route's minute, then by the client's day.
 
-    The day only counts requests that their route's minute let pass.
+    The day only counts requests that their route's minute let pass; what the minute says is written
+    to the shared folder, as the day's steps read it several times.
     """
     caps = F.create_map(*(F.lit(x) for pair in PER_MINUTE.items() for x in pair))
     minute = fixed_windows(requests, [client, route], list(order), F.coalesce(F.try_element_at(caps, F.col(route)), F.lit(0)), 60)
-    minute = minute.withColumnRenamed("allowed", "route_ok").drop("nth", "window_start")
+    minute = windows.written(minute.withColumnRenamed("allowed", "route_ok").drop("nth", "window_start"))
     passed = fixed_windows(minute.filter("route_ok"), [client], list(order), PER_DAY, 86_400).drop("nth", "window_start")
     return passed.unionByName(minute.filter("not route_ok").withColumn("allowed", F.lit(False)))
 

@@ -19,7 +19,8 @@ from reportmill.shared import new_folder
 NO_TIME = -(1 << 61)
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """The rows of a table that several steps read, from the shared folder."""
     path = new_folder(df.sparkSession, "windows")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -57,13 +58,14 @@ def window_starts(times: DataFrame, span: int) -> DataFrame:
 
     Each round is written to the shared folder; one number of it reaches the driver.
     """
-    starts = _written(times.groupBy("k").agg(F.min("at").alias("at")))
-    steps = _written(_next_times(times, span))
+    times = written(times)
+    starts = written(times.groupBy("k").agg(F.min("at").alias("at")))
+    steps = written(_next_times(times, span))
     while not steps.isEmpty():
         reached = starts.join(steps, ["k", "at"]).select("k", F.col("to").alias("at"))
-        starts = _written(starts.unionByName(reached))  # no two starts lead to one: windows follow each other
+        starts = written(starts.unionByName(reached))  # no two starts lead to one: windows follow each other
         twice = steps.join(steps.select("k", F.col("at").alias("to"), F.col("to").alias("on")), ["k", "to"])
-        steps = _written(twice.select("k", "at", F.col("on").alias("to")))
+        steps = written(twice.select("k", "at", F.col("on").alias("to")))
     return starts
 
 

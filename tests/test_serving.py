@@ -224,3 +224,15 @@ def test_two_levels_as_a_stream(spark, tmp_path):
     key = lambda d: sorted(map(tuple, d.select("client", "route", "ts", "route_ok", "allowed").collect()))
     got = key(spark.table("two_level"))
     assert got == key(S.two_level(df)) and sum(r[-1] for r in got) == 7
+
+
+def test_the_minute_is_worked_out_once_for_the_day(spark, monkeypatch):
+    """What the routes' minutes say is read from the shared folder by all steps of the day."""
+    from reportmill.operators import windows
+
+    seen = []
+    monkeypatch.setattr(windows, "written", lambda df, real=windows.written: seen.append(set(df.columns)) or real(df))
+    rows = spark.createDataFrame([(i, "c", "labs", i * 5) for i in range(30)], "i int, client string, route string, s int")
+    done = S.two_level(rows.withColumn("ts", F.timestamp_seconds("s")).drop("s"), order=("ts", "i"))
+    assert any("route_ok" in columns for columns in seen)
+    assert sorted((r["i"], r["allowed"]) for r in done.collect()) == [(i, i % 12 < 6) for i in range(30)]
