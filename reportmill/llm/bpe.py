@@ -29,6 +29,9 @@ _NONE = (1 << 60, -1)  # no merge
 #: Characters of a word beyond which only the surroundings of failing pairs are merged.
 LONG = 4096
 _JOINT = 1 << 27  # bytes of text up to which decoded texts fit one Arrow array
+#: Distinct words and pieces a worker remembers before it starts afresh.
+MAX_WORDS, MAX_PIECES = 400_000, 500_000
+_SLICE = 4 << 20  # bytes of text whose distinct pieces are looked up at once
 
 
 def byte_chars() -> dict[int, str]:
@@ -66,15 +69,21 @@ class WordBpe:
         for rank, (a, b) in enumerate(model["merges"]):
             self._merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self._longest = max(map(len, self._last))
-        self._symbols: dict[int, list[int]] = {}
+        self._symbols: dict[int, tuple[int, ...]] = {}
         for t, i in self._inner.items():
-            self._symbols[i] = [self._inner[c] for c in t]
+            self._symbols[i] = tuple(self._inner[c] for c in t)
         for t, i in self._last.items():
-            self._symbols[i] = [*(self._inner[c] for c in t[:-1]), self._last[t[-1]]]
+            self._symbols[i] = (*(self._inner[c] for c in t[:-1]), self._last[t[-1]])
         self._pair_ok: dict[int, bool] = {}
         self._whole = {i for i, s in self._symbols.items() if self.merged(s) == [i]}
         self._inner = {t: i for t, i in self._inner.items() if i in self._whole}
         self._last = {t: i for t, i in self._last.items() if i in self._whole}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the remembered words; special strings stay, which no word equals."""
+        self._known = {s: (i,) for s, i in self.special.items()}
+        self._chars = 0
 
     def merged(self, symbols: Sequence[int]) -> list[int]:
         """The exact result of the merges: always the lowest rank, leftmost first."""
@@ -171,28 +180,32 @@ class WordBpe:
             known = self._pair_ok[pair] = self.merged(self._symbols[a] + self._symbols[b]) == [a, b]
         return known
 
-    def _words_of(self, part: str) -> list[str]:
-        normal = part.lower() if part.isascii() else self._normal(part)
-        words = (normal,) if normal.isalpha() else self._words(normal)
-        return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self._bytes) for w in words]
-
-    def encode_pieces(self, pieces: Sequence[str]) -> list[list[int]]:
-        """Ids of each piece of text without white space; special strings are their own ids."""
-        places: dict[str, int] = {}
-        each: list[list[int]] = []
-        for piece in pieces:
-            if "<|" not in piece:
-                each.append([places.setdefault(w, len(places)) for w in self._words_of(piece)])
-                continue
-            row: list[int] = []
-            for part in self._special.split(piece):
-                if part in self.special:
-                    row.append(-1 - self.special[part])
-                else:
-                    row += [places.setdefault(w, len(places)) for w in self._words_of(part)]
-            each.append(row)
-        words = self.encode_words(list(places))
-        return [words[row[0]] if len(row) == 1 and row[0] >= 0 else [i for x in row for i in ([-1 - x] if x < 0 else words[x])] for row in each]
+    def _words_of(self, part: str) -> Sequence[str]:
+        """Normalised words; up to Latin-1 that is lower case only, as all is composed there."""
+        normal = part.lower() if part.isascii() or max(part) <= "\xff" else self._normal(part)
+        return (normal,) if normal.isalpha() else self._words(normal)
+
+    def _parts_of(self, piece: str) -> Sequence[str]:
+        if "<|" not in piece:
+            return self._words_of(piece)
+        return [w for part in self._special.split(piece) for w in ((part,) if part in self.special else self._words_of(part))]
+
+    def _stand_in(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self._bytes)
+
+    def encode_pieces(self, pieces: Sequence[str]) -> list[Sequence[int]]:
+        """Ids of each piece of text without white space; special strings are their own ids.
+
+        A word is encoded once, whatever pieces it comes in, until there are too many.
+        """
+        known = self._known
+        rows = list(map(self._parts_of, pieces))
+        new = list(dict.fromkeys(w for row in rows for w in row if w not in known))
+        known.update(zip(new, map(tuple, self.encode_words(list(map(self._stand_in, new)))), strict=True))
+        self._chars += sum(map(len, new))
+        if len(known) > MAX_WORDS or self._chars > 64 * MAX_WORDS:
+            self.forget()
+        return [known[row[0]] if len(row) == 1 else [i for w in row for i in known[w]] for row in rows]
 
     def decode(self, ids: Sequence[int]) -> str:
         """As the file decodes, having no decoder: the tokens joined by single blanks."""
@@ -215,12 +228,16 @@ class _Pieces(PieceTable):
 
     def __init__(self, bpe: WordBpe):
         self.bpe = bpe
-        super().__init__(bpe.encode_pieces)
+        super().__init__(bpe.encode_pieces, MAX_PIECES)
 
     def _clear(self) -> None:
         super()._clear()
         self.decoded: list[str] = []
 
+    def _release(self) -> None:
+        super()._release()
+        self.bpe.forget()
+
     def _add(self, new: list[str], ids: list[Sequence[int]]) -> None:
         super()._add(new, ids)
         self.decoded.extend(map(self.bpe.decode, ids))
@@ -238,7 +255,7 @@ DIGEST = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
 def _encoded(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, str]]:
     table = _table(path)
-    for part in balanced(texts):
+    for part in balanced(texts, _SLICE):
         pieces, counts = non_empty(split_pieces(part))
         rows, at = table.codes(pieces)
         codes = rows[at]

@@ -8,7 +8,7 @@ look-up far cheaper than encoding each occurrence.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,10 @@ class PieceTable:
         self.flat = np.zeros(0, np.uint32)
         self._n = self._m = self._chars = 0
 
+    def _release(self) -> None:
+        """Free what is remembered, as another table is used."""
+        self._clear()
+
     def codes(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers here of the distinct pieces, and which of these each piece is.
 
@@ -46,16 +50,17 @@ class PieceTable:
         """
         if PieceTable._in_use is not self:
             if PieceTable._in_use is not None:
-                PieceTable._in_use._clear()
+                PieceTable._in_use._release()
             PieceTable._in_use = self
         if self._n > self._limit or self._chars > 64 * self._limit:
             self._clear()
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [p for p in distinct if p not in self._code]
-        if new:
+        rows = np.fromiter(map(self._code.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(missing := np.flatnonzero(rows < 0)):
+            new, first = [distinct[i] for i in missing.tolist()], self._n
             self._add(new, self._encode(new))
-        rows = np.fromiter(map(self._code.__getitem__, distinct), np.int64, len(distinct))
+            rows[missing] = np.arange(first, self._n)
         return rows, coded.indices.to_numpy(zero_copy_only=False)
 
     def _add(self, new: list[str], ids: list[Sequence[int]]) -> None:

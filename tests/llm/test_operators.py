@@ -81,6 +81,37 @@ def test_long_words_are_repaired_around_failing_pairs(monkeypatch):
             assert b.encode_words([word]) == [b._merged_long(ids)]
 
 
+def test_a_word_is_encoded_once_whatever_pieces_it_comes_in(monkeypatch):
+    b = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    sent: list[str] = []
+    encode = b.encode_words
+    monkeypatch.setattr(b, "encode_words", lambda words: sent.extend(words) or encode(words))
+    first = b.encode_pieces(["Überthanor", "überthanor,", "(überthanor)"])
+    again = b.encode_pieces(["überthanor!", "ÜBERTHANOR", "<|endoftext|>überthanor"])
+    assert len(sent) == len(set(sent))
+    assert list(first[0]) == list(again[1]) == list(again[0])[:-1] == list(again[2])[1:]
+
+
+def test_remembered_words_are_bounded_and_give_the_librarys_ids(monkeypatch):
+    """Few words, pieces and bytes at a time; Latin-1 and other letters, marks and special strings."""
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    random.seed(21)
+    parts = [*map(chr, range(0x21, 0x180)), "\u0301", "\u0308", "İ", "Σ", "ſ", "Å", "日", "<|endoftext|>", "<|startoftext|>", "<|STARTOFTEXT|>", "thanor", "onble", *" " * 60]
+    texts = ["".join(random.choices(parts, k=random.randint(0, 300))) for _ in range(400)]
+    texts += [f"a{chr(c)}B {chr(c)}" for c in range(256)]
+    monkeypatch.setattr(bpe, "MAX_WORDS", 50)
+    monkeypatch.setattr(bpe, "MAX_PIECES", 40)
+    monkeypatch.setattr(bpe, "_SLICE", 2000)
+    monkeypatch.setattr(bpe, "_table", lambda p, table=bpe._Pieces(bpe.WordBpe(path)): table)
+    for enc, (ids, decoded) in zip(tok.encode_batch(texts, add_special_tokens=False), bpe._encoded(pa.array(texts), path), strict=True):
+        assert enc.ids == ids.tolist() and tok.decode(enc.ids, skip_special_tokens=False) == decoded
+    known = bpe._table(path).bpe._known
+    assert len(known) <= 50 + 2 and all(known[s] == (i,) for s, i in bpe._table(path).bpe.special.items())
+
+
 def test_texts_of_megabytes(spark):
     """Without white space, and in words: counts and ids are the libraries', in time that follows the length."""
     random.seed(12)
