@@ -33,9 +33,9 @@ def legs(passages: DataFrame, key: str, order: str, lexical: LexicalIndex | None
     """Strategies for :func:`retrieval.hybrid`: lexical (stored, or by a scan), sections, and dense if there is an index.
 
     ``embed_query`` adds a column ``vector`` to (query_id, query) rows; a query without one has no
-    dense leg.
+    dense leg. An index that nothing was added to has no passages to search, so these are scanned.
     """
-    words: R.Strategy = lexical.search if lexical else lambda q, k: R.bm25(passages, q, key, k)
+    words: R.Strategy = lexical.search if lexical and lexical.has("manifest") else lambda q, k: R.bm25(passages, q, key, k)
     found = [words, lambda q, k: R.route_sections(passages, q, key, order, k)]
     if vectors is not None and embed_query is not None and vectors.has("manifest"):
         found.append(lambda q, k: vectors.search(embed_query(q).filter("vector IS NOT NULL").select("query_id", "vector"), k))

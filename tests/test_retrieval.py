@@ -11,6 +11,8 @@ from reportmill.functions import text as T
 from reportmill.functions.vectors import cosine
 from reportmill.operators import evaluation as E
 from reportmill.operators import retrieval as R
+from reportmill.operators.dense_index import DenseIndex
+from reportmill.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +77,27 @@ def test_hybrid_drops_failing_strategies_and_blank_queries(spark, passages):
         R.hybrid(ask(spark, "lactate"), [broken], "chunk_id")
 
 
+def test_a_failing_strategy_fails_the_search_of_who_takes_no_note(spark, passages):
+    def broken(q, k):
+        raise RuntimeError("no index")
+
+    with pytest.raises(RuntimeError, match="no index"):
+        R.hybrid(ask(spark, "lactate"), [lambda q, k: R.bm25(passages, q, "chunk_id", k), broken], "chunk_id")
+
+
+def test_three_legs_fail_with_a_leg_and_have_no_hits_without_documents(spark, sf, monkeypatch, tmp_path):
+    for name in ("documents", "embeddings"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert QUERIES["three_leg_search"](spark, str(tmp_path)).collect() == []
+
+    def broken(self, queries, limit):
+        raise OSError("a cell can't be read")
+
+    monkeypatch.setattr(DenseIndex, "search", broken)
+    with pytest.raises(OSError, match="a cell"):
+        QUERIES["three_leg_search"](spark, sf)
+
+
 def test_dense_keeps_negative_scores(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [0.0, 0.0])], "chunk_id string, vector array<float>")
     q = spark.createDataFrame([(0, [2.0, 0.0])], "query_id int, vector array<float>")
